@@ -1,4 +1,20 @@
 """Queries of the language-model training-data problems (pN_...)."""
 
-QUERIES = {}
-SQL = {}
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from quillspan.llm.forms import same_reading_pairs
+from quillspan.sources.tables import table
+
+
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of headlines, and of search queries, that read the same in different characters."""
+    headlines = table(spark, sf_dir, "headlines").select(F.lit("headline").alias("field"), F.col("item_id").alias("id"), F.col("headline").alias("text"))
+    searches = table(spark, sf_dir, "trace").select(F.lit("query").alias("field"), F.col("call_id").alias("id"), F.try_element_at("inputs", F.lit("query")).alias("text"))
+    return same_reading_pairs(headlines.unionByName(searches))
+
+
+QUERIES = {"p2_found": p2_found}
+SQL: dict[str, str] = {}
