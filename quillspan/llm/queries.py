@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quillspan.llm.encoding import encode_texts
 from quillspan.llm.forms import same_reading_pairs
+from quillspan.llm.layouts import collapse_layouts
 from quillspan.sources.tables import table
 
 
@@ -16,5 +18,22 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return same_reading_pairs(headlines.unionByName(searches))
 
 
-QUERIES = {"p2_found": p2_found}
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each headline that is a copy of another one in some layout, with the headline that is kept."""
+    rows = table(spark, sf_dir, "headlines").select(F.col("item_id").alias("id"), F.col("headline").alias("text"))
+    return collapse_layouts(rows).where("id <> keep_id").select("keep_id", F.col("id").alias("copy_id"))
+
+
+def p4_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each record of headlines once, with the number of its copies."""
+    rows = table(spark, sf_dir, "headlines").select(F.col("item_id").alias("id"), F.col("headline").alias("text"))
+    return collapse_layouts(rows).where("id = keep_id").select("keep_id", "copies")
+
+
+def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The token ids of each document by byte_bpe_50k."""
+    return encode_texts(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {"p2_found": p2_found, "p4_found": p4_found, "p4_copies": p4_copies, "p6_ids": p6_ids}
 SQL: dict[str, str] = {}
