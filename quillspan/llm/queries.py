@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from quillspan.llm.encoding import encode_texts
 from quillspan.llm.forms import same_reading_pairs
 from quillspan.llm.layouts import collapse_layouts
+from quillspan.llm.sampling import Draw, draw_by_shares
 from quillspan.sources.tables import table
 
 
@@ -30,10 +31,50 @@ def p4_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collapse_layouts(rows).where("id = keep_id").select("keep_id", "copies")
 
 
+def _draw(spark: SparkSession, sf_dir: str) -> Draw:
+    pool = table(spark, sf_dir, "chat").where("split = 'train'").select("rec_id", "metadata.clause_type", "metadata.industry", "metadata.jurisdiction", "metadata.complexity")
+    axes = {x: F.col(x) for x in pool.columns if x != "rec_id"}
+    return draw_by_shares(pool, table(spark, sf_dir, "sample_targets"), axes)
+
+
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The categories that cannot be filled from the train records."""
+    return _draw(spark, sf_dir).report.where("not reachable").select("axis", "category")
+
+
+def p5_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The train records drawn by the targets."""
+    return _draw(spark, sf_dir).sample
+
+
+def p5_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Target, quota, pool rows and drawn rows of each category."""
+    return _draw(spark, sf_dir).report
+
+
 def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The token ids of each document by byte_bpe_50k."""
     return encode_texts(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"p2_found": p2_found, "p4_found": p4_found, "p4_copies": p4_copies, "p6_ids": p6_ids}
-SQL: dict[str, str] = {}
+QUERIES = {"p2_found": p2_found, "p4_found": p4_found, "p4_copies": p4_copies, "p5_found": p5_found, "p5_sample": p5_sample, "p5_report": p5_report, "p6_ids": p6_ids}
+SQL: dict[str, str] = {
+    "p5_found": r"""
+        WITH pool AS (
+          SELECT m.metadata AS d FROM chat m WHERE split = 'train'),
+        labels AS (
+          SELECT 'clause_type' AS axis, d.clause_type AS label FROM pool UNION ALL
+          SELECT 'industry', d.industry FROM pool UNION ALL
+          SELECT 'jurisdiction', d.jurisdiction FROM pool UNION ALL
+          SELECT 'complexity', d.complexity FROM pool),
+        counts AS (
+          SELECT axis, regexp_replace(trim(lower(label), E' \\t\\n'), '[ _-]+', ' ', 'g') AS label, count(*) AS n
+          FROM labels WHERE label IS NOT NULL GROUP BY ALL),
+        size AS (SELECT count(*) // 4 AS s FROM pool)
+        SELECT t.axis, t.category
+        FROM sample_targets t CROSS JOIN size
+        LEFT JOIN counts c ON c.axis = t.axis
+          AND c.label = regexp_replace(trim(lower(t.category), E' \\t\\n'), '[ _-]+', ' ', 'g')
+        WHERE coalesce(c.n, 0) < greatest(t.min_rows, (t.target_pct * s + 99) // 100)
+    """,
+}
