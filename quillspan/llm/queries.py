@@ -9,6 +9,7 @@ from quillspan.llm.encoding import encode_texts
 from quillspan.llm.forms import same_reading_pairs
 from quillspan.llm.layouts import collapse_layouts
 from quillspan.llm.sampling import Draw, draw_by_shares
+from quillspan.llm.truncation import score_truncation, truncation_rates
 from quillspan.sources.tables import table
 
 
@@ -57,7 +58,17 @@ def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_texts(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"p2_found": p2_found, "p4_found": p4_found, "p4_copies": p4_copies, "p5_found": p5_found, "p5_sample": p5_sample, "p5_report": p5_report, "p6_ids": p6_ids}
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents whose running text breaks off."""
+    return score_truncation(table(spark, sf_dir, "documents")).where("truncated").select("doc_id")
+
+
+def p8_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How often each source breaks off."""
+    return truncation_rates(score_truncation(table(spark, sf_dir, "documents")))
+
+
+QUERIES = {"p2_found": p2_found, "p4_found": p4_found, "p4_copies": p4_copies, "p5_found": p5_found, "p5_sample": p5_sample, "p5_report": p5_report, "p6_ids": p6_ids, "p8_found": p8_found, "p8_rates": p8_rates}
 SQL: dict[str, str] = {
     "p5_found": r"""
         WITH pool AS (
