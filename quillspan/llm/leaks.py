@@ -23,9 +23,9 @@ from pyspark.sql import types as T
 #: Words in a row of an item that count as a leak, words of slack that altered edges may cost, and share of edits.
 PASSAGE_WORDS, EDGE_SLACK, EDIT_SHARE = 25, 2, 0.16
 #: Random walks, samples of each, places in a sample, and steps of a walk that places are drawn from.
-WALKS, SAMPLES, PLACES, STEPS = 8, 3, 6, 40
+WALKS, SAMPLES, PLACES, STEPS = 6, 3, 8, 40
 #: Price of an edit in the alignment against 1 for a matching word, and words that the two texts may drift apart.
-EDIT_PRICE, BAND = 2, 8
+EDIT_PRICE, BAND = 2, 7
 #: Words of items that are indexed and sent to the executors at a time (about 500 bytes each); more make further blocks.
 BLOCK_WORDS = 100_000
 
@@ -80,6 +80,7 @@ def window_hashes(words: np.ndarray, starts: np.ndarray) -> Iterator[tuple[int,
     A walk outputs the word it stands on and moves on by one word or stays, as a random bit of (step, word) says: two texts
     that differ in few words walk together again soon after each of them.
     """
+    coded = _mixed(words, 0)
     for walk in range(WALKS):
         bits = _mixed(words, walk + 1)
         at = starts.copy()
@@ -88,10 +89,10 @@ def window_hashes(words: np.ndarray, starts: np.ndarray) -> Iterator[tuple[int,
         for step in range(STEPS):
             for s, places in enumerate(wanted):
                 if step in places:
-                    hashes[s] = _mixed(hashes[s] ^ words[at].astype(np.uint64), 77 + step)
+                    hashes[s] = hashes[s] * np.uint64(0x9E3779B97F4A7C15) + coded[at]
             at = at + ((bits[at] >> np.uint64(step)) & np.uint64(1)).astype(np.int64)
         for s in range(SAMPLES):
-            yield walk * SAMPLES + s, hashes[s]
+            yield walk * SAMPLES + s, hashes[s] ^ (hashes[s] >> np.uint64(29))
 
 
 @dataclass
@@ -139,45 +140,26 @@ def align(doc: np.ndarray, doc_at: np.ndarray, items: np.ndarray, item_at: np.nd
     ``doc`` and ``items`` are word codes; 0 in items and negative codes in doc match nothing.
     """
     n, width = len(doc_at), 2 * BAND + 1
-    shift = np.arange(width) - BAND
-    score, span, edits = (np.zeros((n, width), np.int32) for _ in range(3))
-    best, best_span, best_edits = (np.zeros(n, np.int32) for _ in range(3))
-    rows = np.arange(n)
+    column = np.arange(width)
+    # score, item words spanned and edits of a cell in one number, so that a maximum carries all three along
+    unit, word = 1 << 20, 1 << 10
+    match, change, more = unit + word, word + 1 - EDIT_PRICE * unit, 1 - EDIT_PRICE * unit
+    cells, best = np.zeros((n, width), np.int64), np.zeros(n, np.int64)
     for step in range(-reach, reach + 1):
         i = item_at + step
-        inside = (i >= 0) & (i < len(items))
-        letter = np.where(inside, items[np.clip(i, 0, len(items) - 1)], 0)
-        d = doc_at[:, None] + step + shift[None, :]
-        other = np.where((d >= 0) & (d < len(doc)), doc[np.clip(d, 0, len(doc) - 1)], -1)
-        same = (other == letter[:, None]) & (letter[:, None] > 0)
+        letter = np.where((i >= 0) & (i < len(items)), items[np.clip(i, 0, len(items) - 1)], 0)
+        d = (doc_at + step - BAND)[:, None] + column
+        other = doc[np.clip(d, 0, len(doc) - 1)]
         # along the band a step of the item with one of the document keeps the column
-        new = np.where(same, score + 1, score - EDIT_PRICE)
-        new_span, new_edits = span + 1, edits + ~same
+        new = cells + np.where((other == letter[:, None]) & (letter > 0)[:, None], match, change)
         # an item word left out: from the column to the right
-        out = np.full_like(score, -99)
-        out[:, :-1] = score[:, 1:] - EDIT_PRICE
-        better = out > new
-        new = np.where(better, out, new)
-        new_span[:, :-1] = np.where(better[:, :-1], span[:, 1:] + 1, new_span[:, :-1])
-        new_edits[:, :-1] = np.where(better[:, :-1], edits[:, 1:] + 1, new_edits[:, :-1])
-        # a document word more: from the column to the left, of the same item word
-        for c in range(1, width):
-            more = new[:, c - 1] - EDIT_PRICE
-            better = more > new[:, c]
-            if better.any():
-                new[better, c] = more[better]
-                new_span[better, c] = new_span[better, c - 1]
-                new_edits[better, c] = new_edits[better, c - 1] + 1
-        dead = new <= 0
-        new[dead], new_span[dead], new_edits[dead] = 0, 0, 0
-        score, span, edits = new, new_span, new_edits
-        top = score.argmax(1)
-        value = score[rows, top]
-        up = value > best
-        best = np.where(up, value, best)
-        best_span = np.where(up, span[rows, top], best_span)
-        best_edits = np.where(up, edits[rows, top], best_edits)
-    return best_span, best_edits
+        np.maximum(new[:, :-1], cells[:, 1:] + change, out=new[:, :-1])
+        # document words more: from the columns to the left, of the same item word
+        new = np.maximum.accumulate(new - more * column, axis=1) + more * column
+        new[new < unit] = 0
+        cells = new
+        np.maximum(best, cells.max(1), out=best)
+    return (best >> 10) & 1023, best & 1023
 
 
 def passes(span: np.ndarray, edits: np.ndarray) -> np.ndarray:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from quillspan.llm.encoding import encode_texts
 from quillspan.llm.forms import same_reading_pairs
 from quillspan.llm.layouts import collapse_layouts
+from quillspan.llm.leaks import find_leaks
 from quillspan.llm.sampling import Draw, draw_by_shares
 from quillspan.llm.truncation import score_truncation, truncation_rates
 from quillspan.sources.tables import table
@@ -58,6 +59,11 @@ def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_texts(table(spark, sf_dir, "documents"))
 
 
+def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents that contain a passage of a test item, and the items."""
+    return find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"))
+
+
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The documents whose running text breaks off."""
     return score_truncation(table(spark, sf_dir, "documents")).where("truncated").select("doc_id")
@@ -68,7 +74,7 @@ def p8_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return truncation_rates(score_truncation(table(spark, sf_dir, "documents")))
 
 
-QUERIES = {"p2_found": p2_found, "p4_found": p4_found, "p4_copies": p4_copies, "p5_found": p5_found, "p5_sample": p5_sample, "p5_report": p5_report, "p6_ids": p6_ids, "p8_found": p8_found, "p8_rates": p8_rates}
+QUERIES = {"p2_found": p2_found, "p4_found": p4_found, "p4_copies": p4_copies, "p5_found": p5_found, "p5_sample": p5_sample, "p5_report": p5_report, "p6_ids": p6_ids, "p7_found": p7_found, "p8_found": p8_found, "p8_rates": p8_rates}
 SQL: dict[str, str] = {
     "p5_found": r"""
         WITH pool AS (
