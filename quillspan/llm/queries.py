@@ -9,6 +9,7 @@ from quillspan.llm.encoding import encode_texts
 from quillspan.llm.forms import same_reading_pairs
 from quillspan.llm.layouts import collapse_layouts
 from quillspan.llm.leaks import find_leaks
+from quillspan.llm.overlap import find_overlaps
 from quillspan.llm.sampling import Draw, draw_by_shares
 from quillspan.llm.truncation import score_truncation, truncation_rates
 from quillspan.sources.tables import table
@@ -21,6 +22,27 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return same_reading_pairs(headlines.unionByName(searches))
 
 
+def _clauses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    clause = F.try_element_at(F.filter("messages", lambda m: m["role"] == "user"), F.lit(1))["content"]
+    return table(spark, sf_dir, "chat").select(F.col("rec_id").alias("id"), "split", "source", clause.alias("text"))
+
+
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of a train record and a validation or test record whose clauses agree."""
+    pairs = find_overlaps(_clauses(spark, sf_dir), train=F.col("split") == "train")
+    return pairs.select(F.least("train_id", "other_id").alias("a_id"), F.greatest("train_id", "other_id").alias("b_id"))
+
+
+def p3_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records of each evaluation split and source, how many of them overlap the training split, and in how many pairs."""
+    rows = _clauses(spark, sf_dir)
+    pairs = find_overlaps(rows, train=F.col("split") == "train")
+    by_record = pairs.groupBy(F.col("other_id").alias("id")).agg(F.count("*").alias("pairs"))
+    records = rows.where("split <> 'train'").select("id", "split", "source").join(by_record, "id", "left")
+    counts = records.groupBy("split", "source").agg(F.count("*").alias("records"), F.count("pairs").alias("overlapping"), F.coalesce(F.sum("pairs"), F.lit(0)).alias("pairs"))
+    return counts
+
+
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each headline that is a copy of another one in some layout, with the headline that is kept."""
     rows = table(spark, sf_dir, "headlines").select(F.col("item_id").alias("id"), F.col("headline").alias("text"))
@@ -74,7 +96,7 @@ def p8_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return truncation_rates(score_truncation(table(spark, sf_dir, "documents")))
 
 
-QUERIES = {"p2_found": p2_found, "p4_found": p4_found, "p4_copies": p4_copies, "p5_found": p5_found, "p5_sample": p5_sample, "p5_report": p5_report, "p6_ids": p6_ids, "p7_found": p7_found, "p8_found": p8_found, "p8_rates": p8_rates}
+QUERIES = {"p2_found": p2_found, "p3_found": p3_found, "p3_report": p3_report, "p4_found": p4_found, "p4_copies": p4_copies, "p5_found": p5_found, "p5_sample": p5_sample, "p5_report": p5_report, "p6_ids": p6_ids, "p7_found": p7_found, "p8_found": p8_found, "p8_rates": p8_rates}
 SQL: dict[str, str] = {
     "p5_found": r"""
         WITH pool AS (
