@@ -86,8 +86,8 @@ def terms(text: Column) -> Column:
 
 def grams(tokens: Column) -> Column:
     """The tokens and their neighbouring pairs."""
-    pairs = F.when(F.size(tokens) > 1, F.transform(F.sequence(F.lit(1), F.size(tokens) - 1), lambda i: F.concat_ws(" ", F.get(tokens, i - 1), F.get(tokens, i))))
-    return F.concat(tokens, F.coalesce(pairs, F.array().cast(T.ArrayType(T.StringType()))))
+    last = F.greatest(F.size(tokens) - 1, F.lit(0))  # slices, as a lambda would work out the tokens anew at each element
+    return F.concat(tokens, F.zip_with(F.slice(tokens, 1, last), F.slice(tokens, 2, last), lambda a, b: F.concat_ws(" ", a, b)))
 
 
 def numbers(text: Column) -> Column:

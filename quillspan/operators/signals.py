@@ -89,7 +89,7 @@ def volatility_snapshot(df: DataFrame, key: str = "symbol", x: str = "volatility
 def summarise(enriched: DataFrame, dimension: DataFrame | None = None, key: str = "symbol") -> DataFrame:
     """One summary row per series: last values, year range, year-to-date return, momentum; ``dimension`` is left-joined."""
     last = momentum(latest(enriched, key))
-    r = range_of_year(enriched, key).withColumnRenamed("rows", "_rows")
+    r = range_of_year(enriched, key).select(key, F.col("high").alias("year_high"), F.col("low").alias("year_low"))
     ytd = year_to_date(enriched, key).select(key, "ytd_pct")
     joined = last.join(r, key).join(ytd, key, "left")
     if dimension is not None:
@@ -97,9 +97,9 @@ def summarise(enriched: DataFrame, dimension: DataFrame | None = None, key: str
     extra = [c for c in (dimension.columns if dimension is not None else []) if c != key]
     rounded = ["sma_50", "sma_200", "rsi_14", "macd", "macd_signal", "macd_hist", "bb_upper", "bb_middle", "bb_lower", "bb_pct_b", "volatility_30d"]
     return joined.select(
-        key, *extra, F.col("ts").alias("as_of"), F.col("pos").alias("rows_analysed"), F.round("close", 2).alias("current_price"), F.round("high", 2).alias("year_high"), F.round("low", 2).alias("year_low"),
-        F.round((F.col("close") / F.col("high") - 1) * 100, 2).alias("pct_below_high"), F.round((F.col("close") / F.col("low") - 1) * 100, 2).alias("pct_above_low"), "ytd_pct",
-        *[F.round(c, 4).alias(c) for c in rounded], "momentum_score", "momentum_label", F.array_join("missing", ",").alias("missing"),
+        key, *extra, F.col("ts").alias("as_of"), F.col("pos").alias("rows_analysed"), F.round("close", 2).alias("current_price"), F.round("year_high", 2).alias("year_high"), F.round("year_low", 2).alias("year_low"),
+        F.round((F.col("close") / F.col("year_high") - 1) * 100, 2).alias("pct_below_high"), F.round((F.col("close") / F.col("year_low") - 1) * 100, 2).alias("pct_above_low"), "ytd_pct",
+        *[F.round(c, 8).alias(c) for c in rounded], "momentum_score", "momentum_label", F.array_join("missing", ",").alias("missing"),
     )
 
 

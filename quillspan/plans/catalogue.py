@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quillspan.plans import problems
+from quillspan.plans import log_queries, problems, series_queries, text_queries
 
-QUERIES = {**problems.QUERIES}
-SQL = {**problems.SQL}
+QUERIES = {**series_queries.QUERIES, **text_queries.QUERIES, **log_queries.QUERIES, **problems.QUERIES}
+SQL = {**series_queries.SQL, **text_queries.SQL, **log_queries.SQL, **problems.SQL}
