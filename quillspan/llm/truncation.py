@@ -272,11 +272,17 @@ def learn_forms(rows: DataFrame) -> Forms:
 
 
 def train(rows: DataFrame, most: int = TRAINING_TEXTS) -> Model:
-    """Learn the corpus's forms over all rows and fit the regression on artificial cuts of at most ``most`` intact texts."""
+    """Learn the corpus's forms over all rows and fit the regression on artificial cuts of about ``most`` intact texts.
+
+    The sample is drawn by a hash of the text at a rate that gives that many, so the driver gets no more however large the
+    corpus is.
+    """
     forms = learn_forms(rows)
     intact = rows.where(F.length("text") > 60).where(F.rtrim("text").rlike(r"[.!?…\]\w-]$")).select("text", "source")
-    sample = intact.orderBy(F.xxhash64("text", F.lit(11))).limit(most).collect()
-    texts = [(r["text"], r["source"]) for r in sample if close_of(r["text"], forms).finished]
+    total = intact.agg(F.approx_count_distinct(F.xxhash64("text"), 0.01)).first()[0]
+    unit = F.shiftrightunsigned(F.xxhash64("text", F.lit(11)), 11) / F.lit(float(2**53))
+    sample = intact.where(unit < most / max(1, total)).limit(2 * most).collect()
+    texts = sorted(((r["text"], r["source"]) for r in sample if close_of(r["text"], forms).finished), key=lambda x: (x[0], x[1] or ""))
     if not texts:
         return Model(np.zeros(BUCKETS), forms)
     features_, labels = artificial_cuts(texts, forms)
