@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import json
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -115,10 +118,6 @@ def salvaged_json(text: Column) -> Column:
 
 def balanced_json(text: Column) -> Column:
     """The first balanced object of a text that parses, fences taken off; braces inside strings don't count."""
-    import json
-
-    import pandas as pd
-
     def scan(value: str | None) -> str | None:
         if value is None:
             return None
