@@ -83,7 +83,8 @@ class FoldTable:
         self.start = np.zeros(_SIZE, dtype=np.int32)
         self.length = np.zeros(_SIZE, dtype=np.int8)
         self.digit = np.zeros(_SIZE, dtype=bool)
-        self.mark = np.zeros(_SIZE, dtype=bool)
+        self.mark = np.zeros(_SIZE, dtype=bool)  # begins with an accent
+        self.marked = np.zeros(_SIZE, dtype=bool)  # ends with an accent
         self.special = np.zeros(_SIZE, dtype=np.uint8)  # 1 dot, 2 minus, 3 equals sign, 4 separator of fields
         self.flat = np.zeros(0, dtype=np.int64)
 
@@ -100,6 +101,7 @@ class FoldTable:
             self.kind[code], self.special[code] = kind, special
             self.digit[code] = form.isdigit()
             self.mark[code] = bool(symbols) and unicodedata.combining(symbols[0]) > 0
+            self.marked[code] = bool(symbols) and unicodedata.combining(symbols[-1]) > 0
             symbols = symbols or ("." if special == 1 else "-" if special == 2 else "")
             self.start[code], self.length[code] = len(flat), len(symbols)
             flat.extend(ord(x) + 1 for x in symbols)
@@ -150,8 +152,7 @@ def layout_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     last_digit = np.insert(digit[:-1], 0, False) & np.insert(same_next[:-1], 0, False)
     keep = (kind == KEEP) | ((special == 1) & last_digit & next_digit) | ((special == 2) & next_digit)
     # two accents in a row may stand in another order: such rows, a handful, are unified first
-    mark = t.mark[codes]
-    double = np.unique(row[:-1][mark[:-1] & mark[1:] & same_next[:-1]])
+    double = np.unique(row[:-1][t.marked[codes[:-1]] & t.mark[codes[1:]] & same_next[:-1]])
     # segments: rows, and fields of rows that have at least two
     begin = np.insert(~same_next[:-1], 0, True)
     equals = special == 3
