@@ -12,6 +12,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quillspan.shared import written
+
 #: Positions of a block.
 BLOCK = 4096
 
@@ -215,10 +217,12 @@ def with_indicators(bars: DataFrame, key: str = "symbol") -> DataFrame:
     }).where("not halo").drop("halo", "_change")
     # close has no gaps here, and gain and loss begin at the second row
     sized = framed.withColumns({"close_seen": F.col("pos"), "close_gap": F.lit(1), "gain_seen": F.col("pos") - 1, "loss_seen": F.col("pos") - 1})
+    sized = written(sized, "framed")  # each scan reads its input three times
     first = linear_scans(sized, {"_fast": ema_step("close", 12), "_slow": ema_step("close", 26), "_gain": wilder_step("gain", 14), "_loss": wilder_step("loss", 14)}, key)
     up, down = F.col("_gain"), F.col("_loss")
     rsi = F.when(F.col("gain_seen") >= 14, F.when((up == 0) & (down == 0), 50.0).when(down == 0, 100.0).when(up == 0, 0.0).otherwise(100 - 100 / (1 + up / down)))
     first = first.withColumns({"rsi_14": finite(rsi), "macd": F.when(F.col("pos") >= 26, F.col("_fast") - F.col("_slow"))})
+    first = written(first, "first-scan")
     second = linear_scans(first.withColumns({"macd_seen": F.greatest(F.col("pos") - 25, F.lit(0)), "macd_gap": F.lit(1)}), {"macd_signal": ema_step("macd", 9)}, key)
     second = second.withColumn("macd_signal", F.when(F.col("macd_seen") >= 9, F.col("macd_signal")))
     second = second.withColumn("macd_hist", F.col("macd") - F.col("macd_signal"))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quillspan.shared import written
+
 # Weight of each vote, rows of a year, and cuts of the score.
 WEIGHTS = {"trend_regime": 0.35, "price_vs_sma50": 0.20, "macd_histogram": 0.20, "rsi": 0.15, "bollinger_position": 0.10}
 YEAR_ROWS = 252
@@ -77,7 +79,7 @@ def volatility_snapshot(df: DataFrame, key: str = "symbol", x: str = "volatility
     The percentile is the share of values strictly below the current one; band is elevated above 70, subdued below 30.
     Values are counted once each before they are compared, so a flat series isn't moved twice.
     """
-    good = df.where(F.col(x).isNotNull())
+    good = written(df.where(F.col(x).isNotNull()).select(key, "pos", x), "volatility")
     current = good.groupBy(key).agg(F.max_by(x, "pos").alias("current"))
     out = good.join(current, key).groupBy(key).agg(
         F.max("current").alias("current"), (100 * F.avg((F.col(x) < F.col("current")).cast("int"))).alias("percentile"), F.percentile(x, 0.5).alias("median"), F.max(x).alias("maximum"), F.count("*").alias("n")
@@ -88,6 +90,7 @@ def volatility_snapshot(df: DataFrame, key: str = "symbol", x: str = "volatility
 
 def summarise(enriched: DataFrame, dimension: DataFrame | None = None, key: str = "symbol") -> DataFrame:
     """One summary row per series: last values, year range, year-to-date return, momentum; ``dimension`` is left-joined."""
+    enriched = written(enriched, "enriched")
     last = momentum(latest(enriched, key))
     r = range_of_year(enriched, key).select(key, F.col("high").alias("year_high"), F.col("low").alias("year_low"))
     ytd = year_to_date(enriched, key).select(key, "ytd_pct")

@@ -35,3 +35,13 @@ def written(df: DataFrame, name: str) -> DataFrame:
     path = new_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` over at least as many tasks as the cluster runs at once, for work that is heavy on each row.
+
+    Input in many splits stays as it is, without a shuffle; only input in fewer splits than cores, such as a single file
+    that can't be split, is dealt out.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(2 * cores)
