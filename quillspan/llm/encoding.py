@@ -21,6 +21,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from quillspan.shared import spread
+
 #: Distinct words a task remembers; beyond it the memory starts anew, which costs time only.
 REMEMBERED_WORDS = 500_000
 
@@ -163,4 +165,4 @@ def encode_texts(rows: DataFrame, *, id: str = "doc_id", text: str = "text", ids
                 yield pa.record_batch([part.column(0), lists], names=[id, ids])
 
     schema = T.StructType([T.StructField(id, kind), T.StructField(ids, T.ArrayType(T.IntegerType()))])
-    return rows.select(id, F.col(text).alias("_text")).mapInArrow(run, schema)
+    return spread(rows.select(id, F.col(text).alias("_text"))).mapInArrow(run, schema)

@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quillspan.shared import written
+from quillspan.shared import spread, written
 from quillspan.skew import salted_lookup
 
 # Letters of other scripts that have the shape of a Latin letter, and that letter, pair by pair.
@@ -172,7 +172,7 @@ def same_reading_pairs(rows: DataFrame, *, field: str = "field", id: str = "id",
     salted.  The pairs themselves are the result and can't be fewer.
     """
     read = rows.select(F.col(field).alias("field"), F.col(id).alias("id"), F.col(text).alias("text")).where("text <> ''")
-    formed = read.select("field", "id", "text", unified(F.col("text")).alias("form"))
+    formed = spread(read).select("field", "id", "text", unified(F.col("text")).alias("form"))
     # "odd" holds the characters of a text that isn't in unified form, the others are their form
     slim = formed.select("id", F.concat_ws("\x01", "field", "form").alias("key"), F.when(F.col("text") != F.col("form"), F.col("text")).alias("odd"))
     kept = written(slim, "forms")

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quillspan.llm.forms import lookalikes, mapping, unify
-from quillspan.shared import written
+from quillspan.shared import spread, written
 from quillspan.skew import salted_lookup
 
 #: Moduli and bases of the four polynomial hashes (products stay below 2**63); together 124 bits.
@@ -308,7 +308,7 @@ def collapse_layouts(rows: DataFrame, *, id: str = "id", text: str = "text") ->
     accident) are grouped by their symbols instead.  Groups are counted before rows are shuffled, and hot ones salted.
     """
     read = rows.select(F.col(id).cast("long").alias("id"), F.col(text).alias("text")).where("text <> ''")
-    hashed = written(read.mapInArrow(_hash_batches, _HASHED).withColumn("key", F.struct("h1", "h2")).drop("h1", "h2"), "layouts")
+    hashed = written(spread(read).mapInArrow(_hash_batches, _HASHED).withColumn("key", F.struct("h1", "h2")).drop("h1", "h2"), "layouts")
     groups = hashed.groupBy("key").agg(F.count("*").alias("n"), F.min(F.struct("id", "text")).alias("first"))
     kept = groups.select("key", "n", F.col("first.id").alias("keep_id"), F.col("first.text").alias("keep_text"))
 

@@ -20,6 +20,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from quillspan.shared import spread
+
 #: Words in a row of an item that count as a leak, words of slack that altered edges may cost, and share of edits.
 PASSAGE_WORDS, EDGE_SLACK, EDIT_SHARE = 25, 2, 0.16
 #: Random walks, samples of each, places in a sample, and steps of a walk that places are drawn from.
@@ -236,7 +238,7 @@ def find_leaks(docs: DataFrame, items: DataFrame, *, doc_id: str = "doc_id", ite
             size = 0
         blocks[-1].append((i, None))
     schema = T.StructType([T.StructField(doc_id, docs.schema[doc_id].dataType), T.StructField(item_id, T.LongType())])
-    read = docs.select(F.col(doc_id).alias("id"), F.col(text).alias("text")).where("text <> ''")
+    read = spread(docs.select(F.col(doc_id).alias("id"), F.col(text).alias("text")).where("text <> ''"))
     out = None
     for block in blocks:
         index = spark.sparkContext.broadcast(build_index(block, clauses))

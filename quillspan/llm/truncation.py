@@ -17,6 +17,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from quillspan.shared import spread
+
 
 #: Texts that the regression is trained on at most (a random sample of the intact ones; all else covers all data).
 TRAINING_TEXTS = 8_000
@@ -296,7 +298,7 @@ def score_truncation(rows: DataFrame, *, id: str = "doc_id", text: str = "text",
     it.  NULL, empty and blank texts, placeholders and titles (texts without any running text) have score 0.  Repeated rows are
     scored alike; other columns are ignored; an empty table gives an empty table.
     """
-    read = rows.select(F.col(id).alias("id"), F.col(text).alias("text"), F.col(source).alias("source"))
+    read = spread(rows.select(F.col(id).alias("id"), F.col(text).alias("text"), F.col(source).alias("source")))
     known = read.sparkSession.sparkContext.broadcast(model or train(read))
 
     @F.pandas_udf(T.DoubleType())
