@@ -21,7 +21,7 @@ from quillspan.shared import spread
 
 
 #: Texts that the regression is trained on at most (a random sample of the intact ones; all else covers all data).
-TRAINING_TEXTS = 8_000
+TRAINING_TEXTS = 5_000
 #: A wording closes documents as a matter of form if this share of all distinct texts, and at least three, have it.
 FORM_SHARE = 0.0003
 FORM_LEAST = 3
@@ -188,7 +188,7 @@ def features(text: str, source: str | None, forms: Forms, length: int | None = N
     return [_bucket(x) for x in names]
 
 
-def _fit(rows: list[list[int]], labels: np.ndarray, epochs: int = 30, seed: int = 3) -> np.ndarray:
+def _fit(rows: list[list[int]], labels: np.ndarray, epochs: int = 15, seed: int = 3) -> np.ndarray:
     """Logistic regression by Adam over all rows in small batches, with a light L2 penalty."""
     x = np.array(rows, dtype=np.int64)
     y = labels.astype(float)
