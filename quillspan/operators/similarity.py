@@ -32,28 +32,20 @@ def vectors(docs: DataFrame, by: list[str], id: str = "doc_id", text: str = "tex
     return rows.select(*by, "id", "norm", F.col("v.gram").alias("grams"), F.transform("v", lambda x: x["n"] / F.col("norm")).alias("weights"))
 
 
-def _prefix(grams_: pd.Series, weights: pd.Series, threshold: float) -> list[list[int]]:
-    out = []
-    for g, w in zip(grams_, weights, strict=True):
-        w = np.asarray(w)
-        rest = np.sqrt(np.maximum(0, np.cumsum((w * w)[::-1])[::-1]))  # length of the vector from each gram on
-        out.append(np.asarray(g)[rest >= threshold - 1e-9].tolist())
-    return out
-
-
 def similar_pairs(docs: DataFrame, by: list[str], threshold: float = NEAR, id: str = "doc_id", text: str = "text") -> DataFrame:
     """(by…, a, b, cosine) of all pairs a < b of a group whose cosine reaches ``threshold``, exactly.
 
-    Equal texts are one class: pairs are between class representatives (the smallest id), see ``classes_of``.  Only grams
-    in front of which the rest of a vector is still as long as the threshold can be the rarest gram of such a pair, so
-    only those are joined; the cosine of each candidate is then worked out in full.
+    Equal texts are one class: pairs are between class representatives (the smallest id), see ``classes_of``.  The rarest
+    gram that such a pair shares stands where the rests of both vectors, multiplied, still reach the threshold, so
+    only those places are joined; the cosine of each candidate is then worked out in full.
     """
     first = classes_of(docs, by, id, text).select(*by, F.col("class_id").alias(id)).distinct()
     vecs = written(vectors(docs.join(first, [*by, id], "left_semi"), by, id, text), "vectors")
 
-    @F.pandas_udf("array<bigint>")
-    def front(g: pd.Series, w: pd.Series) -> pd.Series:
-        return pd.Series(_prefix(g, w, threshold))
+    @F.pandas_udf("array<double>")
+    def rest(w: pd.Series) -> pd.Series:
+        # length of a vector from each of its grams on
+        return w.map(lambda x: np.sqrt(np.cumsum(np.square(x)[::-1])[::-1]))
 
     @F.pandas_udf("double")
     def dot(g: pd.Series, w: pd.Series, h: pd.Series, x: pd.Series) -> pd.Series:
@@ -63,9 +55,11 @@ def similar_pairs(docs: DataFrame, by: list[str], threshold: float = NEAR, id: s
             out.append(float(np.dot(np.asarray(b)[i], np.asarray(d)[j])))
         return pd.Series(out, dtype=float)
 
-    keys = vecs.select(*by, "id", F.explode(front("grams", "weights")).alias("gram"))
-    left, right = keys.withColumnRenamed("id", "a"), keys.withColumnRenamed("id", "b")
-    pairs = left.join(right, [*by, "gram"]).where("a < b").select(*by, "a", "b").distinct()
+    keys = vecs.select(*by, "id", F.explode(F.arrays_zip("grams", rest("weights").alias("rest"))).alias("x")).select(*by, "id", F.col("x.grams").alias("gram"), F.col("x.rest").alias("rest"))
+    keys = keys.where(F.col("rest") >= threshold - 1e-9)
+    left, right = keys.withColumnsRenamed({"id": "a", "rest": "ra"}), keys.withColumnsRenamed({"id": "b", "rest": "rb"})
+    # at the rarest gram two texts share, what is left of both bounds their cosine
+    pairs = left.join(right, [*by, "gram"]).where(F.col("a") < F.col("b")).where(F.col("ra") * F.col("rb") >= threshold - 1e-9).select(*by, "a", "b").distinct()
     full = vecs.drop("norm")
     joined = pairs.join(full.withColumnsRenamed({"id": "a", "grams": "ga", "weights": "wa"}), [*by, "a"]).join(full.withColumnsRenamed({"id": "b", "grams": "gb", "weights": "wb"}), [*by, "b"])
     return joined.select(*by, "a", "b", dot("ga", "wa", "gb", "wb").alias("cosine")).where(F.col("cosine") >= threshold - 1e-9)
