@@ -7,6 +7,8 @@ depends on a machine-local path on a cluster.
 
 from __future__ import annotations
 
+import os
+import shutil
 import tempfile
 import uuid
 
@@ -45,3 +47,12 @@ def spread(df: DataFrame) -> DataFrame:
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df if df.rdd.getNumPartitions() >= cores else df.repartition(2 * cores)
+
+
+def ship(spark: SparkSession) -> None:
+    """Send this package to the executors, once a context, so that they needn't have it installed."""
+    context = spark.sparkContext
+    if not getattr(context, "_quillspan_shipped", False):
+        root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+        context.addPyFile(shutil.make_archive(os.path.join(tempfile.mkdtemp(), "quillspan"), "zip", root, "quillspan"))
+        context._quillspan_shipped = True
