@@ -28,6 +28,8 @@ PASSAGE_WORDS, EDGE_SLACK, EDIT_SHARE = 25, 2, 0.16
 WALKS, SAMPLES, PLACES, STEPS = 6, 3, 8, 40
 #: Price of an edit in the alignment against 1 for a matching word, and words that the two texts may drift apart.
 EDIT_PRICE, BAND = 2, 7
+#: Score that any passage has at least: its words, less the matches lost and the price of as many edits as may be in the shortest one.
+LEAST_SCORE = PASSAGE_WORDS - (1 + EDIT_PRICE) * int(EDIT_SHARE * PASSAGE_WORDS + 1e-9)
 #: Words of items that are indexed and sent to the executors at a time (about 500 bytes each); more make further blocks.
 BLOCK_WORDS = 100_000
 
@@ -136,8 +138,8 @@ def _runs(low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return which, np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(low, n)
 
 
-def align(doc: np.ndarray, doc_at: np.ndarray, items: np.ndarray, item_at: np.ndarray, reach: int = PASSAGE_WORDS + 8) -> tuple[np.ndarray, np.ndarray]:
-    """Banded local alignments around pairs of places, all at once: (item words spanned, edits) of the best of each.
+def align(doc: np.ndarray, doc_at: np.ndarray, items: np.ndarray, item_at: np.ndarray, reach: int = PASSAGE_WORDS + 8) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Banded local alignments around pairs of places, all at once: (item words spanned, edits, score) of the best of each.
 
     ``doc`` and ``items`` are word codes; 0 in items and negative codes in doc match nothing.
     """
@@ -161,7 +163,7 @@ def align(doc: np.ndarray, doc_at: np.ndarray, items: np.ndarray, item_at: np.nd
         new[new < unit] = 0
         cells = new
         np.maximum(best, cells.max(1), out=best)
-    return (best >> 10) & 1023, best & 1023
+    return (best >> 10) & 1023, best & 1023, best >> 20
 
 
 def passes(span: np.ndarray, edits: np.ndarray) -> np.ndarray:
@@ -169,6 +171,41 @@ def passes(span: np.ndarray, edits: np.ndarray) -> np.ndarray:
     return (span >= PASSAGE_WORDS - EDGE_SLACK) & (edits <= EDIT_SHARE * span)
 
 
+def holds_passage(doc: np.ndarray, doc_at: np.ndarray, items: np.ndarray, item_at: np.ndarray, reach: int = PASSAGE_WORDS + 8) -> np.ndarray:
+    """Whether any alignment around each pair of places, whatever its score, is a passage that counts.
+
+    It begins and ends with a matching word.  Up to EDGE_SLACK words that it lacks of a passage are altered edges and count as edits.
+    A longer passage has a part of fewer than twice PASSAGE_WORDS words with no larger share of edits, so no more edits are followed.
+    """
+    n, width = len(doc_at), 2 * BAND + 1
+    most = int(EDIT_SHARE * (2 * PASSAGE_WORDS - 1) + 1e-9)
+    column, edits = np.arange(width), np.arange(most + 1)
+    # by edits: item words from which an alignment counts
+    free = int(EDIT_SHARE * PASSAGE_WORDS + 1e-9)
+    enough = np.where(edits <= free, np.maximum(PASSAGE_WORDS - EDGE_SLACK, PASSAGE_WORDS + edits - free), np.ceil(edits / EDIT_SHARE - 1e-9)).astype(np.int16)
+    none = np.int16(-1000)
+    # most item words of an alignment that ends in a cell, by its edits
+    cells, out = np.full((most + 1, n, width), none), np.zeros(n, bool)
+    for step in range(-reach, reach + 1):
+        i = item_at + step
+        letter = np.where((i >= 0) & (i < len(items)), items[np.clip(i, 0, len(items) - 1)], 0)
+        d = (doc_at + step - BAND)[:, None] + column
+        same = (doc[np.clip(d, 0, len(doc) - 1)] == letter[:, None]) & (letter > 0)[:, None] & (d >= 0) & (d < len(doc))
+        on = cells + np.int16(1)
+        np.maximum(on[0], 1, out=on[0])
+        new = np.where(same, on, none)
+        out |= (new >= enough[:, None, None]).any((0, 2))
+        for e in range(1, most + 1):
+            # a word exchanged, an item word left out, a document word more
+            np.maximum(new[e], cells[e - 1] + np.int16(1), out=new[e])
+            np.maximum(new[e][:, :-1], cells[e - 1][:, 1:] + np.int16(1), out=new[e][:, :-1])
+            np.maximum(new[e][:, 1:], new[e - 1][:, :-1], out=new[e][:, 1:])
+        new[:, letter == 0] = none
+        new[new < 0] = none
+        cells = new
+    return out
+
+
 def candidates(words: np.ndarray, starts: np.ndarray, index: Index) -> tuple[np.ndarray, np.ndarray]:
     """Pairs (place in words, place in the index) whose windows meet in a table, one for each diagonal of an item."""
     found = []
@@ -208,8 +245,13 @@ def leaks_of(texts: list[str | None], index: Index) -> tuple[np.ndarray, np.ndar
     doc, item = candidates(w, s, index)
     good = []
     for at in range(0, len(doc), 20_000):
-        span, edits = align(w, doc[at : at + 20_000], index.words, item[at : at + 20_000])
-        good.append(passes(span, edits))
+        here, there = doc[at : at + 20_000], item[at : at + 20_000]
+        span, edits, score = align(w, here, index.words, there)
+        sure = passes(span, edits)
+        # the best score may stop short of a passage with edits near its edges; no passage scores less than this
+        open_ = np.flatnonzero(~sure & (score >= LEAST_SCORE))
+        sure[open_] = holds_passage(w, here[open_], index.words, there[open_])
+        good.append(sure)
     keep = np.concatenate(good) if good else np.zeros(0, bool)
     number = np.searchsorted(np.array(owner_start), doc[keep], "right") - 1
     pairs = np.unique(np.stack([number, index.item[item[keep]]]), axis=1)
