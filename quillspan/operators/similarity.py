@@ -18,6 +18,17 @@ NEAR = 0.72
 QUERY_BYTES = 32 << 20
 
 
+def matched(left: DataFrame, right: DataFrame, by: list[str], on: list[str], how: str = "inner") -> DataFrame:
+    """``left`` joined with ``right`` on the group columns ``by``, where NULL is a group like any other, and on ``on``."""
+    other = right.withColumnsRenamed({c: f"_{c}" for c in [*by, *on]})
+    rule = F.lit(True)
+    for c in by:
+        rule = rule & F.col(c).eqNullSafe(F.col(f"_{c}"))
+    for c in on:
+        rule = rule & (F.col(c) == F.col(f"_{c}"))
+    return left.join(other, rule, how).drop(*[f"_{c}" for c in [*by, *on]])
+
+
 def vectors(docs: DataFrame, by: list[str], id: str = "doc_id", text: str = "text") -> DataFrame:
     """(by…, id, norm, grams, weights): the counts of the one- and two-word grams of each text, to length 1.
 
@@ -27,7 +38,7 @@ def vectors(docs: DataFrame, by: list[str], id: str = "doc_id", text: str = "tex
     counted = docs.where(F.col(text).isNotNull()).select(*by, F.col(id).alias("id"), F.explode(grams(terms(F.col(text)))).alias("g"))
     counted = counted.groupBy(*by, "id", F.xxhash64("g").alias("gram")).agg(F.count("*").cast("double").alias("n"))
     usage = counted.groupBy(*by, "gram").agg(F.count("*").alias("df"))
-    ranked = counted.join(usage, [*by, "gram"])
+    ranked = matched(counted, usage, by, ["gram"])
     rows = ranked.groupBy(*by, "id").agg(F.sqrt(F.sum(F.col("n") * F.col("n"))).alias("norm"), F.array_sort(F.collect_list(F.struct("df", "gram", "n"))).alias("v"))
     return rows.select(*by, "id", "norm", F.col("v.gram").alias("grams"), F.transform("v", lambda x: x["n"] / F.col("norm")).alias("weights"))
 
@@ -40,7 +51,7 @@ def similar_pairs(docs: DataFrame, by: list[str], threshold: float = NEAR, id: s
     only those places are joined; the cosine of each candidate is then worked out in full.
     """
     first = classes_of(docs, by, id, text).select(*by, F.col("class_id").alias(id)).distinct()
-    vecs = written(vectors(docs.join(first, [*by, id], "left_semi"), by, id, text), "vectors")
+    vecs = written(vectors(matched(docs, first, by, [id], "left_semi"), by, id, text), "vectors")
 
     @F.pandas_udf("array<double>")
     def rest(w: pd.Series) -> pd.Series:
@@ -59,9 +70,10 @@ def similar_pairs(docs: DataFrame, by: list[str], threshold: float = NEAR, id: s
     keys = keys.where(F.col("rest") >= threshold - 1e-9)
     left, right = keys.withColumnsRenamed({"id": "a", "rest": "ra"}), keys.withColumnsRenamed({"id": "b", "rest": "rb"})
     # at the rarest gram two texts share, what is left of both bounds their cosine
-    pairs = left.join(right, [*by, "gram"]).where(F.col("a") < F.col("b")).where(F.col("ra") * F.col("rb") >= threshold - 1e-9).select(*by, "a", "b").distinct()
+    pairs = matched(left, right, by, ["gram"]).where(F.col("a") < F.col("b")).where(F.col("ra") * F.col("rb") >= threshold - 1e-9).select(*by, "a", "b").distinct()
     full = vecs.drop("norm")
-    joined = pairs.join(full.withColumnsRenamed({"id": "a", "grams": "ga", "weights": "wa"}), [*by, "a"]).join(full.withColumnsRenamed({"id": "b", "grams": "gb", "weights": "wb"}), [*by, "b"])
+    joined = matched(pairs, full.withColumnsRenamed({"id": "a", "grams": "ga", "weights": "wa"}), by, ["a"])
+    joined = matched(joined, full.withColumnsRenamed({"id": "b", "grams": "gb", "weights": "wb"}), by, ["b"])
     return joined.select(*by, "a", "b", dot("ga", "wa", "gb", "wb").alias("cosine")).where(F.col("cosine") >= threshold - 1e-9)
 
 
@@ -69,7 +81,7 @@ def classes_of(docs: DataFrame, by: list[str], id: str = "doc_id", text: str = "
     """(by…, id, class_id): equal texts of a group are one class, named by its smallest id; NULL texts have none."""
     rows = docs.where(F.col(text).isNotNull()).select(*by, F.col(id).alias("id"), F.sha2(text, 256).alias("h"))
     least = rows.groupBy(*by, "h").agg(F.min("id").alias("class_id"))
-    return rows.join(least, [*by, "h"]).select(*by, F.col("id").alias(id), "class_id")
+    return matched(rows, least, by, ["h"]).select(*by, F.col("id").alias(id), "class_id")
 
 
 def similarity_report(docs: DataFrame, by: list[str], threshold: float = NEAR, id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -82,12 +94,13 @@ def similarity_report(docs: DataFrame, by: list[str], threshold: float = NEAR, i
     long = vecs.select(*by, F.explode(F.arrays_zip("grams", "weights")).alias("x")).select(*by, F.col("x.grams").alias("gram"), F.col("x.weights").alias("w"))
     total = long.groupBy(*by, "gram").agg(F.sum("w").alias("s")).groupBy(*by).agg(F.sum(F.col("s") * F.col("s")).alias("q"))
     n = vecs.groupBy(*by).agg(F.count("*").cast("double").alias("texts"))
-    sized = classes_of(docs.join(vecs.select(*by, F.col("id").alias(id)), [*by, id], "left_semi"), by, id, text).groupBy(*by, "class_id").agg(F.count("*").cast("double").alias("m"))
+    sized = classes_of(matched(docs, vecs.select(*by, F.col("id").alias(id)), by, [id], "left_semi"), by, id, text).groupBy(*by, "class_id").agg(F.count("*").cast("double").alias("m"))
     same = sized.groupBy(*by).agg(F.sum(F.col("m") * (F.col("m") - 1) / 2).alias("copies"))
     near = similar_pairs(docs, by, threshold, id, text)
-    near = near.join(sized.withColumnsRenamed({"class_id": "a", "m": "ma"}), [*by, "a"]).join(sized.withColumnsRenamed({"class_id": "b", "m": "mb"}), [*by, "b"])
+    near = matched(near, sized.withColumnsRenamed({"class_id": "a", "m": "ma"}), by, ["a"])
+    near = matched(near, sized.withColumnsRenamed({"class_id": "b", "m": "mb"}), by, ["b"])
     near = near.groupBy(*by).agg(F.sum(F.col("ma") * F.col("mb")).alias("linked"))
-    joined = n.join(total, by).join(same, by).join(near, by, "left").where("texts >= 2")
+    joined = matched(matched(matched(n, total, by, []), same, by, []), near, by, [], "left").where("texts >= 2")
     pairs = F.col("texts") * (F.col("texts") - 1) / 2
     hits = F.col("copies") + F.coalesce("linked", F.lit(0.0))
     return joined.select(
@@ -108,11 +121,11 @@ def duplicate_guard(docs: DataFrame, by: list[str], threshold: float = NEAR, id:
     gramless = docs.where(F.col(text).isNotNull() & (F.size(terms(F.col(text))) == 0)).select(*by, id)
     state = written(links.select(*by, F.col("a").alias("c")).union(links.select(*by, F.col("b").alias("c"))).distinct().withColumn("ok", F.lit(None).cast("boolean")), "guard")
     while state.where("ok is null").limit(1).count():
-        before = links.join(state.withColumnsRenamed({"c": "a", "ok": "a_ok"}), [*by, "a"]).groupBy(*by, F.col("b").alias("c"))
+        before = matched(links, state.withColumnsRenamed({"c": "a", "ok": "a_ok"}), by, ["a"]).groupBy(*by, F.col("b").alias("c"))
         seen = before.agg(F.coalesce(F.bool_or("a_ok"), F.lit(False)).alias("hit"), F.count_if(F.col("a_ok").isNull()).alias("wait"))
         new = F.when(F.col("ok").isNotNull(), F.col("ok")).when(F.col("hit"), F.lit(False)).when(F.coalesce("wait", F.lit(0)) == 0, F.lit(True))
-        state = written(state.join(seen, [*by, "c"], "left").select(*by, "c", new.alias("ok")), "guard")
-    out = members.join(state.withColumnRenamed("c", "class_id"), [*by, "class_id"], "left").join(gramless.withColumn("bare", F.lit(True)), [*by, id], "left")
+        state = written(matched(state, seen, by, ["c"], "left").select(*by, "c", new.alias("ok")), "guard")
+    out = matched(matched(members, state.withColumnRenamed("c", "class_id"), by, ["class_id"], "left"), gramless.withColumn("bare", F.lit(True)), by, [id], "left")
     own = (F.col(id) == F.col("class_id")) & F.coalesce("ok", F.lit(True))
     return out.select(*by, id, F.coalesce(F.col("bare"), own).alias("accepted"))
 

@@ -177,3 +177,13 @@ def test_sources(spark, tmp_path):
     assert files.write_splits(rows.withColumn("split", F.col("ticker")), f"{tmp_path}/splits").count() == 2
     text = rows.limit(1).select(files.brief_text(F.col("ticker"), {"v": F.col("v"), "w": F.lit(None)})).first()[0]
     assert text == "# A\n\n- v: 1\n- w: unavailable"
+
+
+def test_null_is_a_group_of_similar_texts(spark):
+    text = "the borrower shall deliver the annual accounts to the lender"
+    rows = [(1, None, text), (2, None, text), (3, None, text + " now"), (4, None, "other words"), (5, "s", text), (6, None, "..."), (7, None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, source string, text string")
+    assert {(r.source, r.a, r.b) for r in sim.similar_pairs(docs, ["source"]).collect()} == {(None, 1, 3)}
+    assert {(r.source, r.doc_id, r.class_id) for r in sim.classes_of(docs, ["source"]).collect()} == {(None, 1, 1), (None, 2, 1), (None, 3, 3), (None, 4, 4), ("s", 5, 5), (None, 6, 6)}
+    assert {(r.doc_id, r.accepted) for r in sim.duplicate_guard(docs, ["source"]).collect()} == {(1, True), (2, False), (3, False), (4, True), (5, True), (6, True)}
+    assert [(r.source, r.texts, r.pairs, r.near_pairs) for r in sim.similarity_report(docs, ["source"]).collect()] == [(None, 4, 6, 3)]
