@@ -1,4 +1,4 @@
-"""Structured Streaming twins: bars from ticks, tool summaries from a growing log, ordered duplicate guard."""
+"""Structured Streaming twins: bars from ticks, tool summaries from a growing log, rows whose key is new."""
 
 from __future__ import annotations
 
