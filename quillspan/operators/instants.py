@@ -2,7 +2,8 @@
 
 The raw strings are reduced to a dictionary of distinct (text, zone, date order)
 values; each is parsed once, the result is kept in a Parquet table that later runs
-extend, and the instants are joined back to the rows.
+extend, and the instants are joined back to the rows.  Of a value that two runs add at once, or a retried one adds again, readers
+take one entry.
 """
 
 from __future__ import annotations
@@ -10,16 +11,16 @@ from __future__ import annotations
 import re
 import unicodedata
 from collections.abc import Iterator
-from datetime import datetime, timedelta, timezone
+from datetime import date, datetime, timedelta, timezone
 from functools import lru_cache
 from zoneinfo import ZoneInfo
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quillspan.shared import new_path, written
+from quillspan.shared import kept_path, written
 from quillspan.skew import salted_lookup
 
 # Month names by language, as feeds write them (lower case, without accents and full stops).
@@ -66,8 +67,10 @@ _DATES = [
     ("ymd", r"(?P<y>\d{4})(?P<sep>[-/.])(?P<m>\d{1,2})(?P=sep)(?P<d>\d{1,2})"),
     ("ymd", r"(?P<y>\d{4}) ?年 ?(?P<m>\d{1,2}) ?月 ?(?P<d>\d{1,2}) ?日"),
     ("ymd", r"(?P<y>\d{4})(?P<m>\d{2})(?P<d>\d{2})(?=T)"),
+    ("week", r"(?P<y>\d{4})-?W(?P<w>\d{2})-?(?P<d>[1-7])(?=[T ])"),
+    ("day", r"(?P<y>\d{4})-?(?P<d>\d{3})(?=[T ])"),
     ("numbers", r"(?P<a>\d{1,2})(?P<sep>[-/.])(?P<b>\d{1,2})(?P=sep)(?P<c>\d{4}|\d{2})(?!\d)"),
-    ("name", rf"(?P<d>\d{{1,2}})(?:\.|st|nd|rd|th|er)?(?: de)?[ -](?P<name>{_WORD})\.?(?:,| de)?[ -](?P<y>\d{{4}}|\d{{2}})(?!\d)"),
+    ("name", rf"(?P<d>\d{{1,2}})(?:\.|st|nd|rd|th|er)?(?: de| of)?[ -](?P<name>{_WORD})\.?(?:,| de)?[ -](?P<y>\d{{4}}|\d{{2}})(?!\d)"),
     ("name", rf"(?P<name>{_WORD})\.? (?P<d>\d{{1,2}})(?:st|nd|rd|th)?,? (?P<y>\d{{4}})"),
     ("name", rf"(?P<y>\d{{4}})[ -](?P<name>{_WORD})\.?[ -](?P<d>\d{{1,2}})(?!\d)"),
 ]
@@ -79,12 +82,15 @@ _TIME = re.compile(
     r"| ?[hH] ?(?P<mi2>\d{2})(?: ?(?:m|min|:) ?(?P<s2>\d{2}) ?s?)?"
     r"| ?時 ?(?P<mi3>\d{1,2}) ?分(?: ?(?P<s3>\d{1,2}) ?秒)?"
     r"|\.(?P<mi4>\d{2})(?= ?Uhr)"
+    r"|(?= ?[AaPp]\.?[Mm]\.?(?![a-zA-Z]))"
     r")(?: ?Uhr)?(?: ?(?P<ap>[AaPp])\.?[Mm]\.?(?![a-zA-Z]))?"
 )
 _COMPACT_TIME = re.compile(r"(?P<h>\d{2})(?P<mi>\d{2})(?:(?P<s>\d{2})(?:[.,](?P<f>\d+))?)?(?!\d)")
 _WEEKDAY = re.compile(rf"^(?!\d){_WORD}\.?,? (?=\d)|^{_WORD}, (?={_WORD})")
 _OFFSET = re.compile(r"(?P<sign>[+\-−])(?P<h>\d{1,2}):?(?P<m>\d{2})?")
-_EPOCH = re.compile(r"(\d{10})(?:[.,](\d{1,9}))?")
+#: As the C library writes moments: month, day, time, perhaps a zone, and the year last.
+_YEAR_LAST = re.compile(rf"(?:{_WORD}\.?,? )?(?P<name>{_WORD})\.? (?P<d>\d{{1,2}}),? (?P<time>\d{{1,2}}:\d{{2}}(?::\d{{2}})?)(?P<zone> [^ ]+)? (?P<y>\d{{4}})")
+_EPOCH = re.compile(r"(\d{9,10})(?:[.,](\d{1,9}))?")
 _IANA = re.compile(r"[A-Za-z]+(?:/[A-Za-z0-9_+\-]+)+")
 _EPOCH_START = datetime(1970, 1, 1)
 
@@ -140,6 +146,14 @@ def _date(text: str, order: str):
         m = pattern.match(text)
         if not m:
             continue
+        if kind in ("week", "day"):
+            try:
+                at = date.fromisocalendar(int(m["y"]), int(m["w"]), int(m["d"])) if kind == "week" else date(int(m["y"]), 1, 1) + timedelta(days=int(m["d"]) - 1)
+            except (ValueError, OverflowError):
+                return None
+            if kind == "day" and (at.year != int(m["y"]) or m["d"] == "000"):
+                return None
+            return at.year, at.month, at.day, text[m.end() :]
         if kind == "numbers":
             a, b, c = m["a"], m["b"], m["c"]
             if order == "YMD" and len(c) == 2:
@@ -160,6 +174,28 @@ def _date(text: str, order: str):
     return None
 
 
+def _date_first(text: str, order: str, home: str) -> str | None:
+    """A text that begins with the time or ends with the year, with its date in front; None if it is neither."""
+    if m := _YEAR_LAST.fullmatch(text):
+        return f"{m['d']} {m['name']} {m['y']} {m['time']}{m['zone'] or ''}"
+    m = _TIME.match(text)
+    if not m or m.end() == len(text):
+        return None
+    rest, zone = text[m.end() :].lstrip(" ,"), ""
+    first, _, others = rest.partition(" ")
+    if others and _named_zone(first.rstrip(","), home) is not None:
+        zone, rest = first.rstrip(","), others.lstrip(" ,-")
+    rest = re.sub(r"(?i)^(?:on|le|am|el|il|op) (?=\w)", "", rest)
+    found = _date(rest + " ", order)
+    if not found and (weekday := _WEEKDAY.match(rest)):
+        rest = rest[weekday.end() :]
+        found = _date(rest + " ", order)
+    if not found or found[3].strip() and (zone or _named_zone(found[3].strip(" ,"), home) is None):
+        return None
+    behind = found[3].strip(" ,")
+    return f"{rest[: len(rest) + 1 - len(found[3])].rstrip(' ,')} {m[0].strip()} {zone or behind}".strip()
+
+
 def parse_instant(raw: str | None, home_zone: str | None, date_order: str | None) -> int | None:
     """Microseconds since 1970-01-01 UTC, or None where the text fixes no instant.
 
@@ -189,7 +225,8 @@ def parse_instant(raw: str | None, home_zone: str | None, date_order: str | None
     weekday = _WEEKDAY.match(text)
     found = _date(text, date_order or "") or (_date(text[weekday.end() :], date_order or "") if weekday else None)
     if not found:
-        return None
+        turned = _date_first(text, date_order or "", home_zone or "")
+        return parse_instant(turned, home_zone, date_order) if turned else None
     y, mo, d, rest = found
     join = _JOIN.match(rest)
     if not join:
@@ -218,31 +255,37 @@ def parse_instant(raw: str | None, home_zone: str | None, date_order: str | None
         return None
 
 
-_PARSED = T.StructType([T.StructField("zone", T.StringType()), T.StructField("date_order", T.StringType()), T.StructField("raw", T.StringType()), T.StructField("instant_us", T.LongType())])
+#: Raised when the parser changes, so that a dictionary never holds what an older one made of a text.
+PARSER_VERSION = 2
+
+_PARSED = T.StructType([T.StructField("key", T.StringType()), T.StructField("instant_us", T.LongType())])
 
 
 def _parse_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in batches:
         values = [parse_instant(r, z, o) for r, z, o in zip(pdf["raw"], pdf["zone"], pdf["date_order"], strict=True)]
-        yield pdf[["zone", "date_order", "raw"]].assign(instant_us=pd.array(values, dtype="Int64"))
+        yield pdf[["key"]].assign(instant_us=pd.array(values, dtype="Int64"))
+
+
+def dictionary_path(spark: SparkSession) -> str:
+    """Where the dictionary of this parser is kept in the shared folder, for all runs."""
+    return kept_path(spark, f"instants-{PARSER_VERSION}")
 
 
 def extend_dictionary(values: DataFrame, path: str) -> DataFrame:
-    """Parse those of ``values`` (zone, date_order, raw, n) that the dictionary at ``path`` lacks and append them.
+    """Parse those of ``values`` (key, zone, date_order, raw) whose key the dictionary at ``path`` lacks and append them.
 
-    Returns the dictionary.  NULL zones and orders are values like any other.  A text without an instant is kept
-    with a NULL instant, so it isn't parsed again either.
+    Returns the dictionary (key, instant_us), each key once.  A text without an instant is kept with a NULL instant, so it isn't
+    parsed again either.
     """
     spark = values.sparkSession
     jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
     folder = jvm.org.apache.hadoop.fs.Path(path)
-    new = values.select("zone", "date_order", "raw")
+    new = values.select("key", "zone", "date_order", "raw")
     if folder.getFileSystem(conf).exists(folder):
-        known = spark.read.schema(_PARSED).parquet(path)
-        same = new["zone"].eqNullSafe(known["zone"]) & new["date_order"].eqNullSafe(known["date_order"]) & (new["raw"] == known["raw"])
-        new = new.join(known, same, "left_anti")
+        new = new.join(spark.read.schema(_PARSED).parquet(path), "key", "left_anti")
     new.mapInPandas(_parse_batches, _PARSED).write.mode("append").parquet(path)
-    return spark.read.schema(_PARSED).parquet(path)
+    return spark.read.schema(_PARSED).parquet(path).groupBy("key").agg(F.first("instant_us").alias("instant_us"))
 
 
 def normalise_instants(rows: DataFrame, feeds: DataFrame, *, text: str = "published", source: str = "source", dictionary: str | None = None) -> DataFrame:
@@ -252,16 +295,15 @@ def normalise_instants(rows: DataFrame, feeds: DataFrame, *, text: str = "publis
     writes; of a source listed twice any one row counts.  Rows whose text fixes no instant, is NULL, or names no
     zone while its source is unknown or NULL, keep a NULL instant.  Repeated rows stay repeated; all columns of
     ``rows`` stay, and one of the name ``instant_us`` is replaced.  An empty table gives an empty table.
-    ``dictionary`` is the Parquet folder of the values parsed so far, which is extended; without it a fresh one
-    in the shared folder is used.
+    ``dictionary`` is the Parquet folder of the values parsed so far, which is extended; without it the one of
+    ``dictionary_path`` is used, so that later runs parse only what is new to them.
     """
     keep = [F.col(f"`{c}`") for c in rows.columns if c != "instant_us"]
     how = feeds.select(F.col(source).alias("_source"), F.col("home_zone").alias("_zone"), F.col("date_order").alias("_order")).where("_source is not null").dropDuplicates(["_source"])
     key = F.concat_ws("\x01", F.coalesce("_zone", F.lit("\x02")), F.coalesce("_order", F.lit("\x02")), F.col(text))
     read = rows.join(how, F.col(source) == F.col("_source"), "left").withColumn("_key", F.when(F.col(text).isNotNull(), key))
-    counted = read.where("_key is not null").groupBy("_key").agg(F.first("_zone").alias("zone"), F.first("_order").alias("date_order"), F.first(text).alias("raw"), F.count("*").alias("n"))
+    counted = read.where("_key is not null").groupBy(F.col("_key").alias("key")).agg(F.first("_zone").alias("zone"), F.first("_order").alias("date_order"), F.first(text).alias("raw"), F.count("*").alias("n"))
     values = written(counted, "instant-values")
-    known = extend_dictionary(values, dictionary or new_path(rows.sparkSession, "instants"))
-    same = values["zone"].eqNullSafe(known["zone"]) & values["date_order"].eqNullSafe(known["date_order"]) & (values["raw"] == known["raw"])
-    parsed = values.join(known, same).where("instant_us is not null").select("_key", "n", "instant_us")
-    return salted_lookup(read.select(*keep, "_key"), parsed, "_key", how="left").select(*keep, "instant_us")
+    known = extend_dictionary(values, dictionary or dictionary_path(rows.sparkSession))
+    parsed = values.select("key", "n").join(known, "key").where("instant_us is not null").select(F.col("key").alias("_key"), "n", "instant_us")
+    return salted_lookup(read.select(*keep, "_key"), written(parsed, "instants"), "_key", how="left").select(*keep, "instant_us")

@@ -13,9 +13,8 @@ HOT_ROWS = 100_000
 NULL_SALTS = 4096
 
 
-def salts(n: Column, hot_rows: int = HOT_ROWS) -> Column:
-    """Into how many parts a key of ``n`` rows is split."""
-    return F.greatest(F.lit(1), F.ceil(n / F.lit(hot_rows))).cast("int")
+#: Most keys that are salted: their hashes are broadcast (16 bytes each).
+MOST_HOT = 100_000
 
 
 def row_hash(df: DataFrame) -> Column:
@@ -27,14 +26,23 @@ def row_hash(df: DataFrame) -> Column:
 def salted_lookup(rows: DataFrame, dim: DataFrame, key: str, *, how: str = "inner", hot_rows: int = HOT_ROWS, n: str = "n") -> DataFrame:
     """Join ``rows`` with ``dim``, whose ``key`` is unique and whose column ``n`` counts the rows of the key.
 
-    Keys above ``hot_rows`` are salted: the rows by a hash of themselves, the one row of ``dim`` repeated once per
-    salt.  Which keys those are is broadcast as (key, parts): at most row count / ``hot_rows`` keys can be so large.
-    NULL keys match nothing and are spread.  Columns of ``dim`` other than ``key`` and ``n`` are added to ``rows``.
+    Where no key has more than ``hot_rows`` rows this is a plain join.  Otherwise keys above the limit are salted: the rows by a
+    hash of themselves, the one row of ``dim`` repeated once per salt.  The limit is at least the sum of ``n`` / MOST_HOT, so
+    fewer than MOST_HOT keys are above it, and only their hashes are broadcast; both sides look a key up by its hash, so a
+    key that shares one is merely salted as well.  NULL keys match nothing and are spread.  Columns of ``dim`` other than
+    ``key`` and ``n`` are added to ``rows``.
     """
-    parts = dim.withColumn("_parts", salts(F.col(n), hot_rows)).drop(n)
-    hot = parts.where("_parts > 1").select(key, F.col("_parts").alias("_hot"))
-    spread = row_hash(rows)
-    salt = F.when(F.col(key).isNull(), F.pmod(F.col("_spread"), F.lit(NULL_SALTS))).when(F.col("_hot").isNull(), 0).otherwise(F.pmod(F.col("_spread"), F.col("_hot")))
-    salted = rows.withColumn("_spread", spread).join(F.broadcast(hot), key, "left").withColumn("_salt", salt.cast("int")).drop("_hot", "_spread")
-    repeated = parts.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1))).drop("_parts")
+    total, most = dim.agg(F.sum(n), F.max(n)).first()
+    limit = max(hot_rows, -(-int(total or 0) // MOST_HOT))
+    if (most or 0) <= limit:
+        if how == "inner":
+            return rows.join(dim.drop(n), key)
+        salt = F.when(F.col(key).isNull(), F.pmod(row_hash(rows), F.lit(NULL_SALTS))).otherwise(0).cast("int")
+        return rows.withColumn("_salt", salt).join(dim.drop(n).withColumn("_salt", F.lit(0)), [key, "_salt"], how).drop("_salt")
+    hashed = F.xxhash64(key)
+    hot = dim.where(F.col(n) > limit).groupBy(hashed.alias("_hash")).agg(F.ceil(F.max(n) / F.lit(limit)).cast("int").alias("_parts"))
+    parts = F.coalesce("_parts", F.lit(1))
+    salt = F.when(F.col(key).isNull(), F.pmod("_spread", F.lit(NULL_SALTS))).otherwise(F.pmod("_spread", parts)).cast("int")
+    salted = rows.withColumns({"_spread": row_hash(rows), "_hash": hashed}).join(F.broadcast(hot), "_hash", "left").withColumn("_salt", salt).drop("_parts", "_spread", "_hash")
+    repeated = dim.withColumn("_hash", hashed).join(F.broadcast(hot), "_hash", "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), parts - 1))).drop(n, "_parts", "_hash")
     return salted.join(repeated, [key, "_salt"], how).drop("_salt")

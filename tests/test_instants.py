@@ -34,6 +34,18 @@ CASES = [
     ("1779739054.949", "UTC", "YMD", 1779739054949000),
     ("20260226033721", "Asia/Tokyo", "YMD", us(2026, 2, 25, 18, 37, 21)),
     ("20251224T004333Z", "Asia/Tokyo", "YMD", us(2025, 12, 24, 0, 43, 33)),
+    ("946684800", "UTC", "YMD", 946684800_000000),
+    ("Mon Mar 4 09:15:00 EST 2024", "UTC", "MDY", us(2024, 3, 4, 14, 15)),
+    ("Mon Mar  4 09:15:00 2024", "Asia/Tokyo", "MDY", us(2024, 3, 4, 0, 15)),
+    ("4th of March 2024 09:15", "UTC", "DMY", us(2024, 3, 4, 9, 15)),
+    ("9:15 AM, March 4 2024", "UTC", "MDY", us(2024, 3, 4, 9, 15)),
+    ("14:05 GMT, 4 March 2024", "Asia/Tokyo", "DMY", us(2024, 3, 4, 14, 5)),
+    ("09:15 on Monday, 04/03/2024", "UTC", "DMY", us(2024, 3, 4, 9, 15)),
+    ("2024-03-04 9 PM", "UTC", "YMD", us(2024, 3, 4, 21)),
+    ("2024-W10-1T09:15", "UTC", "YMD", us(2024, 3, 4, 9, 15)),
+    ("2024-064T09:15Z", "Asia/Tokyo", "YMD", us(2024, 3, 4, 9, 15)),
+    ("2023-366T09:15Z", "UTC", "YMD", None),
+    ("9:15 AM, soon", "UTC", "MDY", None),
     # twice: the earlier; skipped: the offset before the change
     ("2025-11-02 01:30", "America/New_York", "MDY", us(2025, 11, 2, 5, 30)),
     ("2026-03-08 02:30", "America/New_York", "MDY", us(2026, 3, 8, 7, 30)),
@@ -65,8 +77,45 @@ def test_rows(spark, tmp_path):
     # the second run parsed nothing again
     assert spark.read.parquet(path).count() == 5
     assert normalise_instants(df.limit(0), feeds).count() == 0
-    values = df.where("false").selectExpr("source as zone", "source as date_order", "published as raw")
+    values = df.where("false").selectExpr("source as key", "source as zone", "source as date_order", "published as raw")
     assert extend_dictionary(values, path).count() == 5
+    # an entry that two writers added counts once
+    spark.read.parquet(path).write.mode("append").parquet(path)
+    assert normalise_instants(df, feeds, dictionary=path).count() == 7
+
+
+def test_second_run_parses_nothing(spark, tmp_path):
+    from quillspan.operators import instants
+    from quillspan.plans.problems import p1_found
+
+    feeds = spark.createDataFrame([("a", "Asia/Tokyo", "YMD")], "source string, home_zone string, date_order string")
+    heads = spark.createDataFrame([(i, "a", f"2026-01-01 0{i % 10}:00") for i in range(40)], "item_id long, source string, published string")
+    feeds.write.parquet(f"{tmp_path}/feeds.parquet")
+    heads.write.parquet(f"{tmp_path}/headlines.parquet")
+    first = {tuple(r) for r in p1_found(spark, str(tmp_path)).collect()}
+    path = instants.dictionary_path(spark)
+    before = spark.read.parquet(path).count()
+    assert {tuple(r) for r in p1_found(spark, str(tmp_path)).collect()} == first and len(first) == 40
+    assert spark.read.parquet(path).count() == before
+
+
+def test_shared_folder(spark):
+    from quillspan.shared import new_path, release, shared_dir, written
+
+    df = written(spark.range(3).toDF("x"), "t")
+    assert df.count() == 3 and new_path(spark, "t").startswith(shared_dir(spark))
+    release(spark)
+    with pytest.raises(Exception, match="(?i)not.*exist|not_exist"):
+        df.count()
+
+    class Unnamed:
+        """A session on a cluster that names no shared folder."""
+
+        conf = type("Conf", (), {"get": staticmethod(lambda key, default=None: default)})
+        sparkContext = type("Context", (), {"master": "spark://host:7077", "getConf": staticmethod(dict)})
+
+    with pytest.raises(RuntimeError):
+        shared_dir(Unnamed)
 
 
 def test_salted_lookup(spark):
@@ -75,3 +124,6 @@ def test_salted_lookup(spark):
     inner, left = salted_lookup(rows, dim, "key", hot_rows=50), salted_lookup(rows, dim, "key", how="left", hot_rows=50)
     assert inner.count() == 900 and left.count() == 1000 and left.where("top is null").count() == 100
     assert inner.where("key = 'hot'").agg(F.min("top"), F.max("top")).first() == (699, 699)
+    # without a hot key the lookup is a plain join
+    assert salted_lookup(rows, dim, "key").count() == 900 and salted_lookup(rows, dim, "key", how="left").count() == 1000
+    assert salted_lookup(rows, dim.limit(0), "key").count() == 0 and salted_lookup(rows.limit(0), dim, "key", hot_rows=50).count() == 0
