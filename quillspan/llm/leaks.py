@@ -2,17 +2,18 @@
 
 Windows of the length of the shortest passage that counts are taken at every word of items and documents and embedded by
 the CGK random walk, under which few edits become few differing places.  Hashes of places sampled from the embeddings
-(bit-sampling LSH, repeated until the wanted recall is met) give candidates, and a banded local alignment of the words
-decides each of them exactly.
+(bit-sampling LSH, repeated until the wanted recall is met) give candidates, and a banded alignment of the words
+decides each of them exactly.  Windows and candidates that share too few four-word sequences with the items to be part of
+a passage are left out before.
 """
 
 from __future__ import annotations
 
+import pickle
 import re
 import unicodedata
-from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
@@ -20,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quillspan.shared import spread
+from quillspan.shared import spread, written
 
 #: Words in a row of an item that count as a leak, words of slack that altered edges may cost, and share of edits.
 PASSAGE_WORDS, EDGE_SLACK, EDIT_SHARE = 25, 2, 0.16
@@ -30,12 +31,27 @@ WALKS, SAMPLES, PLACES, STEPS = 6, 3, 8, 40
 EDIT_PRICE, BAND = 2, 7
 #: Score that any passage has at least: its words, less the matches lost and the price of as many edits as may be in the shortest one.
 LEAST_SCORE = PASSAGE_WORDS - (1 + EDIT_PRICE) * int(EDIT_SHARE * PASSAGE_WORDS + 1e-9)
-#: Words of items that are indexed and sent to the executors at a time (about 500 bytes each); more make further blocks.
-BLOCK_WORDS = 100_000
+#: Words of a sequence; sequences that a window shares with the items at least, and that a passage shares with its item at least.
+#: Of 25 words with 4 altered ones, 22 - 4 * 4 sequences stay whole; all other passages that count keep more.  Windows that reach
+#: beyond a passage have fewer of it, so that less is asked of them.
+GRAM, WINDOW_GRAMS = 4, 3
+PASSAGE_GRAMS = PASSAGE_WORDS - GRAM + 1 - GRAM * int(EDIT_SHARE * PASSAGE_WORDS + 1e-9)
+#: Words of items that are indexed together (about 500 bytes each), blocks of them that one pass over the documents looks through.
+BLOCK_WORDS, PASS_BLOCKS = 100_000, 16
+#: Items are cut into parts of so many words, with an overlap that holds the shortest part of a passage that decides.
+PART_WORDS, PART_OVERLAP = 20_000, 4 * PASSAGE_WORDS
+#: Share of the items, and number of them, that must have a sentence for it to be an instruction.
+COMMON_SHARE, COMMON_LEAST = 0.01, 2
+#: Characters of documents, and documents, that are looked through together; occurrences of sequences counted at a time.
+BATCH_CHARS, BATCH_TEXTS, BATCH_GRAMS = 2_000_000, 2_000, 4_000_000
+#: Windows that walk together.
+BATCH_WINDOWS = 16_384
+#: Bits of the tables that tell most hashes that don't occur.
+BITS = 20
 
 _HIDDEN = re.compile("[­​-‏⁠-⁤﻿]")
 _MARKUP = re.compile(r"<[^<>\n]{0,200}>|&(?:nbsp|amp|quot|lt|gt|#\d+);|[*_`~#|]+")
-_PAGE = re.compile(r"(?im)^[\s\-–—\[(]*(?:page|seite|página|p\.)\s*\d+(?:\s*(?:of|/|von|de|sur)\s*\d+)?[\s\-–—\])]*$|\[\s*(?:page|p\.)\s*\d+\s*\]|^\s*[-–—]\s*\d+\s*[-–—]\s*$|\f")
+_PAGE = re.compile(r"(?im)^[ \t\-–—\[(]{0,40}(?:page|seite|página|p\.)[ \t]*\d+(?:[ \t]*(?:of|/|von|de|sur)[ \t]*\d+)?[ \t\r\-–—\])]{0,40}$|\[\s{0,9}(?:page|p\.)\s{0,9}\d+\s{0,9}\]|^[ \t]{0,40}[-–—][ \t]*\d+[ \t]*[-–—][ \t\r]{0,40}$|\f")
 _BROKEN = re.compile(r"(?<=\w)[-‐‑]\s*(?=\w)")
 _WORD = re.compile(r"[^\W_]+(?:['’][^\W_]+)*")
 
@@ -44,26 +60,27 @@ def words_of(text: str | None) -> list[str]:
     """Words of a text apart from case, punctuation, blanks, hyphens, mark-up, page marks and invisible characters."""
     if not text:
         return []
-    text = _HIDDEN.sub("", text if text.isascii() else unicodedata.normalize("NFKC", text))
+    if not text.isascii():
+        text = _HIDDEN.sub("", unicodedata.normalize("NFKC", text))
     text = _BROKEN.sub("", _MARKUP.sub(" ", _PAGE.sub(" ", text)))
     return _WORD.findall(text.replace("'", "").replace("’", "").lower())
 
 
-def own_clauses(items: list[tuple[int, str | None]]) -> dict[int, list[list[str]]]:
-    """The parts of each item that are its own: its text cut at sentences that recur from item to item."""
-    sentences = {i: [words_of(s) for s in re.split(r"(?<=[.!?:])\s+|\n+", text or "")] for i, text in items}
-    seen = Counter(s for parts in sentences.values() for s in {" ".join(p) for p in parts})
-    common = {s for s, n in seen.items() if n > max(2, 0.01 * len(items))}
-    out = {}
-    for i, parts in sentences.items():
-        pieces: list[list[str]] = [[]]
-        for p in parts:
-            if " ".join(p) in common:
-                pieces.append([])
-            else:
-                pieces[-1].extend(p)
-        out[i] = [p for p in pieces if len(p) >= PASSAGE_WORDS]
-    return out
+def sentences_of(text: str | None) -> list[list[str]]:
+    """The words of each sentence or line of an item."""
+    return [words_of(x) for x in re.split(r"(?<=[.!?:])\s+|\n+", text or "")]
+
+
+def own_pieces(sentences: list[list[str]], common: list[bool]) -> list[list[str]]:
+    """The parts of an item that are its own: its sentences, cut at those that recur from item to item; long ones in overlapping parts."""
+    pieces: list[list[str]] = [[]]
+    for words, recurs in zip(sentences, common, strict=True):
+        if recurs:
+            pieces.append([])
+        else:
+            pieces[-1].extend(words)
+    step = PART_WORDS - PART_OVERLAP
+    return [p[at : at + PART_WORDS] for p in pieces if len(p) >= PASSAGE_WORDS for at in range(0, max(1, len(p) - PART_OVERLAP), step)]
 
 
 def _mixed(x: np.ndarray, salt: int) -> np.ndarray:
@@ -87,48 +104,89 @@ def window_hashes(words: np.ndarray, starts: np.ndarray) -> Iterator[tuple[int,
     coded = _mixed(words, 0)
     for walk in range(WALKS):
         bits = _mixed(words, walk + 1)
-        at = starts.copy()
         wanted = [_places(walk, s) for s in range(SAMPLES)]
         hashes = [np.zeros(len(starts), np.uint64) for _ in range(SAMPLES)]
-        for step in range(STEPS):
-            for s, places in enumerate(wanted):
-                if step in places:
-                    hashes[s] = hashes[s] * np.uint64(0x9E3779B97F4A7C15) + coded[at]
-            at = at + ((bits[at] >> np.uint64(step)) & np.uint64(1)).astype(np.int64)
+        for part in range(0, len(starts), BATCH_WINDOWS):
+            at, held = starts[part : part + BATCH_WINDOWS].astype(np.int64), [h[part : part + BATCH_WINDOWS] for h in hashes]
+            for step in range(STEPS):
+                used = [s for s, places in enumerate(wanted) if step in places]
+                here = coded[at] if used else None
+                for s in used:
+                    held[s] *= np.uint64(0x9E3779B97F4A7C15)
+                    held[s] += here
+                move = bits[at]
+                move >>= np.uint64(step)
+                move &= np.uint64(1)
+                at += move.view(np.int64)
         for s in range(SAMPLES):
             yield walk * SAMPLES + s, hashes[s] ^ (hashes[s] >> np.uint64(29))
 
 
+def gram_hashes(words: np.ndarray) -> np.ndarray:
+    """A hash of the GRAM words from each place on; 0 where one of them is no word of the items, or the end is near."""
+    n = len(words) - GRAM + 1
+    out = np.zeros(len(words), np.uint64)
+    if n > 0:
+        code, known = np.zeros(n, np.uint64), np.ones(n, bool)
+        for k in range(GRAM):
+            part = words[k : k + n]
+            code = code * np.uint64(0x9E3779B97F4A7C15) + part.astype(np.uint64)
+            known &= part > 0
+        code = (code ^ (code >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+        out[:n] = np.where(known, code ^ (code >> np.uint64(32)) | np.uint64(1), np.uint64(0))
+    return out
+
+
+def _marks(hashes: np.ndarray) -> np.ndarray:
+    """Which leading bits occur among hashes."""
+    marks = np.zeros(1 << BITS, bool)
+    marks[hashes >> np.uint64(64 - BITS)] = True
+    return marks
+
+
 @dataclass
 class Index:
-    """Windows of a block of items, by hash."""
+    """Windows of a block of items, by hash, and where each sequence of GRAM words stands."""
 
     vocabulary: dict[str, int]
     words: np.ndarray  # of all pieces, one behind the other, with a gap of PASSAGE_WORDS zeros behind each
-    item: np.ndarray  # of each word
+    item: np.ndarray  # number of the item of each word
+    ids: list  # the id of each item
     keys: list[np.ndarray]  # of each table, sorted
     starts: list[np.ndarray]  # where the window of each key starts
+    grams: np.ndarray  # hashes, sorted
+    gram_at: np.ndarray  # and their places
+    marks: list[np.ndarray] = field(default_factory=list)  # of the keys of each table; of the grams
+    gram_marks: np.ndarray | None = None
+
+    def mark(self) -> Index:
+        """The index with its tables of marks."""
+        if self.gram_marks is None:
+            self.marks, self.gram_marks = [_marks(k) for k in self.keys], _marks(self.grams)
+        return self
 
 
-def build_index(items: list[tuple[int, str | None]], clauses: dict[int, list[list[str]]] | None = None) -> Index:
-    """Index every window of every own clause."""
-    clauses = own_clauses(items) if clauses is None else clauses
+def build_index(pieces: list[tuple[object, list[str]]]) -> Index:
+    """Index every window of (item, words)."""
     vocabulary: dict[str, int] = {}
+    number: dict = {}
     words, item, starts = [], [], []
-    for i, _ in items:
-        for piece in clauses[i]:
-            starts.extend(range(len(words), len(words) + len(piece) - PASSAGE_WORDS // 2))
-            words.extend(vocabulary.setdefault(w, len(vocabulary) + 1) for w in piece)
-            words.extend([0] * PASSAGE_WORDS * 2)
-            item.extend([i] * (len(piece) + PASSAGE_WORDS * 2))
-    w, s = np.array(words, dtype=np.int64), np.array(starts, dtype=np.int64)
+    for i, piece in pieces:
+        starts.extend(range(len(words), len(words) + len(piece) - PASSAGE_WORDS // 2))
+        words.extend(vocabulary.setdefault(w, len(vocabulary) + 1) for w in piece)
+        words.extend([0] * PASSAGE_WORDS * 2)
+        item.extend([number.setdefault(i, len(number))] * (len(piece) + PASSAGE_WORDS * 2))
+    w, s = np.array(words, dtype=np.int32), np.array(starts, dtype=np.int64)
     keys, places = [], []
     if len(s):
         for _, hashes in window_hashes(w, s):
             order = np.argsort(hashes, kind="stable")
             keys.append(hashes[order])
             places.append(s[order])
-    return Index(vocabulary, w, np.array(item, dtype=np.int64), keys, places)
+    grams = gram_hashes(w)
+    at = np.flatnonzero(grams)
+    at = at[np.argsort(grams[at], kind="stable")]
+    return Index(vocabulary, w, np.array(item, dtype=np.int64), list(number), keys, places, grams[at], at)
 
 
 def _runs(low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -208,54 +266,129 @@ def holds_passage(doc: np.ndarray, doc_at: np.ndarray, items: np.ndarray, item_a
 
 def candidates(words: np.ndarray, starts: np.ndarray, index: Index) -> tuple[np.ndarray, np.ndarray]:
     """Pairs (place in words, place in the index) whose windows meet in a table, one for each diagonal of an item."""
-    found = []
+    found = [np.zeros((2, 0), np.int64)]
     for table, hashes in window_hashes(words, starts):
-        low, high = np.searchsorted(index.keys[table], hashes, "left"), np.searchsorted(index.keys[table], hashes, "right")
+        near = np.flatnonzero(index.marks[table][hashes >> np.uint64(64 - BITS)])
+        low, high = np.searchsorted(index.keys[table], hashes[near], "left"), np.searchsorted(index.keys[table], hashes[near], "right")
         hit = high > low
         which, at = _runs(low[hit], high[hit])
-        found.append(np.stack([starts[hit][which], index.starts[table][at]]))
+        found.append(np.stack([starts[near[hit]][which], index.starts[table][at]]))
     doc, item = np.concatenate(found, axis=1)
     # of windows on the same few diagonals within a passage's length, one is enough: the alignment reaches around it
-    diagonal, stretch = (doc - item + 4) // 4, doc // (PASSAGE_WORDS // 2)
-    _, first = np.unique(np.stack([diagonal, stretch, index.item[item]]), axis=1, return_index=True)
+    diagonal, stretch = (doc - item + len(index.words) + 4) // 4, doc // (PASSAGE_WORDS // 2)
+    diagonals = (len(words) + len(index.words)) // 4 + 2
+    _, first = np.unique((stretch * diagonals + diagonal) * len(index.ids) + index.item[item], return_index=True)
     return doc[first], item[first]
 
 
-def leaks_of(texts: list[str | None], index: Index) -> tuple[np.ndarray, np.ndarray]:
-    """(number of the text, item) of every text that contains a passage of an item."""
-    words: list[int] = []
-    owner_start, starts, unknown = [], [], -1
-    get = index.vocabulary.get
-    for text in texts:
-        owner_start.append(len(words))
-        coded = [get(w, -1) for w in words_of(text)]
-        starts.extend(range(len(words), len(words) + len(coded) - PASSAGE_WORDS // 2))
-        words.extend(coded)
-        words.extend([-1] * PASSAGE_WORDS * 2)
+def _bands(number: np.ndarray, item: np.ndarray, diagonal: np.ndarray, index: Index, size: int) -> np.ndarray:
+    """One number for a text, an item and a band of diagonals twice as wide as an alignment reaches to a side."""
+    width = 2 * (BAND + 1)
+    return (number * len(index.ids) + item) * ((len(index.words) + size) // width + 3) + (diagonal + len(index.words) + width) // width
+
+
+def likely(words: np.ndarray, number: np.ndarray, grams: np.ndarray, doc: np.ndarray, item: np.ndarray, index: Index) -> np.ndarray:
+    """Which pairs of places have PASSAGE_GRAMS sequences in common within the band that an alignment looks through."""
+    wanted = np.unique(_bands(number[doc], index.item[item], doc - item, index, len(words)))
+    at = np.flatnonzero(grams)
+    at = at[np.isin(number[at], np.unique(number[doc]))]
+    low, high = np.searchsorted(index.grams, grams[at], "left"), np.searchsorted(index.grams, grams[at], "right")
+    met = np.zeros(len(wanted), np.int64)
+    block = np.cumsum(high - low) // BATCH_GRAMS
+    for b in np.unique(block):
+        part = slice(np.searchsorted(block, b, "left"), np.searchsorted(block, b, "right"))
+        which, place = _runs(low[part], high[part])
+        place, here = index.gram_at[place], at[part][which]
+        for side in (-BAND - 1, BAND + 1):
+            band = _bands(number[here], index.item[place], here - place + side, index, len(words))
+            spot = np.minimum(np.searchsorted(wanted, band), len(wanted) - 1)
+            met += np.bincount(spot[wanted[spot] == band], minlength=len(wanted))
+    return met[np.searchsorted(wanted, _bands(number[doc], index.item[item], doc - item, index, len(words)))] >= PASSAGE_GRAMS
+
+
+def leaks_of(split: list[list[str]], index: Index) -> tuple[np.ndarray, np.ndarray]:
+    """(number of the text, number of the item) of every text, given by its words, that contains a passage of an item."""
     nothing = np.zeros(0, np.int64)
-    w, s = np.array(words, dtype=np.int64), np.array(starts, dtype=np.int64)
-    if not len(s) or not index.keys:
+    if not index.keys:
         return nothing, nothing
-    # a window with few of the items' words can't be part of a passage
-    known = np.concatenate([[0], np.cumsum(w > 0)])
-    half = PASSAGE_WORDS // 2
-    s = s[known[s + half] - known[s] >= half * 0.6]
+    index.mark()
+    get, gap = index.vocabulary.get, [-1] * PASSAGE_WORDS * 2
+    words: list[int] = []
+    sizes = []
+    for text in split:
+        words.extend([get(w, -1) for w in text])
+        words.extend(gap)
+        sizes.append(len(text) + len(gap))
+    w = np.array(words, dtype=np.int32)
+    number = np.repeat(np.arange(len(split)), sizes)
+    # windows that share too few sequences with any item can't be part of a passage
+    grams = gram_hashes(w)
+    some = np.flatnonzero(grams)
+    grams[some[~index.gram_marks[grams[some] >> np.uint64(64 - BITS)]]] = 0
+    shared = np.concatenate([[0], np.cumsum(grams > 0)])
+    last = np.minimum(np.arange(len(w)) + PASSAGE_WORDS - GRAM + 1, len(w))
+    s = np.flatnonzero((shared[last] - shared[:-1] >= WINDOW_GRAMS) & (np.arange(len(w)) < len(w) - 2 * PASSAGE_WORDS))
     if not len(s):
         return nothing, nothing
     doc, item = candidates(w, s, index)
-    good = []
-    for at in range(0, len(doc), 20_000):
-        here, there = doc[at : at + 20_000], item[at : at + 20_000]
-        span, edits, score = align(w, here, index.words, there)
-        sure = passes(span, edits)
-        # the best score may stop short of a passage with edits near its edges; no passage scores less than this
-        open_ = np.flatnonzero(~sure & (score >= LEAST_SCORE))
-        sure[open_] = holds_passage(w, here[open_], index.words, there[open_])
-        good.append(sure)
-    keep = np.concatenate(good) if good else np.zeros(0, bool)
-    number = np.searchsorted(np.array(owner_start), doc[keep], "right") - 1
-    pairs = np.unique(np.stack([number, index.item[item[keep]]]), axis=1)
-    return pairs[0], pairs[1]
+    if not len(doc):
+        return nothing, nothing
+    keep = likely(w, number, grams, doc, item, index)
+    doc, item = doc[keep], item[keep]
+    pair = number[doc] * len(index.ids) + index.item[item]
+    held, first = np.zeros(0, np.int64), np.unique(pair, return_index=True)[1]
+    # one candidate of each pair, then all others of the pairs that it doesn't decide
+    for chosen in (first, np.delete(np.arange(len(pair)), first)):
+        chosen = chosen[~np.isin(pair[chosen], held)]
+        for at in range(0, len(chosen), 20_000):
+            some = chosen[at : at + 20_000]
+            held = np.union1d(held, pair[some[verified(w, doc[some], index.words, item[some])]])
+    return held // len(index.ids), held % len(index.ids)
+
+
+def verified(words: np.ndarray, doc: np.ndarray, items: np.ndarray, item: np.ndarray) -> np.ndarray:
+    """Which pairs of places lie in a passage that counts."""
+    span, edits, score = align(words, doc, items, item)
+    sure = passes(span, edits)
+    # the best score may stop short of a passage with edits near its edges; no passage scores less than this
+    open_ = np.flatnonzero(~sure & (score >= LEAST_SCORE))
+    sure[open_] = holds_passage(words, doc[open_], items, item[open_])
+    return sure
+
+
+def index_blocks(items: DataFrame, *, item_id: str = "item_id", text: str = "text") -> DataFrame:
+    """(block, words, data): pickled indexes of the items' own clauses, BLOCK_WORDS words or a little more each.
+
+    Items are split, counted and indexed by the executors; sentences that more than COMMON_LEAST items and COMMON_SHARE of
+    them have are instructions.
+    """
+    numbered = written(items.where(F.col(text).isNotNull()).select(F.col(item_id).alias("item"), F.col(text).alias("text")).distinct().withColumn("n", F.xxhash64("item", "text")), "leak-items")
+    kind = numbered.schema["item"].dataType
+
+    def split(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            rows = [(n, i, at, " ".join(s)) for n, i, text in zip(pdf["n"], pdf["item"], pdf["text"], strict=True) for at, s in enumerate(sentences_of(text))]
+            yield pd.DataFrame(rows, columns=["n", "item", "at", "words"])
+
+    sentences = T.StructType([T.StructField("n", T.LongType()), T.StructField("item", kind), T.StructField("at", T.LongType()), T.StructField("words", T.StringType())])
+    each = written(numbered.mapInPandas(split, sentences), "leak-sentences")
+    least = max(COMMON_LEAST, COMMON_SHARE * numbered.count())
+    often = each.select("n", "words").distinct().groupBy("words").agg(F.count("*").alias("items")).where(F.col("items") > least).select("words", F.lit(True).alias("often"))
+    whole = each.join(often, "words", "left").groupBy("n").agg(F.first("item").alias("item"), F.array_sort(F.collect_list(F.struct("at", "words", F.coalesce("often", F.lit(False)).alias("often")))).alias("s"))
+
+    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            rows = [(i, " ".join(p), len(p)) for i, s in zip(pdf["item"], pdf["s"], strict=True) for p in own_pieces([x["words"].split() for x in s], [x["often"] for x in s])]
+            yield pd.DataFrame(rows, columns=["item", "piece", "size"])
+
+    parts = written(whole.mapInPandas(cut, T.StructType([T.StructField("item", kind), T.StructField("piece", T.StringType()), T.StructField("size", T.LongType())])), "leak-pieces")
+    blocks = max(1, -(-int(parts.agg(F.sum("size")).first()[0] or 0) // BLOCK_WORDS))
+
+    def build(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["item", "piece"])
+        return pd.DataFrame({"block": pdf["block"].iloc[:1], "words": [int(pdf["size"].sum())], "data": [pickle.dumps(build_index([(i, p.split()) for i, p in zip(pdf["item"].tolist(), pdf["piece"], strict=True)]))]})
+
+    return written(parts.withColumn("block", F.pmod(F.xxhash64("item", "piece"), F.lit(blocks))).groupBy("block").applyInPandas(build, "block long, words long, data binary"), "leak-index")
 
 
 def find_leaks(docs: DataFrame, items: DataFrame, *, doc_id: str = "doc_id", item_id: str = "item_id", text: str = "text") -> DataFrame:
@@ -264,41 +397,41 @@ def find_leaks(docs: DataFrame, items: DataFrame, *, doc_id: str = "doc_id", ite
     About one altered word in ten is allowed (EDIT_SHARE); case, punctuation, blanks, hyphens, line ends, quotation
     marks, mark-up, page marks and invisible characters don't count.  Sentences that recur from item to item are instructions
     and don't count either.  NULL and empty texts have no leaks, items with fewer words than a passage none; repeated ids give one
-    row; other columns are ignored.  The items are held-out material of a fixed size: they are read by the driver and
-    sent out in blocks of BLOCK_WORDS words; each block sees every window of every document, without a shuffle.
+    row; other columns are ignored; without items or documents there are no rows.  The items are indexed in blocks of BLOCK_WORDS words; PASS_BLOCKS of them at most are sent
+    out at a time (under a gigabyte), a task reads one of them at a time, and each document is split into words once for all of
+    these; more blocks take further passes, whose rows are written before the next one begins.
     """
     spark = docs.sparkSession
-    listed = sorted({(r[0], r[1]) for r in items.select(item_id, text).where(F.col(text).isNotNull()).toLocalIterator()})
-    clauses: dict[int, list[list[str]]] = {}
-    for i, parts in own_clauses_of(listed):
-        clauses.setdefault(i, []).extend(parts)
-    blocks, size = [[]], 0
-    for i, parts in clauses.items():
-        size += sum(map(len, parts))
-        if size > BLOCK_WORDS and blocks[-1]:
-            blocks.append([])
-            size = 0
-        blocks[-1].append((i, None))
-    schema = T.StructType([T.StructField(doc_id, docs.schema[doc_id].dataType), T.StructField(item_id, T.LongType())])
+    blocks = index_blocks(items, item_id=item_id, text=text)
+    schema = T.StructType([T.StructField(doc_id, docs.schema[doc_id].dataType), T.StructField(item_id, items.schema[item_id].dataType)])
     read = spread(docs.select(F.col(doc_id).alias("id"), F.col(text).alias("text")).where("text <> ''"))
-    out = None
-    for block in blocks:
-        index = spark.sparkContext.broadcast(build_index(block, clauses))
-
-        def run(batches: Iterator[pd.DataFrame], index=index) -> Iterator[pd.DataFrame]:
+    numbers = sorted(r[0] for r in blocks.select("block").collect())
+    out = spark.createDataFrame([], schema)
+    for first in range(0, len(numbers), PASS_BLOCKS):
+        sent = [spark.sparkContext.broadcast(r[0]) for r in blocks.where(F.col("block").isin(numbers[first : first + PASS_BLOCKS])).select("data").toLocalIterator()]
+        known: dict[int, Index] = {}
+
+        def index_of(k: int, sent=sent, known=known) -> Index:
+            if k not in known:
+                known.clear()
+                known[k] = pickle.loads(bytes(sent[k].value))
+                sent[k].__dict__.pop("_value", None)  # else a task would come to hold all blocks
+            return known[k]
+
+        def run(batches: Iterator[pd.DataFrame], index_of=index_of, count=len(sent)) -> Iterator[pd.DataFrame]:
             for pdf in batches:
-                for at in range(0, len(pdf), 500):
-                    part = pdf.iloc[at : at + 500]
-                    number, item = leaks_of(part["text"].tolist(), index.value)
-                    yield pd.DataFrame({doc_id: part["id"].to_numpy()[number], item_id: item})
+                chunk = pdf["text"].str.len().cumsum() // BATCH_CHARS + np.arange(len(pdf)) // BATCH_TEXTS
+                for _, part in pdf.groupby(chunk.to_numpy(), sort=False):
+                    split, ids = [words_of(x) for x in part["text"]], part["id"].to_numpy()
+                    for k in range(count):
+                        index = index_of(k)
+                        number, item = leaks_of(split, index)
+                        yield pd.DataFrame({doc_id: ids[number], item_id: [index.ids[i] for i in item]})
 
         found = read.mapInPandas(run, schema)
-        out = found if out is None else out.unionByName(found)
+        if len(numbers) > PASS_BLOCKS:
+            found = written(found, "leaks")
+            for x in sent:
+                x.destroy()
+        out = found if first == 0 else out.unionByName(found)
     return out.distinct()
-
-
-def own_clauses_of(items: list[tuple[int, str]]) -> Iterator[tuple[int, list[list[str]]]]:
-    """Own clauses of items whose ids may repeat."""
-    numbered = own_clauses([(n, text) for n, (_, text) in enumerate(items)])
-    for n, (i, _) in enumerate(items):
-        yield i, numbered[n]
