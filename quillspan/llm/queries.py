@@ -76,6 +76,18 @@ def p5_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _draw(spark, sf_dir).report
 
 
+def p5_kept(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quota and pool rows of each category, whether it can be filled, whether the sample keeps what the pool has of its minimum, and
+    whether the sample has the stated size."""
+    draw = _draw(spark, sf_dir)
+    goal = table(spark, sf_dir, "sample_targets").select("axis", "category", "min_rows")
+    size = draw.sample.agg(F.count("*").alias("size"))
+    pool = table(spark, sf_dir, "chat").where("split = 'train'").agg(F.floor(F.count("*") / 4).alias("wanted"))
+    out = draw.report.join(F.broadcast(goal), ["axis", "category"]).crossJoin(F.broadcast(size)).crossJoin(F.broadcast(pool))  # one row each
+    floor = F.col("drawn") >= F.least("min_rows", "available")
+    return out.select("axis", "category", "quota", "available", "reachable", floor.alias("floor_kept"), (F.col("size") == F.col("wanted")).alias("size_kept"))
+
+
 def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The token ids of each document by byte_bpe_50k."""
     return encode_texts(table(spark, sf_dir, "documents"))
@@ -96,9 +108,9 @@ def p8_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return truncation_rates(score_truncation(table(spark, sf_dir, "documents")))
 
 
-QUERIES = {"p2_found": p2_found, "p3_found": p3_found, "p3_report": p3_report, "p4_found": p4_found, "p4_copies": p4_copies, "p5_found": p5_found, "p5_sample": p5_sample, "p5_report": p5_report, "p6_ids": p6_ids, "p7_found": p7_found, "p8_found": p8_found, "p8_rates": p8_rates}
-SQL: dict[str, str] = {
-    "p5_found": r"""
+QUERIES = {"p2_found": p2_found, "p3_found": p3_found, "p3_report": p3_report, "p4_found": p4_found, "p4_copies": p4_copies, "p5_found": p5_found, "p5_sample": p5_sample, "p5_report": p5_report, "p5_kept": p5_kept, "p6_ids": p6_ids, "p7_found": p7_found, "p8_found": p8_found, "p8_rates": p8_rates}
+# pool rows by axis and category, and the size of the sample
+_POOL = r"""
         WITH pool AS (
           SELECT m.metadata AS d FROM chat m WHERE split = 'train'),
         labels AS (
@@ -109,11 +121,14 @@ SQL: dict[str, str] = {
         counts AS (
           SELECT axis, regexp_replace(trim(lower(label), E' \\t\\n'), '[ _-]+', ' ', 'g') AS label, count(*) AS n
           FROM labels WHERE label IS NOT NULL GROUP BY ALL),
-        size AS (SELECT count(*) // 4 AS s FROM pool)
-        SELECT t.axis, t.category
-        FROM sample_targets t CROSS JOIN size
-        LEFT JOIN counts c ON c.axis = t.axis
-          AND c.label = regexp_replace(trim(lower(t.category), E' \\t\\n'), '[ _-]+', ' ', 'g')
-        WHERE coalesce(c.n, 0) < greatest(t.min_rows, (t.target_pct * s + 99) // 100)
-    """,
+        size AS (SELECT count(*) // 4 AS s FROM pool),
+        quotas AS (
+          SELECT t.axis, t.category, greatest(t.min_rows, (t.target_pct * s + 99) // 100) AS quota, coalesce(c.n, 0) AS available
+          FROM sample_targets t CROSS JOIN size
+          LEFT JOIN counts c ON c.axis = t.axis
+            AND c.label = regexp_replace(trim(lower(t.category), E' \\t\\n'), '[ _-]+', ' ', 'g'))"""
+
+SQL: dict[str, str] = {
+    "p5_found": _POOL + " SELECT axis, category FROM quotas WHERE available < quota",
+    "p5_kept": _POOL + " SELECT axis, category, quota, available, available >= quota AS reachable, true AS floor_kept, true AS size_kept FROM quotas",
 }
