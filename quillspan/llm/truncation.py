@@ -2,7 +2,8 @@
 
 Intact texts are cut artificially to get positives, a hashed logistic regression is trained on how a text closes
 (characters, punctuation, length against the limits of its source), and every record is scored.  What may stand
-behind the break, such as closing lines, references and lists, is told by how often its wording closes documents.
+behind the break, such as closing lines, references and lists, is told by how often its wording closes documents, and
+placeholders by how often they are a whole text.
 """
 
 from __future__ import annotations
@@ -17,8 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quillspan.shared import spread
-
+from quillspan.shared import spread, written
 
 #: Texts that the regression is trained on at most (a random sample of the intact ones; all else covers all data).
 TRAINING_TEXTS = 5_000
@@ -30,6 +30,10 @@ FORM_CHARS = 90
 #: A length is a limit of a source if this share of its texts, and at least five, have exactly it.
 LIMIT_SHARE = 0.02
 LIMIT_LEAST = 5
+#: Words that stand for a text that isn't there.
+PLACEHOLDERS = frozenset(". - -- n/a na n.a. none null nil void tbd tba pending withdrawn empty unknown".split())
+#: Most words and characters of a text that is told by its whole wording rather than its close.
+FEW_WORDS, FEW_CHARS = 3, 25
 #: Hash buckets of the regression.
 BUCKETS = 1 << 18
 
@@ -39,6 +43,9 @@ _END = re.compile(rf"[.!?。！？][{re.escape(_CLOSERS)}]*$")
 _ELLIPSIS = re.compile(r"\s*(?:\[\s*(?:\.\.\.|…)\s*\]|\(\s*(?:\.\.\.|…)\s*\)|\.\.\.+|…)$")
 _LIST_ITEM = re.compile(r"^\s*(?:[-*•–·]|\d{1,3}[.)]|\(?[a-z]\))\s+\S")
 _BROKEN_BYTES = re.compile("�+$")
+_TITLE = re.compile(r"^[A-Z]{3,}(?: [A-Z]{3,})* - ")
+_BLANK = " \t\r\n\x0b\x0c\xa0\u2003\u3000" + _HIDDEN
+_JAVA_BLANK = "".join(f"\\x{{{ord(x):X}}}" for x in _BLANK)
 _WRAPPER = re.compile(r"(?:[\"']?\s*[}\]]|<[^<>]{0,40}|&[a-z]{0,6})+$")
 
 
@@ -98,10 +105,11 @@ def _last_sentence(text: str) -> str:
 
 @dataclass
 class Forms:
-    """What is known of the corpus: wordings that close documents, and the lengths each source cuts at."""
+    """What is known of the corpus: wordings that close documents, the lengths each source cuts at, texts that are placeholders."""
 
     wordings: frozenset[str] = frozenset()
     limits: dict[str, frozenset[int]] = field(default_factory=dict)
+    placeholders: frozenset[str] = PLACEHOLDERS
 
 
 @dataclass
@@ -163,6 +171,8 @@ def features(text: str, source: str | None, forms: Forms, length: int | None = N
     shape = "".join("d" if x.isdigit() else "u" if x.isupper() else "l" if x.isalpha() else " " if x.isspace() else x for x in rest[-6:])
     length = len(text) if length is None else length
     limits = forms.limits.get(source or "", frozenset())
+    few = len(rest) <= FEW_CHARS and len(words) <= FEW_WORDS
+    title = bool(_TITLE.match(rest)) and len(rest) <= FORM_CHARS and "\n" not in rest.strip()
     names = [
         "bias",
         f"end={c.finished}",
@@ -184,6 +194,9 @@ def features(text: str, source: str | None, forms: Forms, length: int | None = N
         f"empty={not rest}",
         f"end,colon={c.finished},{rest[-1:] == ':' and c.lists > 0}",
         f"words={min(len(words), 4)}",
+        f"few,end={few},{c.finished}",
+        f"placeholder={whole(text) in forms.placeholders}",
+        f"title,lists={title},{c.lists > 0}",
     ]
     return [_bucket(x) for x in names]
 
@@ -214,23 +227,43 @@ class Model:
     forms: Forms
 
     def score(self, text: str, source: str | None) -> float:
-        """Probability that the running text breaks off; 0 where there is no running text."""
-        close = close_of(text, self.forms)
-        if not running(close.rest):
+        """Probability that the running text breaks off; 0 for a text of blanks and invisible characters only."""
+        if not text.strip(_BLANK):
             return 0.0
-        z = float(self.weights[features(text, source, self.forms, close=close)].sum())
+        z = float(self.weights[features(text, source, self.forms)].sum())
         return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
 def artificial_cuts(texts: list[tuple[str, str | None]], forms: Forms, seed: int = 5) -> tuple[list[list[int]], np.ndarray]:
-    """Features and labels of intact texts and of the same texts cut inside a sentence."""
+    """Features and labels of intact texts, of their short parts that are intact, and of the same texts cut inside a sentence.
+
+    Intact are also the last words of a sentence, what stands behind the running text alone or behind a title, and placeholders.
+    """
     rng = np.random.default_rng(seed)
     rows, labels = [], []
-    for text, source in texts:
-        rows.append(features(text, source, forms))
+
+    def intact(part: str) -> None:
+        rows.append(features(part, source, forms))
         labels.append(0)
-        body = close_of(text, forms).rest
+
+    held = sorted(forms.placeholders)
+    for number, (text, source) in enumerate(texts):
+        intact(text)
+        close = close_of(text, forms)
+        body = close.rest
         behind = text[text.rfind(body) + len(body) :] if body else ""
+        if number % 4 == 0:
+            intact(" ".join(body.split()[-int(rng.integers(1, 4)) :]))
+            intact(held[number // 4 % len(held)])
+            if behind.strip() and (close.lists or close.forms):
+                intact(behind.strip())
+            if close.lists and (head := text.split("\n", 1)[0].strip()) and len(head) <= FORM_CHARS and not _at_end(_END, head):
+                intact(head + "\n" + behind.strip())
+            if len(body) > FEW_CHARS:  # a few characters of the start
+                cut = body[: int(rng.integers(3, FEW_CHARS))]
+                if whole(cut) not in forms.placeholders and not close_of(cut, forms).lists and not _at_end(_END, cut.rstrip()):
+                    rows.append(features(cut, source, forms))
+                    labels.append(1)
         limits = [x for x in forms.limits.get(source or "", ()) if 40 < x < len(body)]
         for k in range(2):
             if limits and k == 0:
@@ -249,28 +282,42 @@ def artificial_cuts(texts: list[tuple[str, str | None]], forms: Forms, seed: int
     return rows, np.array(labels)
 
 
-def learn_forms(rows: DataFrame) -> Forms:
-    """Wordings and limits of the whole corpus (columns text, source).
+def whole(text: str) -> str:
+    """A text without blanks and full stops around it, lower case."""
+    return text.strip(_BLANK).rstrip(".").lower() or text.strip(_BLANK)
 
-    Both lists are bounded: at most 5 / FORM_SHARE wordings and 1 / LIMIT_SHARE lengths a source can reach their shares;
-    of sources, the driver holds those with a limit.
-    """
+
+def closings(rows: DataFrame) -> DataFrame:
+    """What is counted of each text (columns text, source): source, length, hash, closing wordings, whether it ends like a finished
+    one, and a short text as it is.  One pass over the texts, written; nothing else of the corpus is read for the counts."""
 
     @F.pandas_udf(T.ArrayType(T.StringType()))
     def found(texts: pd.Series) -> pd.Series:
         return texts.map(closing_wordings)
 
-    texts = rows.where("text is not null").select("text", "source", F.length("text").alias("length"), F.xxhash64("text").alias("hash"))
-    lines = texts.select("hash", F.explode(F.array_distinct(found("text"))).alias("wording")).distinct()
-    total = texts.agg(F.approx_count_distinct("hash", 0.01)).first()[0]
-    least = max(FORM_LEAST, FORM_SHARE * total)
-    wordings = [r[0] for r in lines.groupBy("wording").count().where(F.col("count") >= least).select("wording").collect()]
-    by_length = texts.where("length > 0").groupBy("source", "length").agg(F.count_distinct("hash").alias("n"))
+    intact = (F.length("text") > 60) & F.rtrim("text").rlike(r"[.!?…\]\w-]$")
+    short = F.when(F.length("text") <= FORM_CHARS, F.lower(F.regexp_replace(F.regexp_replace("text", rf"^[{_JAVA_BLANK}]+|[{_JAVA_BLANK}]+$", ""), r"(?<=[^.])\.+$", "")))
+    return written(rows.where("text is not null").select("source", F.length("text").alias("length"), F.xxhash64("text").alias("hash"), F.array_distinct(found("text")).alias("wordings"), intact.alias("intact"), short.alias("short")), "closings")
+
+
+def learn_forms(counted: DataFrame) -> Forms:
+    """Wordings, limits and placeholders of the whole corpus, from its ``closings``.
+
+    All lists are bounded: at most 5 / FORM_SHARE wordings, 1 / FORM_SHARE placeholders, and 1 / LIMIT_SHARE lengths a source can
+    reach their shares; of sources, the driver holds those with a limit.  A placeholder is a whole text of at most FEW_CHARS
+    characters that as many rows have as texts must have a wording.
+    """
+    total, texts = counted.agg(F.count("*"), F.approx_count_distinct("hash", 0.01)).first()
+    lines = counted.select("hash", F.explode("wordings").alias("wording")).distinct()
+    wordings = [r[0] for r in lines.groupBy("wording").count().where(F.col("count") >= max(FORM_LEAST, FORM_SHARE * texts)).select("wording").collect()]
+    repeated = counted.where(f"short <> '' and length(short) <= {FEW_CHARS}").groupBy("short").count().where(F.col("count") >= max(FORM_LEAST, FORM_SHARE * total))
+    placeholders = [r[0] for r in repeated.select("short").collect()]
+    by_length = counted.where("length > 0").select("source", "length", "hash").distinct().groupBy("source", "length").agg(F.count("*").alias("n"))
     sizes = by_length.groupBy("source").agg(F.sum("n").alias("all"))
     limits: dict[str, set[int]] = {}
     for source, length in by_length.where(f"length > 40 and n >= {LIMIT_LEAST}").join(sizes, "source").where(F.col("n") >= LIMIT_SHARE * F.col("all")).select("source", "length").collect():
         limits.setdefault(source, set()).add(length)
-    return Forms(frozenset(wordings), {k: frozenset(v) for k, v in limits.items()})
+    return Forms(frozenset(wordings), {k: frozenset(v) for k, v in limits.items()}, PLACEHOLDERS | frozenset(placeholders))
 
 
 def train(rows: DataFrame, most: int = TRAINING_TEXTS) -> Model:
@@ -279,9 +326,10 @@ def train(rows: DataFrame, most: int = TRAINING_TEXTS) -> Model:
     The sample is drawn by a hash of the text at a rate that gives that many, so the driver gets no more however large the
     corpus is.
     """
-    forms = learn_forms(rows)
+    counted = closings(rows)
+    forms = learn_forms(counted)
+    total = counted.where("intact").agg(F.approx_count_distinct("hash", 0.01)).first()[0]
     intact = rows.where(F.length("text") > 60).where(F.rtrim("text").rlike(r"[.!?…\]\w-]$")).select("text", "source")
-    total = intact.agg(F.approx_count_distinct(F.xxhash64("text"), 0.01)).first()[0]
     unit = F.shiftrightunsigned(F.xxhash64("text", F.lit(11)), 11) / F.lit(float(2**53))
     sample = intact.where(unit < most / max(1, total)).limit(2 * most).collect()
     texts = sorted(((r["text"], r["source"]) for r in sample if close_of(r["text"], forms).finished), key=lambda x: (x[0], x[1] or ""))
@@ -295,7 +343,7 @@ def score_truncation(rows: DataFrame, *, id: str = "doc_id", text: str = "text",
     """(id, source, cut_score, truncated) of every row.
 
     ``truncated`` is true where the running text most likely breaks off inside a word or sentence, whatever stands behind
-    it.  NULL, empty and blank texts, placeholders and titles (texts without any running text) have score 0.  Repeated rows are
+    it.  NULL, empty and blank texts have score 0; all others, placeholders and titles too, are scored by the regression.  Repeated rows are
     scored alike; other columns are ignored; an empty table gives an empty table.
     """
     read = spread(rows.select(F.col(id).alias("id"), F.col(text).alias("text"), F.col(source).alias("source")))
@@ -310,17 +358,6 @@ def score_truncation(rows: DataFrame, *, id: str = "doc_id", text: str = "text",
     return scored.select(F.col("id").alias(id), F.col("source").alias(source), "cut_score", (F.col("cut_score") >= 0.5).alias("truncated"))
 
 
-def running(rest: str) -> bool:
-    """Whether what is left without lists and closing lines is running text: more than a title or a few words."""
-    lines = [x for x in rest.split("\n") if x.strip()]
-    if len(lines) == 1 and len(rest) <= FORM_CHARS and _TITLE.match(rest):
-        return False
-    return len(rest.split()) >= 4 or len(rest) > 25
-
-
-_TITLE = re.compile(r"^[A-Z]{3,}(?: [A-Z]{3,})* - ")
-
-
 def truncation_rates(scored: DataFrame, source: str = "source") -> DataFrame:
     """(source, texts, truncated, rate) of the scored rows; a NULL source is a source of its own."""
     return scored.groupBy(source).agg(F.count("*").alias("texts"), F.count_if("truncated").alias("truncated")).withColumn("rate", F.round(F.col("truncated") / F.col("texts"), 6))

@@ -42,11 +42,23 @@ def test_held_out(spark):
     scored = c.score_truncation(df).cache()
     found = {r.doc_id for r in scored.where("truncated").collect()}
     assert scored.count() == len(rows) and len(found & cut) >= 0.98 * len(cut) and len(found - cut) <= 3
+    # no text is left out for being short or looking like a title
+    model = c.train(df.drop("truncated"))
+    for text in ("The borr", "Lender sha", "Interest is pay", "The agent and the", "ACME - the board of directors appro"):
+        assert model.score(text, "s1") >= 0.5, text
+    for text in ("n/a", "Void", "See annex.", "Withdrawn.", "No text supplied.", "- margin: 1.2\n- deposit: 2.5", "\u200b \xa0"):
+        assert model.score(text, "s1") < 0.5, text
     rates = {r.source: r.rate for r in c.truncation_rates(scored).collect()}
     assert None in rates and 0.2 < rates["s0"] < 0.5
     assert c.score_truncation(df.limit(0)).count() == 0
 
 
+def test_placeholders_recur(spark):
+    rows = [(i, body(3), "s") for i in range(60)] + [(100 + i, "Text follows ", "s") for i in range(4)] + [(200, "Text follo", "s")]
+    forms = c.learn_forms(c.closings(spark.createDataFrame(rows, "doc_id long, text string, source string")))
+    assert "text follows" in forms.placeholders and "text follo" not in forms.placeholders and c.PLACEHOLDERS <= forms.placeholders
+
+
 def test_closings():
     forms = c.Forms(frozenset({"ref. #", "more details will follow shortly…"}))
     assert c.close_of("It ended.\nRef. A12", forms).finished and not c.close_of("It was end\nRef. A12", forms).finished
