@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from typing import Any
 
@@ -11,12 +12,15 @@ from pyspark.sql import functions as F
 from quillspan.shared import written
 
 
+#: The block that this process has unpacked last, for the tasks that it runs one after the other.
+_LAST: dict[tuple[str, int], Any] = {}
+
+
 class Sent:
-    """Blocks that the executors have on disk; a task holds one of them at a time."""
+    """Blocks that the executors have on disk; a process holds one of them at a time."""
 
     def __init__(self, parts: list, load: Callable[[bytes], Any]) -> None:
-        self.parts, self.load = parts, load
-        self.held: tuple[int, Any] | None = None
+        self.parts, self.load, self.name = parts, load, uuid.uuid4().hex
 
     def __len__(self) -> int:
         return len(self.parts)
@@ -24,11 +28,12 @@ class Sent:
     def __getitem__(self, k: int) -> Any:
         if not 0 <= k < len(self.parts):
             raise IndexError(k)
-        if self.held is None or self.held[0] != k:
-            self.held = None
-            self.held = k, self.load(bytes(self.parts[k].value))
+        key = self.name, k
+        if key not in _LAST:
+            _LAST.clear()
+            _LAST[key] = self.load(bytes(self.parts[k].value))
             self.parts[k].__dict__.pop("_value", None)  # else a task would come to hold all blocks
-        return self.held[1]
+        return _LAST[key]
 
 
 def in_passes(blocks: DataFrame, per_pass: int, load: Callable[[bytes], Any], run: Callable[[Sent], DataFrame], name: str) -> DataFrame | None:

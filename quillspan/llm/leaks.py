@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from quillspan.llm.blocks import Sent, in_passes
 from quillspan.shared import spread, written
 
 #: Words in a row of an item that count as a leak, words of slack that altered edges may cost, and share of edits.
@@ -405,33 +406,18 @@ def find_leaks(docs: DataFrame, items: DataFrame, *, doc_id: str = "doc_id", ite
     blocks = index_blocks(items, item_id=item_id, text=text)
     schema = T.StructType([T.StructField(doc_id, docs.schema[doc_id].dataType), T.StructField(item_id, items.schema[item_id].dataType)])
     read = spread(docs.select(F.col(doc_id).alias("id"), F.col(text).alias("text")).where("text <> ''"))
-    numbers = sorted(r[0] for r in blocks.select("block").collect())
-    out = spark.createDataFrame([], schema)
-    for first in range(0, len(numbers), PASS_BLOCKS):
-        sent = [spark.sparkContext.broadcast(r[0]) for r in blocks.where(F.col("block").isin(numbers[first : first + PASS_BLOCKS])).select("data").toLocalIterator()]
-        known: dict[int, Index] = {}
-
-        def index_of(k: int, sent=sent, known=known) -> Index:
-            if k not in known:
-                known.clear()
-                known[k] = pickle.loads(bytes(sent[k].value))
-                sent[k].__dict__.pop("_value", None)  # else a task would come to hold all blocks
-            return known[k]
-
-        def run(batches: Iterator[pd.DataFrame], index_of=index_of, count=len(sent)) -> Iterator[pd.DataFrame]:
+
+    def search(sent: Sent) -> DataFrame:
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for pdf in batches:
                 chunk = pdf["text"].str.len().cumsum() // BATCH_CHARS + np.arange(len(pdf)) // BATCH_TEXTS
                 for _, part in pdf.groupby(chunk.to_numpy(), sort=False):
                     split, ids = [words_of(x) for x in part["text"]], part["id"].to_numpy()
-                    for k in range(count):
-                        index = index_of(k)
+                    for index in sent:
                         number, item = leaks_of(split, index)
                         yield pd.DataFrame({doc_id: ids[number], item_id: [index.ids[i] for i in item]})
 
-        found = read.mapInPandas(run, schema)
-        if len(numbers) > PASS_BLOCKS:
-            found = written(found, "leaks")
-            for x in sent:
-                x.destroy()
-        out = found if first == 0 else out.unionByName(found)
-    return out.distinct()
+        return read.mapInPandas(run, schema)
+
+    out = in_passes(blocks, PASS_BLOCKS, pickle.loads, search, "leaks")
+    return spark.createDataFrame([], schema) if out is None else out.distinct()
