@@ -46,3 +46,29 @@ def salted_lookup(rows: DataFrame, dim: DataFrame, key: str, *, how: str = "inne
     salted = rows.withColumns({"_spread": row_hash(rows), "_hash": hashed}).join(F.broadcast(hot), "_hash", "left").withColumn("_salt", salt).drop("_parts", "_spread", "_hash")
     repeated = dim.withColumn("_hash", hashed).join(F.broadcast(hot), "_hash", "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), parts - 1))).drop(n, "_parts", "_hash")
     return salted.join(repeated, [key, "_salt"], how).drop("_salt")
+
+
+def salted_pairs(left: DataFrame, right: DataFrame, key: str, *, hot_rows: int | None = None) -> DataFrame:
+    """Join of ``left`` and ``right`` on ``key`` in which the rows of a hot key are split on both sides.
+
+    A key's rows of each side are cut into parts of about ``hot_rows`` (default HOT_ROWS) by a hash of the row, and each part of one side meets each of the
+    other in a task of its own.  Only hashes of keys with more rows than that, and than the sum of all / MOST_HOT, are
+    broadcast.  NULL keys match nothing.
+    """
+    hot_rows = hot_rows or HOT_ROWS
+    counted = [side.where(F.col(key).isNotNull()).groupBy(F.xxhash64(key).alias("_hash")).agg(F.count("*").alias("_n")) for side in (left, right)]
+    sizes = [c.agg(F.sum("_n"), F.max("_n")).first() for c in counted]
+    limit = max(hot_rows, *(-(-int(total or 0) // MOST_HOT) for total, _ in sizes))
+    if max(most or 0 for _, most in sizes) <= limit:
+        return left.join(right, key)
+    parts = None
+    for c, name in zip(counted, ("_left", "_right"), strict=True):
+        hot = c.where(F.col("_n") > limit).select("_hash", F.ceil(F.col("_n") / F.lit(limit)).cast("int").alias(name))
+        parts = hot if parts is None else parts.join(hot, "_hash", "full")
+    salted = []
+    for side, own, other in ((left, "_left", "_right"), (right, "_right", "_left")):
+        mine = side.withColumns({"_spread": row_hash(side), "_hash": F.xxhash64(key)}).join(F.broadcast(parts), "_hash", "left")
+        part = F.pmod("_spread", F.coalesce(own, F.lit(1))).cast("int")
+        each = F.explode(F.sequence(F.lit(0), F.coalesce(other, F.lit(1)) - 1))
+        salted.append(mine.withColumn(f"_at{own}", part).withColumn(f"_at{other}", each).drop("_spread", "_hash", "_left", "_right"))
+    return salted[0].join(salted[1], [key, "_at_left", "_at_right"]).drop("_at_left", "_at_right")

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quillspan.operators.instants import extend_dictionary, normalise_instants, parse_instant
-from quillspan.skew import salted_lookup
+from quillspan.skew import salted_lookup, salted_pairs
 
 
 def us(*parts, **zone):
@@ -127,3 +127,13 @@ def test_salted_lookup(spark):
     # without a hot key the lookup is a plain join
     assert salted_lookup(rows, dim, "key").count() == 900 and salted_lookup(rows, dim, "key", how="left").count() == 1000
     assert salted_lookup(rows, dim.limit(0), "key").count() == 0 and salted_lookup(rows.limit(0), dim, "key", hot_rows=50).count() == 0
+
+
+def test_salted_pairs(spark):
+    left = spark.range(300).select(F.col("id").alias("a"), F.when(F.col("id") < 200, "hot").when(F.col("id") < 290, F.concat(F.lit("k"), F.col("id") % 7)).alias("key"))
+    right = spark.range(90).select(F.col("id").alias("b"), F.when(F.col("id") < 60, "hot").otherwise(F.concat(F.lit("k"), F.col("id") % 9)).alias("key"))
+    want = {(r.key, r.a, r.b) for r in left.join(right, "key").collect()}
+    for hot_rows in (None, 50, 100):
+        got = [(r.key, r.a, r.b) for r in salted_pairs(left, right, "key", hot_rows=hot_rows).collect()]
+        assert len(got) == len(want) and set(got) == want
+    assert salted_pairs(left.limit(0), right, "key").count() == 0
