@@ -2,28 +2,33 @@
 
 A transducer is compiled once from a conflict-checked mapping: widths, joined letters, special blanks, hyphens,
 invisible characters and look-alike letters fold character by character, and a trie of decomposed sequences puts
-accents back on their letters by longest match.  It runs over the grapheme clusters of a text in one pass; runs of
-plain ASCII are left alone.
+accents back on their letters by longest match.  It runs over the extended grapheme clusters of a text, as the Unicode
+standard bounds them, in one pass; runs of plain ASCII are left alone.
 """
 
 from __future__ import annotations
 
-import re
 import unicodedata
 from functools import lru_cache
 
 import pandas as pd
+import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quillspan.shared import spread, written
-from quillspan.skew import salted_lookup
-
-# Letters of other scripts that have the shape of a Latin letter, and that letter, pair by pair.
-CYRILLIC = "АA ВB ЕE ЅS ІI ЈJ КK МM НH ОO РP СC ТT УY ХX аa еe оo рp сc уy хx ѕs іi јj һh ԁd ԛq ԝw ԚQ ԜW ҮY ӏl"
-GREEK = "ΑA ΒB ΕE ΖZ ΗH ΙI ΚK ΜM ΝN ΟO ΡP ΤT ΥY ΧX οo ϲc ϹC ϳj"
-ARMENIAN = "օo սu հh ՕO"
+from quillspan.skew import salted_lookup, salted_pairs
+
+# Letters of other scripts that the published table of confusable characters gives the shape of a Latin letter, and
+# that letter, pair by pair.  Left out are those whose other case has the shape of another letter (ν is v, but Ν is N).
+CYRILLIC = "АA ВB ЕE ЅS ІI ЈJ КK МM НH ОO РP СC ТT УY ХX аa еe оo рp сc уy хx ѕs іi јj һh ԁd ԛq ԝw ԚQ ԜW ҮY үy ӏl ѴV ѵv"
+GREEK = "ΑA ΒB ΕE ΖZ ΗH ΙI ΚK ΜM ΝN ΟO ΡP ΤT ΥY ΧX οo ρp ϲc ϹC ϳj ͿJ"
+ARMENIAN = "օo սu հh ՕO ՏS ոn զq ցg"
+CHEROKEE = "ᎠD ᎡR ᎢT ᎥI ᎪA ᎫJ ᎬE ᎳW ᎷM ᎻH ᎽY ᏀG ᏃZ ᏔW ᏙV ᏚS ᏞL ᏟC ᏢP ᏦK ᏴB"
+COPTIC = "ⲂB ⲎH ⲒI ⲔK ⲘM ⲚN ⲞO ⲟo ⲢP ⲣp ⲤC ⲥc ⲦT ⲨY ⲬX"
+# Letters for the notation of sounds that have the shape of a plain one.
+PHONETIC = "ɡg ɑa"
 # Hyphens with the shape of the ASCII one (dashes and the minus sign are longer, so they differ).
 HYPHENS = "‐‑⁃˗﹣－"
 # Characters that show nothing, besides those of the general category Cf (first and last of each run).
@@ -31,13 +36,13 @@ INVISIBLE = ((0x034F, 0x034F), (0x115F, 0x1160), (0x17B4, 0x17B5), (0x180B, 0x18
 # Characters of category Cf that do show (Arabic and other number signs).
 VISIBLE_CF = {*range(0x0600, 0x0606), 0x06DD, 0x070F, 0x0890, 0x0891, 0x08E2, 0x110BD, 0x110CD}
 
-#: Code points that are looked at when the mapping is built: two planes, tags and variation selectors.
-_SPAN = (range(0x80, 0x20000), range(0xE0000, 0xE0200))
+#: Code points that are looked at when the mapping is built; those beyond are ideographs without another form, and private ones.
+_SPAN = (range(0x80, 0x30000), range(0xE0000, 0xE1000))
 
 
 def lookalikes() -> dict[str, str]:
     """Letter of another script → the Latin letter of its shape."""
-    return {pair[0]: pair[1] for group in (CYRILLIC, GREEK, ARMENIAN) for pair in group.split()}
+    return {pair[0]: pair[1] for group in (CYRILLIC, GREEK, ARMENIAN, CHEROKEE, COPTIC, PHONETIC) for pair in group.split()}
 
 
 @lru_cache(maxsize=1)
@@ -87,18 +92,16 @@ class Transducer:
         for char, form in self.fold.items():
             if len(form) > 1 and unicodedata.normalize("NFC", form) == char:
                 self._add(form, char)
-        for code in range(0x80, 0x20000):  # accented forms of letters that themselves have look-alikes keep their own code
+        for code in _SPAN[0]:  # accented forms of letters that themselves have look-alikes keep their own code
             char = chr(code)
             if char not in self.fold or unicodedata.normalize("NFC", self.fold[char]) == char:
                 continue
             composed = unicodedata.normalize("NFC", self.fold[char])
             if len(composed) == 1 and len(self.fold[char]) > 1:
                 self._add(self.fold[char], composed)
-        hidden = "".join(re.escape(c) for c, form in self.fold.items() if not form)
-        marks = "".join(re.escape(chr(c)) for c in range(0x300, 0x20000) if unicodedata.combining(chr(c))) + "ﾞﾟ"
-        tail = f"(?:[{hidden}]*[{marks}])"
-        jamo = "[ᄀ-ᄒ][ᅡ-ᅵ][ᆨ-ᇂ]?"
-        self.cluster = re.compile(f"{jamo}|[^\\x00-\\x7f]{tail}*|[\\x00-\\x7f]{tail}+")
+        # a cluster that isn't a plain ASCII character; invisible characters that end a cluster may stand before further accents
+        hidden = "".join(regex.escape(c) for c, form in self.fold.items() if not form)
+        self.cluster = regex.compile(f"(?=[\\x00-\\x7f]?[^\\x00-\\x7f])\\X(?:[{hidden}]+[\\p{{M}}ﾞﾟ]+)*")
         self.known: dict[str, str] = {}
 
     def _add(self, sequence: str, output: str) -> None:
@@ -108,7 +111,7 @@ class Transducer:
         if node.setdefault("out", output) != output:
             raise ValueError(f"{sequence!r} has two outputs")
 
-    def _one(self, match: re.Match) -> str:
+    def _one(self, match: regex.Match) -> str:
         cluster = match[0]
         out = self.known.get(cluster)
         if out is None:
@@ -163,20 +166,34 @@ def unified(column: Column) -> Column:
     return run(column)
 
 
+def _formed(rows: DataFrame, field: str, id: str, text: str) -> DataFrame:
+    """(id, key, odd): the unified form of each text under its field, and the text where it isn't in that form."""
+    read = rows.select(F.col(field).alias("field"), F.col(id).alias("id"), F.col(text).alias("text")).where("text <> ''")
+    formed = spread(read).select("field", "id", "text", unified(F.col("text")).alias("form"))
+    slim = formed.select("id", F.concat_ws("\x01", "field", "form").alias("key"), F.when(F.col("text") != F.col("form"), F.col("text")).alias("odd"))
+    return written(slim, "forms")
+
+
+def reading_classes(rows: DataFrame, *, field: str = "field", id: str = "id", text: str = "text") -> DataFrame:
+    """(field, id, class_id, texts) of every row of a class of rows that read the same in more than one spelling.
+
+    ``class_id`` is the smallest id of the class, ``texts`` how many different spellings it has: the pairs of
+    ``same_reading_pairs`` as classes, of the size of the rows.  Rows with a NULL or empty text have no row.
+    """
+    kept = _formed(rows, field, id, text)
+    classes = kept.groupBy("key").agg(F.min("id").alias("class_id"), F.count("*").alias("n"), (F.count_distinct("odd") + F.max(F.col("odd").isNull().cast("long"))).alias("texts")).where("texts > 1")
+    return salted_lookup(kept.select("id", "key"), written(classes, "form-classes"), "key").select(F.substring_index("key", "\x01", 1).alias("field"), "id", "class_id", "texts")
+
+
 def same_reading_pairs(rows: DataFrame, *, field: str = "field", id: str = "id", text: str = "text") -> DataFrame:
     """Pairs (field, a_id, b_id), a_id < b_id, of rows of one field that read the same in different characters.
 
     Rows with a NULL or empty text are no case.  Rows with the same characters are no pair, however often they
     repeat, and a repeated id makes no pair with itself.  Other columns are ignored.  Each pair holds at least one text that
     isn't in its own unified form, so only those rows are joined to the rest; a form that many rows share is
-    salted.  The pairs themselves are the result and can't be fewer.
+    split on both sides.  The pairs themselves are the result and can't be fewer; ``reading_classes`` gives them as classes.
     """
-    read = rows.select(F.col(field).alias("field"), F.col(id).alias("id"), F.col(text).alias("text")).where("text <> ''")
-    formed = spread(read).select("field", "id", "text", unified(F.col("text")).alias("form"))
-    # "odd" holds the characters of a text that isn't in unified form, the others are their form
-    slim = formed.select("id", F.concat_ws("\x01", "field", "form").alias("key"), F.when(F.col("text") != F.col("form"), F.col("text")).alias("odd"))
-    kept = written(slim, "forms")
-    counts = kept.groupBy("key").agg(F.count("*").alias("n"), F.count("odd").alias("odds")).where("odds > 0 and n > 1").drop("odds")
-    odd = kept.where("odd is not null").select("key", F.col("id").alias("odd_id"), F.col("odd").alias("odd_text")).join(counts, "key")
-    both = salted_lookup(kept, odd, "key").where("odd_id <> id and (odd is null or (odd <> odd_text and odd_id < id))")
+    kept = _formed(rows, field, id, text)
+    odd = kept.where("odd is not null").select("key", F.col("id").alias("odd_id"), F.col("odd").alias("odd_text"))
+    both = salted_pairs(odd, kept, "key").where("odd_id <> id and (odd is null or (odd <> odd_text and odd_id < id))")
     return both.select(F.substring_index("key", "\x01", 1).alias("field"), F.least("odd_id", "id").alias("a_id"), F.greatest("odd_id", "id").alias("b_id")).distinct()

@@ -1,7 +1,9 @@
+import unicodedata
+
 import pytest
 from pyspark.sql import functions as F
 
-from quillspan.llm.forms import mapping, same_reading_pairs, transducer, unify
+from quillspan.llm.forms import mapping, reading_classes, same_reading_pairs, transducer, unify
 
 SAME = [
     ("Ｓｈａｒｅｓ　ｏｆ", "Shares of"), ("ﬁxed", "fixed"), ("é", "é"), ("e​́", "é"), ("се́", "cé"), ("Ѕhаrеѕ", "Shares"), ("a b", "a b"), ("x­y﻿z", "xyz"),
@@ -28,6 +30,21 @@ def test_mapping_is_final():
     assert transducer()("plain") == "plain" and unify(None) is None and len(unify("é" * 200_000)) == 200_000
 
 
+def test_every_character_meets_its_decomposition():
+    for code in (x for x in range(0x110000) if not 0xD800 <= x < 0xE000):
+        char = chr(code)
+        whole, parts = unicodedata.normalize("NFC", char), unicodedata.normalize("NFD", char)
+        if (whole, parts) != (char, char):
+            assert unify(char) == unify(whole) == unify(parts), hex(code)
+            assert unify(f"x{char}y") == unify(f"x{parts}y"), hex(code)
+
+
+def test_classes(spark):
+    rows = [(1, "h", "Shares"), (2, "h", "Ѕhares"), (3, "h", "Shares"), (4, "q", "Ѕhares"), (5, "h", "Shar\u200bes"), (6, "h", None), (9, "h", "x"), (10, "h", "x")]
+    got = {tuple(r) for r in reading_classes(spark.createDataFrame(rows, "id long, field string, text string")).collect()}
+    assert got == {("h", i, 1, 3) for i in (1, 2, 3, 5)}
+
+
 def test_pairs(spark):
     rows = [(1, "h", "Shares"), (2, "h", "Ѕhares"), (3, "h", "Shares"), (4, "q", "Shares"), (5, "h", "Shar​es"), (6, "h", None), (7, "h", ""), (8, "h", "​"), (9, "h", "​​"), (2, "h", "Ѕhares"), (10, "h", "shares")]
     df = spark.createDataFrame(rows, "id long, field string, text string").withColumn("key", F.lit(0)).withColumn("form", F.lit("x"))
