@@ -1,7 +1,7 @@
 """Encoding with a byte-level BPE vocabulary of public_tokenizers.
 
-All words of a partition are laid out behind each other and every mergeable pair is mapped to all its positions.  The
-ranks that occur are applied in ascending order, each at all its positions at once, and only the lists of the pairs
+The different words of an Arrow partition (of each PART_CHARS characters, where it holds more) that were not met before are
+laid out behind each other and every mergeable pair is mapped to all its positions.  The ranks that occur are applied in ascending order, each at all its positions at once, and only the lists of the pairs
 beside a merge are updated.  A merge can only make pairs of later rank, so this gives each word the ids that merging
 it alone, lowest rank first, would give.
 """
@@ -16,6 +16,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -23,6 +24,8 @@ from pyspark.sql import types as T
 
 from quillspan.shared import spread
 
+#: Characters of texts that are split and indexed together.
+PART_CHARS = 8_000_000
 #: Distinct words a task remembers; beyond it the memory starts anew, which costs time only.
 REMEMBERED_WORDS = 500_000
 
@@ -158,8 +161,10 @@ def encode_texts(rows: DataFrame, *, id: str = "doc_id", text: str = "text", ids
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder(vocabulary.value)
         for batch in batches:
-            for at in range(0, batch.num_rows, 2000):
-                part = batch.slice(at, 2000)
+            sizes = pc.fill_null(pc.utf8_length(batch.column(1)), 0).to_numpy(zero_copy_only=False)
+            edges = np.flatnonzero(np.diff(np.cumsum(sizes) // PART_CHARS, prepend=-1)).tolist() + [batch.num_rows]
+            for at, end in zip(edges, edges[1:], strict=False):
+                part = batch.slice(at, end - at)
                 offsets, values = encoder(part.column(1).to_pylist())
                 lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(values, pa.int32()))
                 yield pa.record_batch([part.column(0), lists], names=[id, ids])
