@@ -52,7 +52,8 @@ BITS = 20
 
 _HIDDEN = re.compile("[­​-‏⁠-⁤﻿]")
 _MARKUP = re.compile(r"<[^<>\n]{0,200}>|&(?:nbsp|amp|quot|lt|gt|#\d+);|[*_`~#|]+")
-_PAGE = re.compile(r"(?im)^[ \t\-–—\[(]{0,40}(?:page|seite|página|p\.)[ \t]*\d+(?:[ \t]*(?:of|/|von|de|sur)[ \t]*\d+)?[ \t\r\-–—\])]{0,40}$|\[\s{0,9}(?:page|p\.)\s{0,9}\d+\s{0,9}\]|^[ \t]{0,40}[-–—][ \t]*\d+[ \t]*[-–—][ \t\r]{0,40}$|\f")
+_PAGE = re.compile(r"(?m)^[ \t\-–—\[(]{0,40}(?:page|seite|página|p\.)[ \t]*\d+(?:[ \t]*(?:of|/|von|de|sur)[ \t]*\d+)?[ \t\r\-–—\])]{0,40}$|\[\s{0,9}(?:page|p\.)\s{0,9}\d+\s{0,9}\]|^[ \t]{0,40}[-–—][ \t]*\d+[ \t]*[-–—][ \t\r]{0,40}$|\f")
+_PAGE_SIGNS, _MARKUP_SIGNS, _HYPHENS = ("page", "seite", "página", "p.", "\f", "\n-", "\n ", "\n\t", "\n–", "\n—"), "<&*_`~#|", "-‐‑"
 _BROKEN = re.compile(r"(?<=\w)[-‐‑]\s*(?=\w)")
 _WORD = re.compile(r"[^\W_]+(?:['’][^\W_]+)*")
 
@@ -63,8 +64,15 @@ def words_of(text: str | None) -> list[str]:
         return []
     if not text.isascii():
         text = _HIDDEN.sub("", unicodedata.normalize("NFKC", text))
-    text = _BROKEN.sub("", _MARKUP.sub(" ", _PAGE.sub(" ", text)))
-    return _WORD.findall(text.replace("'", "").replace("’", "").lower())
+    text = text.lower()
+    # most texts have none of the characters that a pattern needs
+    if text[:1] in "-–— \t" or any(x in text for x in _PAGE_SIGNS):
+        text = _PAGE.sub(" ", text)
+    if any(x in text for x in _MARKUP_SIGNS):
+        text = _MARKUP.sub(" ", text)
+    if any(x in text for x in _HYPHENS):
+        text = _BROKEN.sub("", text)
+    return _WORD.findall(text.replace("'", "").replace("’", ""))
 
 
 def sentences_of(text: str | None) -> list[list[str]]:
@@ -145,6 +153,21 @@ def _marks(hashes: np.ndarray) -> np.ndarray:
     return marks
 
 
+def _ends(keys: np.ndarray) -> np.ndarray:
+    """Of each sorted key, where the next different one stands."""
+    edges = np.append(np.flatnonzero(keys[1:] != keys[:-1]) + 1, len(keys))
+    return np.repeat(edges, np.diff(edges, prepend=0)) if len(keys) else np.zeros(0, np.int64)
+
+
+def _range(keys: np.ndarray, ends: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(from, to) of each wanted key among sorted ones."""
+    if not len(keys):
+        return np.zeros((2, len(wanted)), np.int64)
+    low = np.searchsorted(keys, wanted)
+    spot = np.minimum(low, len(keys) - 1)
+    return low, np.where(keys[spot] == wanted, ends[spot], low)
+
+
 @dataclass
 class Index:
     """Windows of a block of items, by hash, and where each sequence of GRAM words stands."""
@@ -159,11 +182,14 @@ class Index:
     gram_at: np.ndarray  # and their places
     marks: list[np.ndarray] = field(default_factory=list)  # of the keys of each table; of the grams
     gram_marks: np.ndarray | None = None
+    ends: list[np.ndarray] = field(default_factory=list)  # of each key of each table, and of each gram, where the next one begins
+    gram_ends: np.ndarray | None = None
 
     def mark(self) -> Index:
-        """The index with its tables of marks."""
+        """The index with its tables of marks and ends."""
         if self.gram_marks is None:
             self.marks, self.gram_marks = [_marks(k) for k in self.keys], _marks(self.grams)
+            self.ends, self.gram_ends = [_ends(k) for k in self.keys], _ends(self.grams)
         return self
 
 
@@ -270,7 +296,7 @@ def candidates(words: np.ndarray, starts: np.ndarray, index: Index) -> tuple[np.
     found = [np.zeros((2, 0), np.int64)]
     for table, hashes in window_hashes(words, starts):
         near = np.flatnonzero(index.marks[table][hashes >> np.uint64(64 - BITS)])
-        low, high = np.searchsorted(index.keys[table], hashes[near], "left"), np.searchsorted(index.keys[table], hashes[near], "right")
+        low, high = _range(index.keys[table], index.ends[table], hashes[near])
         hit = high > low
         which, at = _runs(low[hit], high[hit])
         found.append(np.stack([starts[near[hit]][which], index.starts[table][at]]))
@@ -293,7 +319,7 @@ def likely(words: np.ndarray, number: np.ndarray, grams: np.ndarray, doc: np.nda
     wanted = np.unique(_bands(number[doc], index.item[item], doc - item, index, len(words)))
     at = np.flatnonzero(grams)
     at = at[np.isin(number[at], np.unique(number[doc]))]
-    low, high = np.searchsorted(index.grams, grams[at], "left"), np.searchsorted(index.grams, grams[at], "right")
+    low, high = _range(index.grams, index.gram_ends, grams[at])
     met = np.zeros(len(wanted), np.int64)
     block = np.cumsum(high - low) // BATCH_GRAMS
     for b in np.unique(block):
