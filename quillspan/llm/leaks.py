@@ -35,7 +35,7 @@ LEAST_SCORE = PASSAGE_WORDS - (1 + EDIT_PRICE) * int(EDIT_SHARE * PASSAGE_WORDS
 #: Words of a sequence; sequences that a window shares with the items at least, and that a passage shares with its item at least.
 #: Of 25 words with 4 altered ones, 22 - 4 * 4 sequences stay whole; all other passages that count keep more.  Windows that reach
 #: beyond a passage have fewer of it, so that less is asked of them.
-GRAM, WINDOW_GRAMS = 4, 3
+GRAM, WINDOW_GRAMS = 4, 5
 PASSAGE_GRAMS = PASSAGE_WORDS - GRAM + 1 - GRAM * int(EDIT_SHARE * PASSAGE_WORDS + 1e-9)
 #: Words of items that are indexed together (about 500 bytes each), blocks of them that one pass over the documents looks through.
 BLOCK_WORDS, PASS_BLOCKS = 100_000, 16
