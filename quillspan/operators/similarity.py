@@ -6,14 +6,19 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from quillspan.functions.text import grams, terms
+from quillspan.operators.quantiles import exact_quantiles
 from quillspan.shared import written
 
 #: Cosine from which texts are near duplicates.
 NEAR = 0.72
+#: Texts of a block, products of entries up to which a gram is multiplied entry by entry, and dense columns multiplied at a time.
+BLOCK, FEW_PRODUCTS, COLUMNS = 1024, 256, 2048
 #: Bytes of query vectors sent out at a time.
 QUERY_BYTES = 32 << 20
 
@@ -30,51 +35,162 @@ def matched(left: DataFrame, right: DataFrame, by: list[str], on: list[str], how
 
 
 def vectors(docs: DataFrame, by: list[str], id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(by…, id, norm, grams, weights): the counts of the one- and two-word grams of each text, to length 1.
+    """(by…, id, grams, weights): the counts of the one- and two-word grams of each text, to length 1.
 
-    Grams are 64-bit hashes, rarest of the group first, so that the rarest gram two texts share stands in front.  Texts
-    without a gram, and NULL ones, have no vector.
+    Grams are 64-bit hashes in ascending order.  Texts without a gram, and NULL ones, have no vector.  No shuffle.
     """
-    counted = docs.where(F.col(text).isNotNull()).select(*by, F.col(id).alias("id"), F.explode(grams(terms(F.col(text)))).alias("g"))
-    counted = counted.groupBy(*by, "id", F.xxhash64("g").alias("gram")).agg(F.count("*").cast("double").alias("n"))
-    usage = counted.groupBy(*by, "gram").agg(F.count("*").alias("df"))
-    ranked = matched(counted, usage, by, ["gram"])
-    rows = ranked.groupBy(*by, "id").agg(F.sqrt(F.sum(F.col("n") * F.col("n"))).alias("norm"), F.array_sort(F.collect_list(F.struct("df", "gram", "n"))).alias("v"))
-    return rows.select(*by, "id", "norm", F.col("v.gram").alias("grams"), F.transform("v", lambda x: x["n"] / F.col("norm")).alias("weights"))
+    tokens = docs.where(F.col(text).isNotNull()).select(*by, F.col(id).alias("id"), terms(F.col(text)).alias("_t")).where(F.size("_t") > 0)
+    hashed = tokens.select(*by, "id", F.sort_array(F.transform(grams(F.col("_t")), lambda g: F.xxhash64(g))).alias("grams"))
+    schema = T.StructType([*hashed.schema.fields, T.StructField("weights", T.ArrayType(T.DoubleType()))])
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column(len(by) + 1)
+            values = lists.flatten().to_numpy(zero_copy_only=False)
+            edges = lists.offsets.to_numpy() - lists.offsets[0].as_py()
+            row = np.repeat(np.arange(batch.num_rows), np.diff(edges))
+            fresh = np.ones(len(values), bool)
+            fresh[1:] = (values[1:] != values[:-1]) | (row[1:] != row[:-1])
+            at = np.flatnonzero(fresh)
+            n = np.diff(np.append(at, len(values))).astype(float)
+            length = np.sqrt(np.bincount(row[at], n * n, batch.num_rows))
+            offsets = pa.array(np.concatenate([[0], np.cumsum(np.bincount(row[at], minlength=batch.num_rows))]), pa.int32())
+            weights = pa.ListArray.from_arrays(offsets, pa.array(n / length[row[at]]))
+            yield pa.record_batch([*batch.columns[: len(by) + 1], pa.ListArray.from_arrays(offsets, pa.array(values[at])), weights], names=schema.names)
+
+    return hashed.mapInArrow(count, schema)
+
+
+def cosines(left: tuple[list, list], right: tuple[list, list]) -> np.ndarray:
+    """The dot products of all vectors of two blocks, each given as (grams, weights).
+
+    Grams that few of a block have are multiplied entry by entry, the others as dense columns.
+    """
+    rows = [np.repeat(np.arange(len(g)), [len(x) for x in g]) for g, _ in (left, right)]
+    flat = [np.concatenate([*g, np.zeros(0, np.int64)]) for g, _ in (left, right)]
+    weight = [np.concatenate([*w, np.zeros(0)]) for _, w in (left, right)]
+    shared = np.intersect1d(flat[0], flat[1])
+    out = np.zeros((len(left[0]), len(right[0])))
+    if not len(shared):
+        return out
+    column = []
+    for k in range(2):
+        spot = np.minimum(np.searchsorted(shared, flat[k]), len(shared) - 1)
+        keep = shared[spot] == flat[k]
+        order = np.argsort(spot[keep], kind="stable")
+        column.append(spot[keep][order])
+        rows[k], weight[k] = rows[k][keep][order], weight[k][keep][order]
+    counts = [np.bincount(c, minlength=len(shared)) for c in column]
+    few = counts[0] * counts[1] <= FEW_PRODUCTS
+    begin = np.cumsum(counts[1]) - counts[1]
+    one = np.flatnonzero(few[column[0]])
+    many = counts[1][column[0][one]]
+    other = np.arange(many.sum()) + np.repeat(begin[column[0][one]] - (np.cumsum(many) - many), many)
+    one = np.repeat(one, many)
+    out += np.bincount(rows[0][one] * out.shape[1] + rows[1][other], weight[0][one] * weight[1][other], out.size).reshape(out.shape)
+    dense = np.flatnonzero(~few)
+    for at in range(0, len(dense), COLUMNS):
+        part = dense[at : at + COLUMNS]
+        sides = []
+        for k in range(2):
+            spot = np.minimum(np.searchsorted(part, column[k]), len(part) - 1)
+            keep = part[spot] == column[k]
+            side = np.zeros((out.shape[k], len(part)))
+            side[rows[k][keep], spot[keep]] = weight[k][keep]
+            sides.append(side)
+        out += sides[0] @ sides[1].T
+    return out
+
+
+def _blocked(vecs: DataFrame, by: list[str]) -> DataFrame:
+    """``vecs`` with the block of each row (by a hash of its id) and the number of blocks of its group."""
+    sizes = vecs.groupBy(*by).agg(F.ceil(F.count("*") / F.lit(BLOCK)).cast("int").alias("blocks"))
+    return matched(vecs, sizes, by, []).withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+
+
+def _cells(left: DataFrame, right: DataFrame | None, by: list[str], work, schema: str) -> DataFrame:
+    """The rows of ``work(left rows, right rows, whether both are the same)`` for all pairs of blocks of each group.
+
+    Of one set of rows with itself (``right`` None) each pair of blocks is taken once.  Every pair of blocks is a task's unit, so a group of any
+    size is spread, and each block is sent to as many units as its group has blocks: the work grows with the square of a group.
+    """
+    def sent(df: DataFrame, side: int) -> DataFrame:
+        other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("_o")
+        every = df.select("*", F.lit(side).alias("_side"), other)
+        i, j = (F.col("block"), F.col("_o")) if side == 0 else (F.col("_o"), F.col("block"))
+        if right is None:
+            i, j, mine = F.least("block", "_o"), F.greatest("block", "_o"), (F.col("block") > F.col("_o")).cast("int")
+            every = every.withColumn("_side", mine)
+        return every.withColumns({"_i": i, "_j": j}).drop("block", "blocks", "_o")
+
+    rows = sent(left, 0) if right is None else sent(left, 0).unionByName(sent(right, 1))
+    spark = rows.sparkSession
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism)
+
+    itself = right is None
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        a, b = pdf[pdf["_side"] == 0], pdf[pdf["_side"] == 1]
+        alone = itself and pdf["_i"].iloc[0] == pdf["_j"].iloc[0]
+        out = work(a, a if alone else b, alone)
+        for c in by:
+            out[c] = pd.Series([pdf[c].iloc[0]] * len(out), dtype=object, index=out.index)
+        return out
+
+    return rows.repartition(tasks, *by, "_i", "_j").groupBy(*by, "_i", "_j").applyInPandas(run, ", ".join([*[f"`{c}` {dict(rows.dtypes)[c]}" for c in by], schema]))
+
+
+def _representatives(docs: DataFrame, by: list[str], id: str, text: str) -> DataFrame:
+    """Vectors of one text of each class, in blocks, with the number ``m`` of its copies; written."""
+    sized = classes_of(docs, by, id, text).groupBy(*by, F.col("class_id").alias(id)).agg(F.count("*").cast("double").alias("m"))
+    kept = matched(docs.select(*by, id, text), sized.select(*by, id), by, [id], "left_semi")
+    vecs = matched(vectors(kept, by, id, text).dropDuplicates([*by, "id"]), sized.withColumnRenamed(id, "id"), by, ["id"])
+    return written(_blocked(written(vecs, "vectors"), by), "blocks")
+
+
+def _products(a: pd.DataFrame, b: pd.DataFrame, alone: bool) -> np.ndarray:
+    """Cosines of two blocks; NaN below the diagonal where both are the same, so that each pair counts once."""
+    out = cosines((a["grams"].tolist(), a["weights"].tolist()), (b["grams"].tolist(), b["weights"].tolist()))
+    if alone:
+        out[np.tril_indices(len(out))] = np.nan
+    return out
 
 
 def similar_pairs(docs: DataFrame, by: list[str], threshold: float = NEAR, id: str = "doc_id", text: str = "text") -> DataFrame:
     """(by…, a, b, cosine) of all pairs a < b of a group whose cosine reaches ``threshold``, exactly.
 
-    Equal texts are one class: pairs are between class representatives (the smallest id), see ``classes_of``.  The rarest
-    gram that such a pair shares stands where the rests of both vectors, multiplied, still reach the threshold, so
-    only those places are joined; the cosine of each candidate is then worked out in full.
+    Equal texts are one class: pairs are between class representatives (the smallest id), see ``classes_of``.  Counts without
+    weights for rarity put most of a vector into its commonest grams, so that no prefix of a vector tells pairs apart; all pairs of blocks
+    of a group are multiplied instead, and only near pairs leave a task.
+    """
+
+    def near(a: pd.DataFrame, b: pd.DataFrame, alone: bool) -> pd.DataFrame:
+        values = _products(a, b, alone)
+        i, j = np.nonzero(values >= threshold - 1e-9)
+        x, y = a["id"].to_numpy()[i], b["id"].to_numpy()[j]
+        return pd.DataFrame({"a": np.minimum(x, y), "b": np.maximum(x, y), "cosine": values[i, j]})
+
+    kind = dict(docs.dtypes)[id]
+    return _cells(_representatives(docs, by, id, text).drop("m"), None, by, near, f"a {kind}, b {kind}, cosine double")
+
+
+def cosine_counts(docs: DataFrame, by: list[str], id: str = "doc_id", text: str = "text") -> DataFrame:
+    """(by…, cosine, n): how many pairs of texts of each group, copies included, have each cosine, to six places.
+
+    At most a million and one rows a group, however many pairs it has.
     """
-    first = classes_of(docs, by, id, text).select(*by, F.col("class_id").alias(id)).distinct()
-    vecs = written(vectors(matched(docs, first, by, [id], "left_semi"), by, id, text), "vectors")
-
-    @F.pandas_udf("array<double>")
-    def rest(w: pd.Series) -> pd.Series:
-        # length of a vector from each of its grams on
-        return w.map(lambda x: np.sqrt(np.cumsum(np.square(x)[::-1])[::-1]))
-
-    @F.pandas_udf("double")
-    def dot(g: pd.Series, w: pd.Series, h: pd.Series, x: pd.Series) -> pd.Series:
-        out = []
-        for a, b, c, d in zip(g, w, h, x, strict=True):
-            _, i, j = np.intersect1d(np.asarray(a), np.asarray(c), assume_unique=True, return_indices=True)
-            out.append(float(np.dot(np.asarray(b)[i], np.asarray(d)[j])))
-        return pd.Series(out, dtype=float)
-
-    keys = vecs.select(*by, "id", F.explode(F.arrays_zip("grams", rest("weights").alias("rest"))).alias("x")).select(*by, "id", F.col("x.grams").alias("gram"), F.col("x.rest").alias("rest"))
-    keys = keys.where(F.col("rest") >= threshold - 1e-9)
-    left, right = keys.withColumnsRenamed({"id": "a", "rest": "ra"}), keys.withColumnsRenamed({"id": "b", "rest": "rb"})
-    # at the rarest gram two texts share, what is left of both bounds their cosine
-    pairs = matched(left, right, by, ["gram"]).where(F.col("a") < F.col("b")).where(F.col("ra") * F.col("rb") >= threshold - 1e-9).select(*by, "a", "b").distinct()
-    full = vecs.drop("norm")
-    joined = matched(pairs, full.withColumnsRenamed({"id": "a", "grams": "ga", "weights": "wa"}), by, ["a"])
-    joined = matched(joined, full.withColumnsRenamed({"id": "b", "grams": "gb", "weights": "wb"}), by, ["b"])
-    return joined.select(*by, "a", "b", dot("ga", "wa", "gb", "wb").alias("cosine")).where(F.col("cosine") >= threshold - 1e-9)
+    vecs = _representatives(docs, by, id, text)
+
+    def count(a: pd.DataFrame, b: pd.DataFrame, alone: bool) -> pd.DataFrame:
+        values = _products(a, b, alone)
+        here = ~np.isnan(values)
+        micro, n = np.round(values[here] * 1e6).astype(np.int64), np.outer(a["m"], b["m"])[here]
+        known, spot = np.unique(micro, return_inverse=True)
+        return pd.DataFrame({"micro": known, "n": np.bincount(spot, n, len(known))})
+
+    between = _cells(vecs, None, by, count, "micro long, n double")
+    within = vecs.where("m > 1").select(*by, F.lit(1_000_000).cast("long").alias("micro"), (F.col("m") * (F.col("m") - 1) / 2).alias("n"))
+    return between.unionByName(within).groupBy(*by, (F.col("micro") / 1_000_000).alias("cosine")).agg(F.sum("n").cast("long").alias("n"))
 
 
 def classes_of(docs: DataFrame, by: list[str], id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -85,30 +201,33 @@ def classes_of(docs: DataFrame, by: list[str], id: str = "doc_id", text: str = "
 
 
 def similarity_report(docs: DataFrame, by: list[str], threshold: float = NEAR, id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(by…, texts, pairs, mean_cosine, near_pairs, near_pct) over all pairs of a group, copies included.
-
-    The mean needs no pairs: the squared length of the sum of all vectors holds every cosine twice and each text once.
-    Near pairs are counted from those of the class representatives and the sizes of the classes.
-    """
-    vecs = written(vectors(docs, by, id, text), "report-vectors")
-    long = vecs.select(*by, F.explode(F.arrays_zip("grams", "weights")).alias("x")).select(*by, F.col("x.grams").alias("gram"), F.col("x.weights").alias("w"))
-    total = long.groupBy(*by, "gram").agg(F.sum("w").alias("s")).groupBy(*by).agg(F.sum(F.col("s") * F.col("s")).alias("q"))
-    n = vecs.groupBy(*by).agg(F.count("*").cast("double").alias("texts"))
-    sized = classes_of(matched(docs, vecs.select(*by, F.col("id").alias(id)), by, [id], "left_semi"), by, id, text).groupBy(*by, "class_id").agg(F.count("*").cast("double").alias("m"))
-    same = sized.groupBy(*by).agg(F.sum(F.col("m") * (F.col("m") - 1) / 2).alias("copies"))
-    near = similar_pairs(docs, by, threshold, id, text)
-    near = matched(near, sized.withColumnsRenamed({"class_id": "a", "m": "ma"}), by, ["a"])
-    near = matched(near, sized.withColumnsRenamed({"class_id": "b", "m": "mb"}), by, ["b"])
-    near = near.groupBy(*by).agg(F.sum(F.col("ma") * F.col("mb")).alias("linked"))
-    joined = matched(matched(matched(n, total, by, []), same, by, []), near, by, [], "left").where("texts >= 2")
-    pairs = F.col("texts") * (F.col("texts") - 1) / 2
-    hits = F.col("copies") + F.coalesce("linked", F.lit(0.0))
+    """(by…, texts, pairs, mean_cosine, median_cosine, p95_cosine, max_cosine, near_pairs, near_pct) over all pairs of a group,
+    copies included, of cosines to six places.  Groups of fewer than two texts with a gram have no row."""
+    counts = written(cosine_counts(docs, by, id, text), "cosines")
+    near = F.sum(F.when(F.col("cosine") >= threshold, F.col("n")).otherwise(0))
+    sums = counts.groupBy(*by).agg(F.sum("n").alias("pairs"), (F.sum(F.col("cosine") * F.col("n")) / F.sum("n")).alias("mean"), F.max("cosine").alias("top"), near.alias("near_pairs"))
+    joined = matched(sums, exact_quantiles(counts, by, "cosine", {"median": 0.5, "p95": 0.95}, n="n"), by, [])
+    texts = (1 + F.sqrt(1 + 8 * F.col("pairs"))) / 2  # pairs are n (n - 1) / 2
     return joined.select(
-        *by, F.col("texts").cast("long").alias("texts"), pairs.cast("long").alias("pairs"), F.round((F.col("q") - F.col("texts")) / 2 / pairs, 4).alias("mean_cosine"),
-        hits.cast("long").alias("near_pairs"), F.round(100 * hits / pairs, 4).alias("near_pct"),
+        *by, F.round(texts).cast("long").alias("texts"), "pairs", F.round("mean", 4).alias("mean_cosine"), F.round("median", 4).alias("median_cosine"), F.round("p95", 4).alias("p95_cosine"),
+        F.round("top", 4).alias("max_cosine"), "near_pairs", F.round(100 * F.col("near_pairs") / F.col("pairs"), 4).alias("near_pct"),
     )
 
 
+def cosine_histogram(docs: DataFrame, by: list[str], bins: int = 20, id: str = "doc_id", text: str = "text") -> DataFrame:
+    """(by…, bin, n): pairs of each group by cosine in ``bins`` equal bins of 0..1, the last one closed; bins without a pair are left out."""
+    number = F.least(F.floor(F.col("cosine") * bins), F.lit(bins - 1)).cast("int")
+    return cosine_counts(docs, by, id, text).groupBy(*by, number.alias("bin")).agg(F.sum("n").alias("n"))
+
+
+def first_offenders(docs: DataFrame, by: list[str], k: int = 10, worst: bool = False, threshold: float = NEAR, id: str = "doc_id", text: str = "text") -> DataFrame:
+    """(by…, rank, a, b, cosine): the first ``k`` near pairs of each group by id, or the ``k`` with the largest cosine."""
+    pairs = similar_pairs(docs, by, threshold, id, text)
+    order = ([F.desc(F.round("cosine", 6))] if worst else []) + [F.col("a"), F.col("b")]
+    rank = F.row_number().over(Window.partitionBy(*by).orderBy(*order))
+    return pairs.withColumn("rank", rank).where(F.col("rank") <= k).select(*by, "rank", "a", "b", "cosine")
+
+
 def duplicate_guard(docs: DataFrame, by: list[str], threshold: float = NEAR, id: str = "doc_id", text: str = "text") -> DataFrame:
     """(by…, id, accepted): in order of id, a text is rejected if an accepted one before it is a near duplicate.
 
@@ -119,17 +238,64 @@ def duplicate_guard(docs: DataFrame, by: list[str], threshold: float = NEAR, id:
     members = written(classes_of(docs, by, id, text), "guard-classes")
     links = written(similar_pairs(docs, by, threshold, id, text).select(*by, "a", "b"), "guard-links")
     gramless = docs.where(F.col(text).isNotNull() & (F.size(terms(F.col(text))) == 0)).select(*by, id)
-    state = written(links.select(*by, F.col("a").alias("c")).union(links.select(*by, F.col("b").alias("c"))).distinct().withColumn("ok", F.lit(None).cast("boolean")), "guard")
-    while state.where("ok is null").limit(1).count():
-        before = matched(links, state.withColumnsRenamed({"c": "a", "ok": "a_ok"}), by, ["a"]).groupBy(*by, F.col("b").alias("c"))
-        seen = before.agg(F.coalesce(F.bool_or("a_ok"), F.lit(False)).alias("hit"), F.count_if(F.col("a_ok").isNull()).alias("wait"))
-        new = F.when(F.col("ok").isNotNull(), F.col("ok")).when(F.col("hit"), F.lit(False)).when(F.coalesce("wait", F.lit(0)) == 0, F.lit(True))
-        state = written(matched(state, seen, by, ["c"], "left").select(*by, "c", new.alias("ok")), "guard")
-    out = matched(matched(members, state.withColumnRenamed("c", "class_id"), by, ["class_id"], "left"), gramless.withColumn("bare", F.lit(True)), by, [id], "left")
+    decided = _in_order(links, by)
+    out = matched(matched(members, decided.withColumnRenamed("c", "class_id"), by, ["class_id"], "left"), gramless.withColumn("bare", F.lit(True)), by, [id], "left")
     own = (F.col(id) == F.col("class_id")) & F.coalesce("ok", F.lit(True))
     return out.select(*by, id, F.coalesce(F.col("bare"), own).alias("accepted"))
 
 
+def _in_order(links: DataFrame, by: list[str]) -> DataFrame:
+    """(by…, c, ok) of all ends of links (by…, a, b), a < b: ok if no a of a link to it is ok.
+
+    A round decides every end whose a are all decided, and drops the links that are settled; those that are left shrink with each
+    round, so the rounds together cost little more than the first ones.
+    """
+    ends = written(links.select(*by, F.col("a").alias("c")).union(links.select(*by, F.col("b").alias("c"))).distinct(), "guard-ends")
+    # ends that no link leads to are taken
+    taken = matched(ends, links.select(*by, F.col("b").alias("c")).distinct(), by, ["c"], "left_anti").withColumn("ok", F.lit(True))
+    done, open_, new = [], links, written(taken, "guard")
+    while True:
+        done.append(new)
+        told = written(matched(open_, new.withColumnsRenamed({"c": "a"}), by, ["a"], "left"), "guard-links")
+        hit = told.where("ok").select(*by, F.col("b").alias("c")).distinct()
+        # links that a rejected end leads from say nothing; all links to an end that was hit are settled
+        left = matched(told.where("ok is null").drop("ok"), hit.withColumnRenamed("c", "b"), by, ["b"], "left_anti")
+        waiting = left.select(*by, F.col("b").alias("c")).distinct()
+        free = matched(matched(told.where("not ok").select(*by, F.col("b").alias("c")).distinct(), hit, by, ["c"], "left_anti"), waiting, by, ["c"], "left_anti")
+        new = written(hit.withColumn("ok", F.lit(False)).unionByName(free.withColumn("ok", F.lit(True))), "guard")
+        if not new.limit(1).count():
+            break
+        open_ = written(left, "guard-links")
+    out = done[0]
+    for part in done[1:]:
+        out = out.unionByName(part)
+    return out
+
+
+def guard_log(docs: DataFrame, by: list[str], threshold: float = NEAR, id: str = "doc_id", text: str = "text") -> DataFrame:
+    """(by…, id, accepted, similarity, closest_to): the outcome of ``duplicate_guard``, and of each text the accepted one before it that
+    is nearest (of equal ones the first), with their cosine to six places; 0 and NULL where there is none with a common gram."""
+    decided = written(duplicate_guard(docs, by, threshold, id, text), "guard-decided")
+    vecs = written(_blocked(written(matched(vectors(docs, by, id, text), decided.withColumnRenamed(id, "id"), by, ["id"]), "vectors"), by), "blocks")
+
+    def best(a: pd.DataFrame, b: pd.DataFrame, alone: bool) -> pd.DataFrame:
+        if not len(a) or not len(b):
+            return pd.DataFrame({"id": [], "similarity": [], "closest_to": []})
+        order = np.argsort(a["id"].to_numpy(), kind="stable")
+        a = a.iloc[order]
+        values = np.round(cosines((a["grams"].tolist(), a["weights"].tolist()), (b["grams"].tolist(), b["weights"].tolist())), 6)
+        values[a["id"].to_numpy()[:, None] >= b["id"].to_numpy()[None, :]] = 0
+        top = values.argmax(0)
+        score = values[top, np.arange(len(b))]
+        some = score > 0
+        return pd.DataFrame({"id": b["id"].to_numpy()[some], "similarity": score[some], "closest_to": a["id"].to_numpy()[top[some]]})
+
+    kind = dict(docs.dtypes)[id]
+    found = _cells(vecs.where("accepted").drop("accepted"), vecs.drop("accepted"), by, best, f"id {kind}, similarity double, closest_to {kind}")
+    first = found.groupBy(*by, "id").agg(F.max_by(F.struct("similarity", "closest_to"), F.struct("similarity", -F.col("closest_to"))).alias("x"))
+    return matched(decided, first.withColumnRenamed("id", id), by, [id], "left").select(*by, id, "accepted", F.coalesce("x.similarity", F.lit(0.0)).alias("similarity"), F.col("x.closest_to").alias("closest_to"))
+
+
 def nearest(rows: DataFrame, queries: DataFrame, k: int = 3, id: str = "vec_id", vector: str = "embedding") -> DataFrame:
     """(query_id, id, distance, rank): the ``k`` rows nearest to each query by cosine, exactly, the query itself left out.
 
@@ -192,7 +358,7 @@ def neighbour_vote(near: DataFrame, labels: DataFrame, id: str = "vec_id", label
 def calibrate(values: DataFrame, value: str, percentile: float = 0.75) -> DataFrame:
     """(threshold, mean, median, p25, p90, maximum, n) of the finite values; without any, the threshold is infinity."""
     x = F.when(~F.isnan(value) & (F.abs(value) != F.lit(float("inf"))), F.col(value).cast("double"))
-    parts = F.percentile("x", F.array(F.lit(percentile), F.lit(0.5), F.lit(0.25), F.lit(0.9))).alias("p")
-    out = values.select(x.alias("x")).agg(parts, F.avg("x").alias("mean"), F.max("x").alias("maximum"), F.count("x").alias("n"))
-    get = lambda i: F.get("p", F.lit(i))
-    return out.select(F.coalesce(get(0), F.lit(float("inf"))).alias("threshold"), "mean", get(1).alias("median"), get(2).alias("p25"), get(3).alias("p90"), "maximum", "n")
+    values = values.select(x.alias("x"))
+    parts = exact_quantiles(values, [], "x", {"threshold": percentile, "median": 0.5, "p25": 0.25, "p90": 0.9})
+    out = values.agg(F.avg("x").alias("mean"), F.max("x").alias("maximum"), F.count("x").alias("n")).join(F.broadcast(parts), how="left")  # one row each
+    return out.select(F.coalesce("threshold", F.lit(float("inf"))).alias("threshold"), "mean", "median", "p25", "p90", "maximum", "n")

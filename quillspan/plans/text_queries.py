@@ -124,10 +124,30 @@ def q_doc_classes(spark, d):
 
 
 def q_similarity_report(spark, d):
-    """Mean cosine and near pairs of each source."""
+    """Mean, median, 95th percentile and maximum of the cosines of each source, and near pairs."""
     return sim.similarity_report(_docs(spark, d), ["source"])
 
 
+def q_similarity_hist(spark, d):
+    """Pairs of each source by cosine, in twenty bins."""
+    return sim.cosine_histogram(_docs(spark, d), ["source"])
+
+
+def q_worst_pairs(spark, d):
+    """The ten nearest pairs of different texts of each source."""
+    return sim.first_offenders(_docs(spark, d), ["source"], worst=True).select("source", "rank", "a", "b", F.round("cosine", 6).alias("cosine"))
+
+
+def q_first_offenders(spark, d):
+    """The first ten near pairs of different texts of each source, by id."""
+    return sim.first_offenders(_docs(spark, d), ["source"]).select("source", "rank", "a", "b", F.round("cosine", 6).alias("cosine"))
+
+
+def q_guard_log(spark, d):
+    """The outcome of the guard for each document, and the accepted one before it that is nearest."""
+    return sim.guard_log(_docs(spark, d), ["source"])
+
+
 def q_duplicate_guard(spark, d):
     """Which documents of a source are taken if near duplicates of taken ones are rejected."""
     return sim.duplicate_guard(_docs(spark, d), ["source"])
@@ -136,7 +156,7 @@ def q_duplicate_guard(spark, d):
 def q_diversity_verdict(spark, d):
     """Variety of the train clauses against stated limits."""
     rows = _chat(spark, d).where("split = 'train'").select("rec_id", F.lit(1).alias("all"), "clause", "metadata")
-    similarity = sim.similarity_report(rows, ["all"], id="rec_id", text="clause").select("near_pairs", "mean_cosine", F.when(F.col("near_pct") < 5, 0.0).otherwise(1.0).alias("p95_cosine"))
+    similarity = sim.similarity_report(rows, ["all"], id="rec_id", text="clause").select("near_pairs", "mean_cosine", "p95_cosine")
     cv = corpus.length_stats(rows, ["all"], "clause").select("cv")
     types = corpus.axis_entropy(rows, {"clause_type": F.col("metadata.clause_type")}).select(F.col("entropy").alias("type_entropy"), F.col("max_share_pct").alias("type_max_share"))
     unique = q_entity_uniqueness(spark, d).select("uniqueness")
@@ -280,7 +300,7 @@ def q_gate(spark, d):
 
 QUERIES = {f.__name__: f for f in (
     q_news_priority_union, q_title_key, q_clean_text, q_sentiment_aggregate, q_reconcile_missing, q_anti_unlisted, q_length_stats, q_length_hist, q_keywords, q_keyword_totals, q_axis_shares,
-    q_axis_entropy, q_entity_uniqueness, q_label_balance, q_near_dups, q_doc_classes, q_similarity_report, q_duplicate_guard, q_diversity_verdict, q_rouge_l, q_set_f1, q_grounding, q_numbers_in,
+    q_axis_entropy, q_entity_uniqueness, q_label_balance, q_near_dups, q_doc_classes, q_similarity_report, q_similarity_hist, q_worst_pairs, q_first_offenders, q_guard_log, q_duplicate_guard, q_diversity_verdict, q_rouge_l, q_set_f1, q_grounding, q_numbers_in,
     q_model_rollup, q_compare, q_rule_violations, q_sentence_count, q_text_quality, q_chat_render, q_first_turn, q_trim_budget, q_stratified_split, q_batches_of_8, q_grid_seeds, q_knn_cosine,
     q_nn_label_vote, q_calibrate, q_gate,
 )}
@@ -312,6 +332,18 @@ v AS (SELECT source, id, gram, count(*) AS n FROM g GROUP BY ALL),
 u AS (SELECT source, id, gram, n / sqrt(sum(n * n) OVER (PARTITION BY source, id)) AS w FROM v),
 cls AS (SELECT source, doc_id AS id, min(doc_id) OVER (PARTITION BY source, text) AS class_id FROM documents WHERE text IS NOT NULL),
 pairs AS (SELECT a.source, a.id AS a, b.id AS b, sum(a.w * b.w) AS cosine FROM u a JOIN u b ON a.source IS NOT DISTINCT FROM b.source AND a.gram = b.gram AND a.id < b.id GROUP BY ALL)"""
+# cosines of all pairs of texts with a gram, those without a common one among them
+_ALL_PAIRS = """have AS (SELECT DISTINCT source, id FROM u),
+every AS (SELECT x.source, round(coalesce(p.cosine, 0), 6) AS cosine FROM have x JOIN have y ON x.source IS NOT DISTINCT FROM y.source AND x.id < y.id LEFT JOIN pairs p ON p.a = x.id AND p.b = y.id)"""
+# the texts of each source one after the other
+_GUARD = """e AS MATERIALIZED (SELECT source, a, b FROM pairs WHERE cosine >= 0.72 - 1e-9),
+        o AS MATERIALIZED (SELECT source, id, row_number() OVER (PARTITION BY source ORDER BY id) AS k FROM t),
+        nb AS MATERIALIZED (SELECT o.source, o.id, o.k, coalesce(list(e.a) FILTER (WHERE e.a IS NOT NULL), []) AS before FROM o LEFT JOIN e ON e.b = o.id AND e.source = o.source GROUP BY ALL),
+        run AS (
+          SELECT source, k, [id] AS taken, id, true AS accepted FROM nb WHERE k = 1
+          UNION ALL
+          SELECT n.source, n.k, CASE WHEN list_has_any(r.taken, n.before) THEN r.taken ELSE list_append(r.taken, n.id) END, n.id, NOT list_has_any(r.taken, n.before)
+          FROM run r JOIN nb n ON n.source = r.source AND n.k = r.k + 1)"""
 _NEAR = """q AS (SELECT vec_id AS query_id, embedding::DOUBLE[] AS e FROM embeddings WHERE vec_id % 100 = 0),
 r AS (SELECT vec_id AS id, embedding::DOUBLE[] AS f, label FROM embeddings),
 d AS (SELECT query_id, id, label, 1 - list_dot_product(e, f) / sqrt(list_dot_product(e, e) * list_dot_product(f, f)) AS distance FROM q JOIN r ON query_id <> id),
@@ -361,19 +393,22 @@ SQL = {
         FROM x WHERE js IS NOT NULL GROUP BY ALL""",
     "q_near_dups": f"WITH {_VECTORS}, f AS (SELECT DISTINCT source, class_id FROM cls) SELECT p.source, a, b, round(cosine, 6) AS cosine FROM pairs p JOIN f x ON x.class_id = a JOIN f y ON y.class_id = b WHERE cosine >= 0.72 - 1e-9",
     "q_doc_classes": "SELECT source, doc_id, min(doc_id) OVER (PARTITION BY source, text) AS class_id FROM documents WHERE text IS NOT NULL",
-    "q_similarity_report": f"""WITH {_VECTORS}, n AS (SELECT source, count(DISTINCT id) AS texts FROM u GROUP BY source),
-        s AS (SELECT source, sum(cosine) AS total, count(*) FILTER (WHERE cosine >= 0.72 - 1e-9) AS near_pairs FROM pairs GROUP BY source)
-        SELECT n.source, texts, (texts * (texts - 1) // 2) AS pairs, round(coalesce(total, 0) / (texts * (texts - 1) / 2), 4) AS mean_cosine, coalesce(near_pairs, 0) AS near_pairs,
-          round(100 * coalesce(near_pairs, 0) / (texts * (texts - 1) / 2), 4) AS near_pct FROM n LEFT JOIN s ON n.source IS NOT DISTINCT FROM s.source WHERE texts >= 2""",
-    "q_duplicate_guard": f"""WITH RECURSIVE {_VECTORS}, e AS MATERIALIZED (SELECT source, a, b FROM pairs WHERE cosine >= 0.72 - 1e-9),
-        o AS MATERIALIZED (SELECT source, id, row_number() OVER (PARTITION BY source ORDER BY id) AS k FROM t),
-        nb AS MATERIALIZED (SELECT o.source, o.id, o.k, coalesce(list(e.a) FILTER (WHERE e.a IS NOT NULL), []) AS before FROM o LEFT JOIN e ON e.b = o.id AND e.source = o.source GROUP BY ALL),
-        run AS (
-          SELECT source, k, [id] AS taken, id, true AS accepted FROM nb WHERE k = 1
-          UNION ALL
-          SELECT n.source, n.k, CASE WHEN list_has_any(r.taken, n.before) THEN r.taken ELSE list_append(r.taken, n.id) END, n.id, NOT list_has_any(r.taken, n.before)
-          FROM run r JOIN nb n ON n.source = r.source AND n.k = r.k + 1)
-        SELECT source, id AS doc_id, accepted FROM run""",
+    "q_similarity_report": f"""WITH {_VECTORS}, {_ALL_PAIRS}
+        SELECT source, (1 + sqrt(1 + 8 * count(*)))::BIGINT // 2 AS texts, count(*) AS pairs, round(avg(cosine), 4) AS mean_cosine, round(quantile_cont(cosine, 0.5), 4) AS median_cosine,
+          round(quantile_cont(cosine, 0.95), 4) AS p95_cosine, round(max(cosine), 4) AS max_cosine, count(*) FILTER (WHERE cosine >= 0.72) AS near_pairs,
+          round(100e0 * count(*) FILTER (WHERE cosine >= 0.72) / count(*), 4) AS near_pct FROM every GROUP BY source""",
+    "q_similarity_hist": f"WITH {_VECTORS}, {_ALL_PAIRS} SELECT source, least(floor(cosine * 20), 19)::INT AS bin, count(*) AS n FROM every GROUP BY ALL",
+    "q_worst_pairs": f"""WITH {_VECTORS}, f AS (SELECT DISTINCT source, class_id FROM cls),
+        p AS (SELECT p.source, a, b, round(cosine, 6) AS cosine FROM pairs p JOIN f x ON x.class_id = a JOIN f y ON y.class_id = b WHERE cosine >= 0.72 - 1e-9)
+        SELECT source, row_number() OVER w AS rank, a, b, cosine FROM p WINDOW w AS (PARTITION BY source ORDER BY cosine DESC, a, b) QUALIFY row_number() OVER w <= 10""",
+    "q_first_offenders": f"""WITH {_VECTORS}, f AS (SELECT DISTINCT source, class_id FROM cls),
+        p AS (SELECT p.source, a, b, round(cosine, 6) AS cosine FROM pairs p JOIN f x ON x.class_id = a JOIN f y ON y.class_id = b WHERE cosine >= 0.72 - 1e-9)
+        SELECT source, row_number() OVER w AS rank, a, b, cosine FROM p WINDOW w AS (PARTITION BY source ORDER BY a, b) QUALIFY row_number() OVER w <= 10""",
+    "q_guard_log": f"""WITH RECURSIVE {_VECTORS}, {_GUARD}, acc AS (SELECT source, id, accepted FROM run),
+        best AS (SELECT p.source, p.b AS id, round(cosine, 6) AS similarity, a AS closest_to FROM pairs p JOIN acc x ON x.id = p.a AND x.accepted
+          QUALIFY row_number() OVER (PARTITION BY p.b ORDER BY round(cosine, 6) DESC, a) = 1)
+        SELECT acc.source, acc.id AS doc_id, accepted, coalesce(similarity, 0) AS similarity, closest_to FROM acc LEFT JOIN best ON best.id = acc.id""",
+    "q_duplicate_guard": f"WITH RECURSIVE {_VECTORS}, {_GUARD} SELECT source, id AS doc_id, accepted FROM run",
     "q_set_f1": f"""WITH {_CHAT}, {_JSON}, s AS (SELECT rec_id, list_distinct(list_filter(list_transform(string_split(coalesce(parties[1], ''), ' '), lambda v: lower(trim(v))), lambda v: v <> '')) AS p,
           list_distinct(list_filter(list_transform(string_split(clause, ' ')[1:3], lambda v: lower(trim(v))), lambda v: v <> '')) AS e FROM x WHERE js IS NOT NULL AND clause IS NOT NULL)
         SELECT rec_id, CASE WHEN len(p) = 0 AND len(e) = 0 THEN 1 ELSE round(coalesce(2e0 * len(list_intersect(p, e)) / nullif(len(p) + len(e), 0), 0), 4) END AS f1 FROM s""",
