@@ -6,19 +6,24 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillspan.functions.text import keywords, words
+from quillspan.operators.quantiles import exact_quantiles
 
 
 def length_stats(docs: DataFrame, by: list[str], text: str = "text") -> DataFrame:
     """Mean, population deviation, quartiles and variation of words, and range of characters, for each group."""
     sized = docs.where(F.col(text).isNotNull()).select(*by, words(F.col(text)).alias("w"), F.length(text).alias("c"))
-    quartiles = F.percentile("w", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
     out = sized.groupBy(*by).agg(
-        F.count("*").alias("n"), F.avg("w").alias("mean"), F.stddev_pop("w").alias("std"), F.min("w").alias("min"), quartiles.alias("q"), F.max("w").alias("max"),
+        F.count("*").alias("n"), F.avg("w").alias("mean"), F.stddev_pop("w").alias("std"), F.min("w").alias("min"), F.max("w").alias("max"),
         F.avg("c").alias("chars_mean"), F.min("c").alias("chars_min"), F.max("c").alias("chars_max"),
     )
+    quartiles = exact_quantiles(sized.groupBy(*by, "w").agg(F.count("*").alias("_n")), by, "w", {"p25": 0.25, "median": 0.5, "p75": 0.75}, n="_n")
+    other = quartiles.withColumnsRenamed({c: f"_r_{c}" for c in by})
+    rule = F.lit(True)
+    for c in by:
+        rule = rule & F.col(c).eqNullSafe(F.col(f"_r_{c}"))
     r = lambda c, p=4: F.round(c, p)
-    return out.select(
-        *by, "n", r(F.col("mean")).alias("mean"), r(F.col("std")).alias("std"), "min", *[r(F.get("q", F.lit(i))).alias(name) for i, name in enumerate(("p25", "median", "p75"))], "max",
+    return out.join(other, rule).select(
+        *by, "n", r(F.col("mean")).alias("mean"), r(F.col("std")).alias("std"), "min", *[r(F.col(name)).alias(name) for name in ("p25", "median", "p75")], "max",
         r(F.try_divide("std", "mean")).alias("cv"), r(F.col("chars_mean")).alias("chars_mean"), "chars_min", "chars_max",
     )
 

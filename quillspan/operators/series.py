@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -143,6 +144,16 @@ def wilder_step(x: str, period: int) -> tuple[Column, Column]:
     return a, F.when(seen > 0, b)
 
 
+def composed_steps(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """out[t] = a[t] · out[t-1] + b[t] with nothing before, in as many whole-array steps as the logarithm of the length."""
+    a, b, d = a.copy(), b.copy(), 1
+    while d < len(a):
+        b[d:] = b[d:] + a[d:] * b[:-d]
+        a[d:] = a[d:] * a[:-d]
+        d *= 2
+    return b
+
+
 def linear_scans(df: DataFrame, steps: dict[str, tuple[Column, Column]], key: str = "symbol") -> DataFrame:
     """``df`` (key, block, pos, …) with recurrences ``out[t] = a[t] · out[t-1] + b[t]`` along each series.
 
@@ -165,11 +176,8 @@ def linear_scans(df: DataFrame, steps: dict[str, tuple[Column, Column]], key: st
     def carry(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("block")
         for i in range(len(names)):
-            value, out = 0.0, []
-            for a, b in zip(pdf[f"_a{i}"], pdf[f"_b{i}"], strict=True):
-                out.append(value)
-                value = a * value + b
-            pdf[f"_in{i}"] = out
+            ends = composed_steps(pdf[f"_a{i}"].to_numpy(dtype=float), pdf[f"_b{i}"].to_numpy(dtype=float))
+            pdf[f"_in{i}"] = np.insert(ends[:-1], 0, 0.0)
         return pdf[[key, "block", *[f"_in{i}" for i in range(len(names))]]]
 
     kind = dict(df.dtypes)[key]
@@ -178,14 +186,11 @@ def linear_scans(df: DataFrame, steps: dict[str, tuple[Column, Column]], key: st
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("pos")
         for i, name in enumerate(names):
-            value, out = float(pdf[f"_in{i}"].iloc[0]), []
-            for a, b in zip(pdf[f"_a{i}"].to_numpy(), pdf[f"_b{i}"].to_numpy(), strict=True):
-                if b == b:
-                    value = (a * value if a else 0.0) + b
-                    out.append(value)
-                else:
-                    out.append(None)
-            pdf[name] = pd.array(out, dtype="Float64")
+            a, b = pdf[f"_a{i}"].to_numpy(dtype=float), pdf[f"_b{i}"].to_numpy(dtype=float)
+            here = ~np.isnan(b)
+            a, b = np.where(here, a, 1.0), np.where(here, b, 0.0)
+            b[0] += a[0] * pdf[f"_in{i}"].iloc[0]
+            pdf[name] = pd.Series(np.where(here, composed_steps(a, b), np.nan), index=pdf.index).astype("Float64").where(here)
         return pdf[[key, "pos", *names]]
 
     small = rows.select(key, "block", "pos", *[f"_{k}{i}" for i in range(len(names)) for k in "ab"])
@@ -199,34 +204,55 @@ def ema(df: DataFrame, x: str, span: int, out: str, key: str = "symbol") -> Data
     return scanned.withColumn(out, F.when(F.col(f"{x}_seen") >= span, F.col(out))).drop(f"{x}_seen", f"{x}_gap")
 
 
-def with_indicators(bars: DataFrame, key: str = "symbol") -> DataFrame:
-    """Clean ``bars`` (symbol, ts, close, …) with all thirteen indicators.
+def with_indicators(bars: DataFrame, key: str = "symbol", names: list[str] | None = None, fast: int = 12, slow: int = 26, signal: int = 9, period: int = 14) -> DataFrame:
+    """Clean ``bars`` (symbol, ts, close, …) with the indicators ``names``, or all thirteen.
 
     sma_50, sma_200, rsi_14, macd (12, 26), macd_signal (9), macd_hist, Bollinger bands (20, 2), volatility_30d.  Values in warm-up
-    are NULL.  Two passes over the rows, partitioned by series and block; no task holds a whole series.
+    are NULL.  Only what is asked for is worked out: frames in one pass without an intermediate table, recurrences in one more, the
+    signal line in another, all partitioned by series and block; no task holds a whole series.
+
+    Raises KeyError where a column is missing, and ValueError for an unknown indicator, a window that is no positive integer or
+    ``fast`` not below ``slow``.
     """
-    placed = with_positions(clean_bars(bars), key)
-    close = F.col("close")
-    near = with_halo(placed, 200)
-    change = F.ln(close) - F.ln(previous(close, key))
+    names = list(INDICATORS) if names is None else list(names)
+    if missing := [c for c in (key, "ts", "close") if c not in bars.columns]:
+        raise KeyError(f"bars lack {missing}")
+    if unknown := [n for n in names if n not in INDICATORS]:
+        raise ValueError(f"no such indicator: {unknown}")
+    if check_window(fast, "fast") >= check_window(slow, "slow"):
+        raise ValueError("fast must be below slow")
+    check_window(signal, "signal"), check_window(period, "period")
+    wanted, close = set(names), F.col("close")
+    macd, rsi, lines = bool(wanted & {"macd", "macd_signal", "macd_hist"}), "rsi_14" in wanted, bool(wanted & {"macd_signal", "macd_hist"})
+    frames = {"sma_50": lambda: sma(close, 50, key), "sma_200": lambda: sma(close, 200, key), "volatility_30d": lambda: over_full(F.stddev_samp("_change"), F.col("_change"), 30, key) * math.sqrt(252)}
+    reach = max([1, *[n for name, n in (("sma_50", 50), ("sma_200", 200), ("volatility_30d", 31)) if name in wanted], *[20 for n in wanted if n.startswith("bb_")]])
+    near = with_halo(with_positions(clean_bars(bars), key), reach)
     step = close - previous(close, key)
-    near = near.withColumns({"_change": change, "gain": F.when(step.isNotNull(), F.greatest(step, F.lit(0.0))), "loss": F.when(step.isNotNull(), F.greatest(-step, F.lit(0.0)))})
-    framed = near.withColumns({
-        "sma_50": sma(close, 50, key), "sma_200": sma(close, 200, key), **bollinger(close, key=key),
-        "volatility_30d": over_full(F.stddev_samp("_change"), F.col("_change"), 30, key) * math.sqrt(252),
-    }).where("not halo").drop("halo", "_change")
+    before = {"_change": F.ln(close) - F.ln(previous(close, key))} if "volatility_30d" in wanted else {}
+    if rsi:
+        before |= {"gain": F.when(step.isNotNull(), F.greatest(step, F.lit(0.0))), "loss": F.when(step.isNotNull(), F.greatest(-step, F.lit(0.0)))}
+    after = {name: frame() for name, frame in frames.items() if name in wanted} | {name: band for name, band in bollinger(close, key=key).items() if name in wanted}
+    out = (near.withColumns(before) if before else near)
+    out = (out.withColumns(after) if after else out).where("not halo").drop("halo", "_change")
+    columns = [*bars.columns, "pos", "block", *names]
+    if not macd and not rsi:
+        return out.select(*columns)
     # close has no gaps here, and gain and loss begin at the second row
-    sized = framed.withColumns({"close_seen": F.col("pos"), "close_gap": F.lit(1), "gain_seen": F.col("pos") - 1, "loss_seen": F.col("pos") - 1})
-    sized = written(sized, "framed")  # each scan reads its input three times
-    first = linear_scans(sized, {"_fast": ema_step("close", 12), "_slow": ema_step("close", 26), "_gain": wilder_step("gain", 14), "_loss": wilder_step("loss", 14)}, key)
-    up, down = F.col("_gain"), F.col("_loss")
-    rsi = F.when(F.col("gain_seen") >= 14, F.when((up == 0) & (down == 0), 50.0).when(down == 0, 100.0).when(up == 0, 0.0).otherwise(100 - 100 / (1 + up / down)))
-    first = first.withColumns({"rsi_14": finite(rsi), "macd": F.when(F.col("pos") >= 26, F.col("_fast") - F.col("_slow"))})
-    first = written(first, "first-scan")
-    second = linear_scans(first.withColumns({"macd_seen": F.greatest(F.col("pos") - 25, F.lit(0)), "macd_gap": F.lit(1)}), {"macd_signal": ema_step("macd", 9)}, key)
-    second = second.withColumn("macd_signal", F.when(F.col("macd_seen") >= 9, F.col("macd_signal")))
-    second = second.withColumn("macd_hist", F.col("macd") - F.col("macd_signal"))
-    return second.select(*bars.columns, "pos", "block", *INDICATORS)
+    out = written(out.withColumns({"close_seen": F.col("pos"), "close_gap": F.lit(1), "gain_seen": F.col("pos") - 1, "loss_seen": F.col("pos") - 1}), "framed")  # a scan reads its input three times
+    scans = ({"_fast": ema_step("close", fast), "_slow": ema_step("close", slow)} if macd else {}) | ({"_gain": wilder_step("gain", period), "_loss": wilder_step("loss", period)} if rsi else {})
+    out = linear_scans(out, scans, key)
+    if rsi:
+        up, down = F.col("_gain"), F.col("_loss")
+        value = F.when(F.col("gain_seen") >= period, F.when((up == 0) & (down == 0), 50.0).when(down == 0, 100.0).when(up == 0, 0.0).otherwise(100 - 100 / (1 + up / down)))
+        out = out.withColumn("rsi_14", finite(value))
+    if macd:
+        out = out.withColumn("macd", F.when(F.col("pos") >= slow, F.col("_fast") - F.col("_slow")))
+    if lines:
+        out = written(out, "first-scan")
+        out = linear_scans(out.withColumns({"macd_seen": F.greatest(F.col("pos") - (slow - 1), F.lit(0)), "macd_gap": F.lit(1)}), {"macd_signal": ema_step("macd", signal)}, key)
+        out = out.withColumn("macd_signal", F.when(F.col("macd_seen") >= signal, F.col("macd_signal")))
+        out = out.withColumn("macd_hist", F.col("macd") - F.col("macd_signal"))
+    return out.select(*columns)
 
 
 #: Columns that with_indicators adds.

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quillspan.operators.quantiles import exact_quantiles
 from quillspan.shared import written
 
 # Weight of each vote, rows of a year, and cuts of the score.
@@ -81,9 +82,8 @@ def volatility_snapshot(df: DataFrame, key: str = "symbol", x: str = "volatility
     """
     good = written(df.where(F.col(x).isNotNull()).select(key, "pos", x), "volatility")
     current = good.groupBy(key).agg(F.max_by(x, "pos").alias("current"))
-    out = good.join(current, key).groupBy(key).agg(
-        F.max("current").alias("current"), (100 * F.avg((F.col(x) < F.col("current")).cast("int"))).alias("percentile"), F.percentile(x, 0.5).alias("median"), F.max(x).alias("maximum"), F.count("*").alias("n")
-    )
+    sums = good.join(current, key).groupBy(key).agg(F.max("current").alias("current"), (100 * F.avg((F.col(x) < F.col("current")).cast("int"))).alias("percentile"), F.max(x).alias("maximum"), F.count("*").alias("n"))
+    out = sums.join(exact_quantiles(good, [key], x, {"median": 0.5}), key).select(key, "current", "percentile", "median", "maximum", "n")
     band = F.when(F.col("percentile") > 70, "elevated").when(F.col("percentile") < 30, "subdued").otherwise("normal")
     return out.withColumn("band", band)
 

@@ -15,8 +15,8 @@ def _placed(spark: SparkSession, d: str) -> DataFrame:
     return s.with_positions(s.clean_bars(table(spark, d, "bars")))
 
 
-def _enriched(spark: SparkSession, d: str) -> DataFrame:
-    return s.with_indicators(table(spark, d, "bars"))
+def _enriched(spark: SparkSession, d: str, *names: str) -> DataFrame:
+    return s.with_indicators(table(spark, d, "bars"), names=list(names) or None)
 
 
 def _six(df: DataFrame, *columns: str, places: int = 6) -> list:
@@ -62,7 +62,7 @@ def q_bollinger(spark, d):
 
 def q_volatility(spark, d):
     """Annualised volatility over 30 rows."""
-    return _enriched(spark, d).select("symbol", "ts", *_six(None, "volatility_30d"))
+    return _enriched(spark, d, "volatility_30d").select("symbol", "ts", *_six(None, "volatility_30d"))
 
 
 def q_ema(spark, d):
@@ -72,12 +72,12 @@ def q_ema(spark, d):
 
 def q_macd(spark, d):
     """MACD line, signal and histogram."""
-    return _enriched(spark, d).select("symbol", "ts", *_six(None, "macd", "macd_signal", "macd_hist"))
+    return _enriched(spark, d, "macd", "macd_signal", "macd_hist").select("symbol", "ts", *_six(None, "macd", "macd_signal", "macd_hist"))
 
 
 def q_rsi(spark, d):
     """RSI over 14 rows."""
-    return _enriched(spark, d).select("symbol", "ts", *_six(None, "rsi_14", places=5))
+    return _enriched(spark, d, "rsi_14").select("symbol", "ts", *_six(None, "rsi_14", places=5))
 
 
 def q_indicators_all(spark, d):
@@ -97,7 +97,7 @@ def q_equity_summary(spark, d):
 
 def q_vol_snapshot(spark, d):
     """Last volatility of each symbol among all of its values."""
-    out = g.volatility_snapshot(_enriched(spark, d))
+    out = g.volatility_snapshot(_enriched(spark, d, "volatility_30d"))
     return out.select("symbol", *_six(None, "current", "percentile", "median", "maximum", places=5), "n", "band")
 
 
