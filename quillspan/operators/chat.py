@@ -83,3 +83,37 @@ def extraction_rules(x: str) -> list[tuple[str, Column]]:
 def unknown_fields(raw: Column, allowed: list[str]) -> Column:
     """Top-level keys of a JSON text that a closed schema doesn't know; NULL where it is no object."""
     return F.array_except(F.json_object_keys(raw), F.array(*map(F.lit, allowed)))
+
+
+def kept_and_rejected(rows: DataFrame, rules: list[tuple[str, Column]], by: list[str]) -> DataFrame:
+    """(by…, n, kept, rejected): rows that break no rule, and the others; a row is judged on its own, never with its batch."""
+    ok = F.size(violations(rules)) == 0
+    return rows.groupBy(*by).agg(F.count("*").alias("n"), F.count_if(ok).alias("kept"), F.count_if(~ok).alias("rejected"))
+
+
+def first_violation(rules: list[tuple[str, Column]]) -> Column:
+    """Name of the first rule a row breaks; NULL if none."""
+    return F.try_element_at(violations(rules), F.lit(1))
+
+
+def draw_cells(axes: dict[str, DataFrame], cycled: str, n: int, seed: int = 7, edge_every: int = 3) -> DataFrame:
+    """(seed, one column an axis, edge): ``n`` different cells of the grid of all categories, the categories of ``cycled`` in turn.
+
+    Each axis is a short list of categories that people write; a category's cells are in order of md5 of the cell and ``seed``, so a draw
+    is the same at every run.  Every ``edge_every``-th seed is to be an edge case.
+    """
+    grid = None
+    for values in axes.values():
+        grid = values if grid is None else grid.crossJoin(F.broadcast(values))  # lists of categories
+    names = list(axes)
+    h = F.md5(F.concat_ws("|", *names, F.lit(str(seed))))
+    turn = F.row_number().over(Window.partitionBy(cycled).orderBy(h, *[c for c in names if c != cycled]))
+    first = grid.withColumn("_turn", turn).where(F.col("_turn") <= n).orderBy("_turn", cycled).limit(n)
+    numbered = first.withColumn("seed", F.row_number().over(Window.orderBy("_turn", cycled)) - 1)  # of at most n rows
+    return numbered.select(F.col("seed").cast("int").alias("seed"), *names, (F.col("seed") % edge_every == 0).alias("edge"))
+
+
+def in_turn(df: DataFrame, keys: list[str], order: list[str], cycle: dict[str, int]) -> DataFrame:
+    """``df`` with ``position`` from 0 in each group by ``order``, and the position modulo each length of ``cycle``."""
+    out = df.withColumn("position", F.row_number().over(Window.partitionBy(*keys).orderBy(*order)) - 1)
+    return out.withColumns({name: F.pmod("position", F.lit(length)).cast("int") for name, length in cycle.items()})

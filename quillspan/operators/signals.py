@@ -127,3 +127,10 @@ def ranked(df: DataFrame, keys: list[str], order: list[Column], n: int) -> DataF
     """The first ``n`` rows of each group by ``order`` (a group limit runs in front of the shuffle)."""
     rank = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
     return df.withColumn("rank", rank).where(F.col("rank") <= n)
+
+
+def price_to_earnings(close: Column, trailing: Column, eps: Column) -> Column:
+    """struct(value, source): the trailing figure, else close / eps where eps is above 0, else NULL; source tells which."""
+    computed = F.when(eps > 0, close / eps)
+    source = F.when(trailing.isNotNull(), "trailing").when(computed.isNotNull(), "computed").otherwise("unavailable")
+    return F.struct(F.coalesce(trailing, computed).alias("value"), source.alias("source"))

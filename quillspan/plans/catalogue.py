@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quillspan.plans import log_queries, problems, series_queries, text_queries
+from quillspan.plans import evaluation_queries, log_queries, problems, series_queries, text_queries
 
-QUERIES = {**series_queries.QUERIES, **text_queries.QUERIES, **log_queries.QUERIES, **problems.QUERIES}
-SQL = {**series_queries.SQL, **text_queries.SQL, **log_queries.SQL, **problems.SQL}
+QUERIES = {**series_queries.QUERIES, **text_queries.QUERIES, **log_queries.QUERIES, **evaluation_queries.QUERIES, **problems.QUERIES}
+SQL = {**series_queries.SQL, **text_queries.SQL, **log_queries.SQL, **evaluation_queries.SQL, **problems.SQL}
