@@ -88,6 +88,12 @@ def entity_uniqueness(mentions: DataFrame, entity: str = "entity") -> DataFrame:
     return counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("mentions"), F.count("*").alias("distinct_entities")).withColumn("uniqueness", F.round(F.try_divide("distinct_entities", "mentions"), 3))
 
 
+def top_entities(mentions: DataFrame, entity: str = "entity", top: int = 8) -> DataFrame:
+    """(entity, n) of the ``top`` names mentioned more than once (ties in order of the name); NULL and blank ones don't count."""
+    counts = mentions.where(F.trim(entity) != "").groupBy(F.trim(entity).alias("entity")).agg(F.count("*").alias("n"))
+    return counts.where("n > 1").orderBy(F.desc("n"), "entity").limit(top)
+
+
 def verdict(metrics: DataFrame, threshold: float = 0.72) -> DataFrame:
     """(check, passed) of one row of metrics, and an ``overall`` row: variety of a corpus against stated limits.
 
@@ -96,8 +102,8 @@ def verdict(metrics: DataFrame, threshold: float = 0.72) -> DataFrame:
     c = F.col
     # The limit of each check.
     checks = {
-        "no near duplicates": c("near_pairs") == 0, "mean cosine below 0.50": c("mean_cosine") < 0.50, "p95 cosine below threshold": c("p95_cosine") < threshold, "length varies": c("cv") > 0.30,
-        "types near-uniform": c("type_entropy") > 0.95, "no type above 15 pct": c("type_max_share") <= 15.0, "entities mostly unique": c("uniqueness") > 0.60, "edge cases present": c("edge_cases") >= 3,
+        "near_pairs": c("near_pairs") == 0, "mean_cosine": c("mean_cosine") < 0.50, "p95_cosine": c("p95_cosine") < threshold, "length_cv": c("cv") > 0.30,
+        "type_entropy": c("type_entropy") > 0.95, "type_share": c("type_max_share") <= 15.0, "uniqueness": c("uniqueness") > 0.60, "edge_cases": c("edge_cases") >= 3,
     }
     each = F.array(*[F.struct(F.lit(k).alias("check"), F.coalesce(v, F.lit(False)).alias("passed")) for k, v in checks.items()])
     all_ = F.struct(F.lit("overall").alias("check"), F.forall(each, lambda x: x["passed"]).alias("passed"))

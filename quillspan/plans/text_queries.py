@@ -175,10 +175,15 @@ def q_rouge_l(spark, d):
 
 
 def q_set_f1(spark, d):
-    """Agreement of the first two words of a clause with its parties, as sets of words."""
+    """Agreement of all parties of an extraction with all capitalised names of its clause, as sets."""
     x = _extracted(spark, d).where("x is not null and clause is not null")
-    named = F.split(F.coalesce(F.get("x.parties", F.lit(0)), F.lit("")), " ")
-    return x.select("rec_id", metrics.set_f1(named, F.slice(F.split("clause", " "), 1, 3)).alias("f1"))
+    names = t.all_matches(F.col("clause"), "[A-Z][A-Za-z]+(?: [A-Z][A-Za-z]+)+")
+    return x.select("rec_id", metrics.set_f1(F.col("x.parties"), names).alias("f1"))
+
+
+def q_top_entities(spark, d):
+    """The eight parties mentioned most."""
+    return corpus.top_entities(_extracted(spark, d).select(F.explode("x.parties").alias("entity")))
 
 
 def q_grounding(spark, d):
@@ -300,7 +305,7 @@ def q_gate(spark, d):
 
 QUERIES = {f.__name__: f for f in (
     q_news_priority_union, q_title_key, q_clean_text, q_sentiment_aggregate, q_reconcile_missing, q_anti_unlisted, q_length_stats, q_length_hist, q_keywords, q_keyword_totals, q_axis_shares,
-    q_axis_entropy, q_entity_uniqueness, q_label_balance, q_near_dups, q_doc_classes, q_similarity_report, q_similarity_hist, q_worst_pairs, q_first_offenders, q_guard_log, q_duplicate_guard, q_diversity_verdict, q_rouge_l, q_set_f1, q_grounding, q_numbers_in,
+    q_axis_entropy, q_entity_uniqueness, q_top_entities, q_label_balance, q_near_dups, q_doc_classes, q_similarity_report, q_similarity_hist, q_worst_pairs, q_first_offenders, q_guard_log, q_duplicate_guard, q_diversity_verdict, q_rouge_l, q_set_f1, q_grounding, q_numbers_in,
     q_model_rollup, q_compare, q_rule_violations, q_sentence_count, q_text_quality, q_chat_render, q_first_turn, q_trim_budget, q_stratified_split, q_batches_of_8, q_grid_seeds, q_knn_cosine,
     q_nn_label_vote, q_calibrate, q_gate,
 )}
@@ -409,9 +414,33 @@ SQL = {
           QUALIFY row_number() OVER (PARTITION BY p.b ORDER BY round(cosine, 6) DESC, a) = 1)
         SELECT acc.source, acc.id AS doc_id, accepted, coalesce(similarity, 0) AS similarity, closest_to FROM acc LEFT JOIN best ON best.id = acc.id""",
     "q_duplicate_guard": f"WITH RECURSIVE {_VECTORS}, {_GUARD} SELECT source, id AS doc_id, accepted FROM run",
-    "q_set_f1": f"""WITH {_CHAT}, {_JSON}, s AS (SELECT rec_id, list_distinct(list_filter(list_transform(string_split(coalesce(parties[1], ''), ' '), lambda v: lower(trim(v))), lambda v: v <> '')) AS p,
-          list_distinct(list_filter(list_transform(string_split(clause, ' ')[1:3], lambda v: lower(trim(v))), lambda v: v <> '')) AS e FROM x WHERE js IS NOT NULL AND clause IS NOT NULL)
+    "q_set_f1": f"""WITH {_CHAT}, {_JSON},
+        s AS (SELECT rec_id, list_distinct(list_filter(list_transform(coalesce(parties, []), lambda v: lower(trim(v))), lambda v: v <> '')) AS p,
+          list_distinct(list_transform(regexp_extract_all(clause, '[A-Z][A-Za-z]+(?: [A-Z][A-Za-z]+)+'), lambda v: lower(trim(v)))) AS e FROM x WHERE js IS NOT NULL AND clause IS NOT NULL)
         SELECT rec_id, CASE WHEN len(p) = 0 AND len(e) = 0 THEN 1 ELSE round(coalesce(2e0 * len(list_intersect(p, e)) / nullif(len(p) + len(e), 0), 0), 4) END AS f1 FROM s""",
+    "q_top_entities": f"""WITH {_CHAT}, {_JSON}, e AS (SELECT trim(unnest(parties)) AS entity FROM x)
+        SELECT entity, count(*) AS n FROM e WHERE entity <> '' GROUP BY entity HAVING count(*) > 1 ORDER BY n DESC, entity LIMIT 8""",
+    "q_rouge_l": f"""WITH {_CHAT}, k AS (SELECT rec_id, regexp_extract_all(lower(answer), '[a-z0-9_.:%-]+') AS a, regexp_extract_all(lower(clause), '[a-z0-9_.:%-]+') AS b FROM c WHERE clause IS NOT NULL AND answer IS NOT NULL),
+        l AS (SELECT *, CASE WHEN len(a) = 0 OR len(b) = 0 THEN 0 ELSE list_last(list_reduce(a, lambda row, x: list_reduce(range(1, len(b) + 1), lambda new, j:
+          list_append(new, CASE WHEN b[j] = x THEN row[j] + 1 ELSE greatest(row[j + 1], new[j]) END), [0]::BIGINT[]), list_resize([]::BIGINT[], len(b) + 1, 0))) END AS n FROM k),
+        m AS (SELECT rec_id, coalesce(n / nullif(len(a), 0), 0) AS pr, coalesce(n / nullif(len(b), 0), 0) AS re FROM l)
+        SELECT rec_id, round(pr, 4) AS "precision", round(re, 4) AS recall, round(coalesce(2.44e0 * pr * re / nullif(re + 1.44e0 * pr, 0), 0), 4) AS f FROM m""",
+    "q_clean_text": r"""SELECT item_id, trim(regexp_replace(regexp_replace(regexp_replace(headline, '[\x{00A0}\x{200B}-\x{200D}\x{2007}\x{2009}\x{202F}\x{2060}\x{3000}\x{FEFF}]', ' ', 'g'), '[\x00-\x09\x0B-\x1F]', '', 'g'),
+        '[\s\x0B\x{0085}\x{00A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+', ' ', 'g'), ' ') AS shown FROM headlines""",
+    "q_diversity_verdict": f"""WITH {_CHAT}, {_JSON}, tr AS (SELECT rec_id AS id, clause, metadata FROM c WHERE split = 'train'),
+        w AS (SELECT id, regexp_extract_all(lower(clause), '[\\p{{L}}\\p{{N}}_]{{2,}}') AS w FROM tr WHERE clause IS NOT NULL),
+        g AS (SELECT id, unnest(list_concat(w, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]))) AS gram FROM w WHERE len(w) > 0),
+        v AS (SELECT id, gram, count(*) AS n FROM g GROUP BY ALL), u AS (SELECT id, gram, n / sqrt(sum(n * n) OVER (PARTITION BY id)) AS w FROM v),
+        p AS (SELECT a.id AS a, b.id AS b, sum(a.w * b.w) AS cosine FROM u a JOIN u b ON a.gram = b.gram AND a.id < b.id GROUP BY ALL), h AS (SELECT DISTINCT id FROM u),
+        every AS (SELECT round(coalesce(p.cosine, 0), 6) AS cosine FROM h x JOIN h y ON x.id < y.id LEFT JOIN p ON p.a = x.id AND p.b = y.id),
+        sim AS (SELECT count(*) FILTER (WHERE cosine >= 0.72) AS near_pairs, round(avg(cosine), 4) AS mean_cosine, round(quantile_cont(cosine, 0.95), 4) AS p95 FROM every),
+        len AS (SELECT round(stddev_pop(n) / avg(n), 4) AS cv FROM (SELECT {_WORDS} AS n FROM (SELECT clause AS text FROM tr WHERE clause IS NOT NULL))),
+        ty AS (SELECT n::DOUBLE / sum(n) OVER () AS q FROM (SELECT coalesce(metadata.clause_type, 'null') AS k, count(*) AS n FROM tr GROUP BY ALL)),
+        en AS (SELECT round(sum(-q * ln(q)) / ln(count(*)), 4) AS entropy, round(100 * max(q), 4) AS top FROM ty), e AS (SELECT trim(unnest(parties)) AS e FROM x),
+        un AS (SELECT round(count(DISTINCT e)::DOUBLE / nullif(count(*), 0), 3) AS uniqueness FROM e WHERE e <> ''), ed AS (SELECT count(DISTINCT metadata.edge_case) AS edges FROM tr),
+        one AS (SELECT near_pairs = 0 AS near_pairs, mean_cosine < 0.5 AS mean_cosine, p95 < 0.72 AS p95_cosine, cv > 0.3 AS length_cv, entropy > 0.95 AS type_entropy, top <= 15 AS type_share, uniqueness > 0.6 AS uniqueness, edges >= 3 AS edge_cases FROM sim, len, en, un, ed),
+        long AS (UNPIVOT one ON near_pairs, mean_cosine, p95_cosine, length_cv, type_entropy, type_share, uniqueness, edge_cases INTO NAME "check" VALUE passed)
+        SELECT "check", passed FROM long UNION ALL SELECT 'overall', bool_and(passed) FROM long""",
     "q_numbers_in": f"""WITH {_CHAT}, n AS (SELECT rec_id, list_distinct(list_transform(regexp_extract_all(clause, '\\d{{1,3}}(?:,\\d{{3}})+(?:\\.\\d+)?|\\d+(?:\\.\\d+)?'), lambda v: replace(v, ',', '')::DOUBLE)) AS n FROM c WHERE clause IS NOT NULL)
         SELECT rec_id, len(n)::INT AS numbers, round(coalesce(list_sum(n), 0), 4) AS total FROM n""",
     "q_model_rollup": f"""WITH {_CHAT}, {_JSON} SELECT source, count(*) AS n, round(avg((js IS NOT NULL)::INT), 4) AS parsed, round(avg(coalesce((x_type = metadata.clause_type)::INT, 0)), 4) AS type_right,
