@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import re
 
 import pandas as pd
 from pyspark.sql import Column
@@ -33,11 +34,17 @@ RELATIONAL_STEMS = [
     "despite", "however", "although", "whereas", "while", "but ", "offset", "outweigh", "override", "dominat", "on balance", "net of",
     "combined", "together", "taken as a whole", "in aggregate", "suggests that", "implies", "points to", "indicat",
 ]
+# Signs of currencies; wordings, states and names of errors.
+CURRENCY_SIGNS = {"USD": "$", "GBP": "£", "EUR": "€", "LKR": "Rs "}
+MALFORMED_CALLS = ["tool_use_failed", "failed to parse tool call", "failed_generation", "invalid tool call"]
+RETRYABLE_STATUS = [408, 409, 413, 429, 500, 502, 503, 504]
+RETRYABLE_ERRORS = ["RateLimitError", "APITimeoutError", "APIConnectionError", "InternalServerError"]
 # Patterns of abbreviations, numbers, tokens.
 ABBREVIATION = r"(?i)\b(?:e\.g|i\.e|vs|etc|approx|Inc|Corp|Ltd|Q[1-4])\."
 NUMBER = r"\d{1,3}(?:,\d{3})+(?:\.\d+)?|\d+(?:\.\d+)?"
 OVERLAP_TOKEN = "[a-z0-9_.:%-]+"
 KEYWORD = r"[a-z][a-z\-']{3,}"
+_MARKS = re.compile(r'\\.|[{}"]', re.S)
 TERM = r"[\p{L}\p{N}_]{2,}"
 
 
@@ -48,7 +55,7 @@ def words(text: Column) -> Column:
 
 
 def sentences(text: Column) -> Column:
-    """Number of sentences; decimals and common abbreviations don't end one."""
+    """Number of pieces between runs of closing marks; marks in decimal numbers and behind a few short forms close nothing."""
     masked = F.regexp_replace(F.regexp_replace(text, r"\d+\.\d+", "0"), ABBREVIATION, "X")
     return F.size(F.filter(F.split(masked, r"[.!?]+(?:\s|$)"), lambda x: F.trim(x) != ""))
 
@@ -116,40 +123,115 @@ def salvaged_json(text: Column) -> Column:
     return F.when(F.try_parse_json(text).isNotNull(), text).when(F.try_parse_json(inner).isNotNull(), inner)
 
 
-def balanced_json(text: Column) -> Column:
-    """The first balanced object of a text that parses, fences taken off; braces inside strings don't count."""
-    def scan(value: str | None) -> str | None:
-        if value is None:
-            return None
-        at = value.find("{")
-        while at >= 0:
-            depth, quoted, skip = 0, False, False
-            for i in range(at, len(value)):
-                char = value[i]
-                if skip:
-                    skip = False
-                elif quoted:
-                    skip, quoted = char == "\\", char != '"'
-                elif char == '"':
-                    quoted = True
-                elif char in "{}":
-                    depth += 1 if char == "{" else -1
-                    if not depth:
+def _first_object(text: str) -> str | None:
+    """The first balanced object of a text that parses.
+
+    One pass over braces and quotes finds all balanced pairs behind a start; only braces that it took for parts of strings
+    are starts of further passes.
+    """
+    start = text.find("{")
+    while start >= 0:
+        quoted, stack, pairs, hidden = False, [], [], -1
+        for m in _MARKS.finditer(text, start):
+            mark = m[0]
+            if mark == '"':
+                quoted = not quoted
+            elif quoted:
+                if mark == "{" and hidden < 0:
+                    hidden = m.start()
+            elif mark == "{":
+                stack.append(m.start())
+            elif mark == "}" and stack:
+                pairs.append((stack.pop(), m.end()))
+                if not stack:  # an outermost object: try it and what it holds, from the left
+                    for a, b in sorted(pairs):
                         try:
-                            json.loads(value[at : i + 1])
-                            return value[at : i + 1]
+                            json.loads(text[a:b])
+                            return text[a:b]
                         except ValueError:
-                            break
-            at = value.find("{", at + 1)
-        return None
+                            continue
+                    pairs = []
+        for a, b in sorted(pairs):
+            try:
+                json.loads(text[a:b])
+                return text[a:b]
+            except ValueError:
+                continue
+        start = hidden
+    return None
+
+
+def balanced_json(text: Column) -> Column:
+    """The first balanced object of a text that parses, fences taken off; braces inside strings don't count."""
 
     @F.pandas_udf(T.StringType())
     def run(values: pd.Series) -> pd.Series:
-        return values.map(scan, na_action="ignore")
+        return values.map(_first_object, na_action="ignore")
 
     return run(text)
 
 
+def money(value: Column, currency: Column) -> Column:
+    """An amount with thousands separators, two places and the sign of its currency; n/a for NULL."""
+    signs = F.create_map(*[F.lit(x) for pair in CURRENCY_SIGNS.items() for x in pair])
+    return F.when(value.isNull(), "n/a").otherwise(F.concat(F.coalesce(F.try_element_at(signs, currency), F.lit("")), F.format_number(value, 2)))
+
+
+def sign_class(value: Column) -> Column:
+    """pos, neg, na for NULL, or nothing for 0: how a signed figure is to be shown."""
+    return F.when(value.isNull(), "na").when(value > 0, "pos").when(value < 0, "neg").otherwise("")
+
+
+def aligned_block(facts: dict[str, Column]) -> Column:
+    """Lines ``label : value`` with the colons below each other; NULL facts read 'unavailable'."""
+    width = max(map(len, facts), default=0)
+    return F.concat_ws("\n", *[F.concat(F.lit(f"{k:<{width}} : "), F.coalesce(v.cast("string"), F.lit("unavailable"))) for k, v in facts.items()])
+
+
+def outline(title: Column, sections: dict[str, Column]) -> Column:
+    """A title and sections below headings; a section is a text or a list of texts, and one without content is left out."""
+    parts = []
+    for name, body in sections.items():
+        text = F.when(F.trim(body) != "", body)
+        parts.append(F.when(text.isNotNull(), F.concat(F.lit(f"{name.upper()}\n"), text)))
+    return F.concat_ws("\n\n", title, *parts)
+
+
+def bullets(items: Column) -> Column:
+    """A list of texts as lines with a dash; an empty or NULL list is NULL."""
+    return F.when(F.size(items) > 0, F.array_join(F.transform(items, lambda x: F.concat(F.lit("- "), x)), "\n"))
+
+
+def content_text(raw: Column) -> Column:
+    """The text of a message content: a plain text as it is, of a JSON list its texts and its blocks of text joined; NULL is empty.
+
+    Blocks of another kind (reasoning, calls) are left out.
+    """
+    blocks = F.from_json(raw, "array<string>")
+    piece = lambda b: F.when(
+        F.startswith(F.ltrim(b), F.lit("{")),
+        F.when(F.coalesce(F.get_json_object(b, "$.type"), F.lit("text")) == "text", F.coalesce(F.get_json_object(b, "$.text"), F.lit(""))).otherwise(""),
+    ).otherwise(b)
+    listed = F.startswith(F.ltrim(raw), F.lit("[")) & blocks.isNotNull() & F.try_parse_json(raw).isNotNull()
+    return F.when(raw.isNull(), "").when(listed, F.array_join(F.transform(blocks, piece), "")).otherwise(raw)
+
+
+def malformed_call(error: Column) -> Column:
+    """Whether an error says that a model's own call of a tool couldn't be read."""
+    return F.coalesce(F.lower(error).rlike("|".join(MALFORMED_CALLS)), F.lit(False))
+
+
+def retryable(status: Column, error: Column) -> Column:
+    """Whether a failed call may be tried again, by its status or the name of its error."""
+    return F.coalesce(status.isin(*RETRYABLE_STATUS), F.lit(False)) | F.coalesce(error.isin(*RETRYABLE_ERRORS), F.lit(False))
+
+
+def as_text(df, name: str) -> Column:
+    """A column of any kind as text: texts as they are, lists, maps and structs as JSON, others cast."""
+    kind = df.schema[name].dataType
+    return F.to_json(name) if isinstance(kind, (T.ArrayType, T.MapType, T.StructType, T.VariantType)) else F.col(name).cast("string")
+
+
 def signed_percent(value: Column, places: int = 2) -> Column:
     """A percentage with its sign, or a dash."""
     return F.when(value.isNull(), "-").otherwise(F.format_string(f"%+.{places}f%%", value))

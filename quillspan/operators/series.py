@@ -54,6 +54,29 @@ def clean_bars(bars: DataFrame) -> DataFrame:
     return keep_last(good, ["symbol", "ts"], ["volume"] if "volume" in bars.columns else [])
 
 
+def in_window(bars: DataFrame, now: Column, years: int = 2, buffer_days: int = 30, ts: str = "ts") -> DataFrame:
+    """Bars from ``years`` years and ``buffer_days`` days before the day of ``now`` up to its beginning; the bounds reach the scan."""
+    check_window(years, "years")
+    end = F.date_trunc("day", now).cast("timestamp_ntz")
+    start = end - F.make_interval(years=F.lit(years), days=F.lit(buffer_days))
+    return bars.where((F.col(ts) >= start) & (F.col(ts) < end))
+
+
+def required(df: DataFrame, what: str) -> DataFrame:
+    """``df``, or a ValueError where it has no row."""
+    if not df.limit(1).count():
+        raise ValueError(f"no {what}")
+    return df
+
+
+def dropped_bars(bars: DataFrame, key: str = "symbol", ts: str = "ts") -> DataFrame:
+    """(key, rows, invalid, repeated, kept): what ``clean_bars`` drops of each series, in one pass; NULL keys are a group."""
+    valid = F.coalesce(finite(F.col("close")) > 0, F.lit(False)) & F.col(ts).isNotNull() & F.col(key).isNotNull()
+    by = bars.groupBy(key, ts).agg(F.count("*").alias("n"), F.count_if(valid).alias("good"))
+    kept = F.count_if(F.col("good") > 0)
+    return by.groupBy(key).agg(F.sum("n").alias("rows"), (F.sum("n") - F.sum("good")).alias("invalid"), (F.sum("good") - kept).alias("repeated"), kept.alias("kept"))
+
+
 def with_positions(df: DataFrame, key: str = "symbol", ts: str = "ts", block: int = BLOCK) -> DataFrame:
     """``df`` with ``pos`` (1, 2, … in each series by time) and ``block``.
 

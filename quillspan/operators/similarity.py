@@ -174,6 +174,21 @@ def similar_pairs(docs: DataFrame, by: list[str], threshold: float = NEAR, id: s
     return _cells(_representatives(docs, by, id, text).drop("m"), None, by, near, f"a {kind}, b {kind}, cosine double")
 
 
+def near_ids(known: DataFrame, new: DataFrame, by: list[str], threshold: float = NEAR) -> DataFrame:
+    """(by…, id) of the vectors of ``new`` that are near one of ``known`` in their group."""
+
+    def hit(a: pd.DataFrame, b: pd.DataFrame, alone: bool) -> pd.DataFrame:
+        if not len(a) or not len(b):
+            return pd.DataFrame({"id": b["id"].iloc[:0]})
+        values = cosines((a["grams"].tolist(), a["weights"].tolist()), (b["grams"].tolist(), b["weights"].tolist()))
+        return pd.DataFrame({"id": b["id"].to_numpy()[values.max(0) >= threshold - 1e-9]})
+
+    # both sides in blocks of the same groups
+    both = _blocked(known.withColumn("_new", F.lit(False)).unionByName(new.withColumn("_new", F.lit(True))), by)
+    sides = [both.where("not _new").drop("_new"), both.where("_new").drop("_new")]
+    return _cells(*sides, by, hit, f"id {dict(new.dtypes)['id']}").distinct()
+
+
 def cosine_counts(docs: DataFrame, by: list[str], id: str = "doc_id", text: str = "text") -> DataFrame:
     """(by…, cosine, n): how many pairs of texts of each group, copies included, have each cosine, to six places.
 

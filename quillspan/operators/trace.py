@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -57,16 +57,17 @@ def dense_counts(df: DataFrame, by: list[str], metric: dict[str, Column]) -> Dat
     return df.groupBy(*by).agg(*[c.alias(k) for k, c in metric.items()])
 
 
-def cache_lookup(wanted: DataFrame, cache: DataFrame, now: Column, hours: int = 24, bypass: Column | None = None) -> DataFrame:
-    """(ticker, as_of, hit, reason) of each wanted (ticker, as_of): bypass, missing, no report, bad stamp, stale or hit.
+def cache_lookup(wanted: DataFrame, cache: DataFrame, now: Column, hours: int = 24, bypass: Column | None = None, json: bool = False) -> DataFrame:
+    """(ticker, as_of, hit, reason) of each wanted (ticker, as_of): bypass, missing, corrupt, no report, bad stamp, stale or hit.
 
-    ``cache`` has ticker, as_of, cached_at and report; of several entries the last cached counts.
+    ``cache`` has ticker, as_of, cached_at and report; of several entries the last cached counts.  With ``json`` a report that is
+    no JSON is corrupt.
     """
     last = cache.groupBy(F.col("ticker").alias("_t"), F.col("as_of").alias("_d")).agg(F.max_by(F.struct("cached_at", "report"), F.coalesce("cached_at", F.lit("1900-01-01").cast("timestamp"))).alias("c"))
     joined = wanted.join(last, (F.upper(F.trim("ticker")) == F.col("_t")) & (F.col("as_of") == F.col("_d")), "left")
     age = F.timestamp_diff("SECOND", F.col("c.cached_at"), now) / 3600
     reason = (
-        F.when(bypass if bypass is not None else F.lit(False), "bypass").when(F.col("c").isNull(), "missing").when(F.col("c.report").isNull(), "no report")
+        F.when(bypass if bypass is not None else F.lit(False), "bypass").when(F.col("c").isNull(), "missing").when(F.lit(json) & F.col("c.report").isNotNull() & F.try_parse_json("c.report").isNull(), "corrupt").when(F.col("c.report").isNull(), "no report")
         .when(F.col("c.cached_at").isNull(), "bad stamp").when(age > hours, "stale").otherwise("hit")
     )
     return joined.select("ticker", "as_of", reason.alias("reason")).withColumn("hit", F.col("reason") == "hit")
@@ -92,3 +93,47 @@ def assemble_brief(judgements: DataFrame, sides: dict[str, DataFrame], key: str
 def carry_gaps(caveats: Column, gaps: Column) -> Column:
     """Caveats, and behind them the gaps they don't name."""
     return F.array_union(caveats, F.transform(F.array_except(gaps, caveats), lambda g: g))
+
+
+def filter_calls(trace: DataFrame, run: str | None = None, agents: list[str] | None = None, failures_only: bool = False) -> DataFrame:
+    """The calls of one run, of some agents, or failed ones; what isn't asked for doesn't filter, an empty list of agents has no calls."""
+    if run is not None:
+        trace = trace.where(F.col("run_id") == run)
+    if agents is not None:
+        trace = trace.where(F.col("agent").isin(*agents) if agents else F.lit(False))
+    return trace.where(~F.col("ok")) if failures_only else trace
+
+
+def with_sequence(trace: DataFrame) -> DataFrame:
+    """``trace`` with ``seq`` numbered anew in each run, from 1 in order of time and call_id."""
+    return trace.withColumn("seq", F.row_number().over(Window.partitionBy("run_id").orderBy("timestamp", "call_id")))
+
+
+def sequence_report(trace: DataFrame) -> DataFrame:
+    """(run_id, calls, first, last, missing, repeated, rising): whether the numbers of each run's calls are whole, and rise with time.
+
+    Aggregates by number first, so a run of any length is spread; ``rising`` compares each number's earliest time with the one before.
+    """
+    numbers = trace.groupBy("run_id", "seq").agg(F.count("*").alias("n"), F.min("timestamp").alias("at"))
+    before = F.lag("at").over(Window.partitionBy("run_id").orderBy("seq"))
+    out = numbers.withColumn("late", F.coalesce(F.col("at") < before, F.lit(False))).groupBy("run_id").agg(
+        F.sum("n").alias("calls"), F.min("seq").alias("first"), F.max("seq").alias("last"), (F.max("seq") - F.min("seq") + 1 - F.count("*")).alias("missing"), F.sum(F.col("n") - 1).alias("repeated"), (~F.bool_or("late")).alias("rising")
+    )
+    return out
+
+
+def newest_runs(trace: DataFrame, n: int = 10) -> DataFrame:
+    """(run_id, started, calls) of the ``n`` runs that started last (ties by run_id)."""
+    return trace.groupBy("run_id").agg(F.min("timestamp").alias("started"), F.count("*").alias("calls")).orderBy(F.desc("started"), "run_id").limit(n)
+
+
+def envelope(ok: Column, data: Column, error: Column, suggestion: Column) -> Column:
+    """A result as struct(ok, data, error, suggestion): data only where it is ok, error and suggestion only where it isn't."""
+    bad = ~F.coalesce(ok, F.lit(False))
+    return F.struct((~bad).alias("ok"), F.when(~bad, data).alias("data"), F.when(bad, F.coalesce(error, F.lit("unknown error"))).alias("error"), F.when(bad, suggestion).alias("suggestion"))
+
+
+def log_health(log: DataFrame, stamp: str = "timestamp", corrupt: str = "corrupt") -> DataFrame:
+    """One row: lines, malformed ones, and lines whose time can't be read, of a log read by ``files.read_log``."""
+    bad = F.col(corrupt).isNotNull()
+    return log.agg(F.count("*").alias("lines"), F.count_if(bad).alias("malformed"), F.count_if(~bad & F.col(stamp).isNull()).alias("without_time"))

@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from quillspan.functions import text as tx
 from quillspan.operators import clean, news, trace as tr
 from quillspan.operators import signals as g
 from quillspan.plans import series_queries as sq
+from quillspan.sources import files
 from quillspan.sources.tables import table
 from quillspan.streaming import live
 
@@ -105,9 +107,65 @@ def q_fundamentals_left(spark, d):
     return bars.join(table(spark, d, "issuers"), "symbol", "left").select("symbol", "bars", "company_name", "sector")
 
 
+def q_filter_calls(spark, d):
+    """Failed calls of one agent."""
+    return tr.filter_calls(table(spark, d, "trace"), agents=["research"], failures_only=True).select("call_id", "run_id", "tool")
+
+
+def q_sequence(spark, d):
+    """Whether the numbers of each run's calls are whole and rise with time."""
+    return tr.sequence_report(table(spark, d, "trace"))
+
+
+def q_renumbered(spark, d):
+    """Calls numbered anew in each run, without lines flushed twice."""
+    return tr.with_sequence(tr.without_repeats(table(spark, d, "trace"))).select("call_id", "run_id", "seq")
+
+
+def q_newest_runs(spark, d):
+    """The ten runs that started last."""
+    return tr.newest_runs(table(spark, d, "trace")).select("run_id", F.unix_micros("started").alias("started_us"), "calls")
+
+
+def q_error_kinds(spark, d):
+    """Failed calls by what may be done about them; status and name of the error stand in the log's text in part."""
+    rows = table(spark, d, "trace").where("not ok")
+    status = F.regexp_extract(F.coalesce("error", F.lit("")), r"\b(\d{3})\b", 1).try_cast("int")
+    name = F.regexp_extract(F.coalesce("error", F.lit("")), r"^(\w+)", 1)
+    return rows.groupBy("tool", tx.retryable(status, name).alias("retryable"), tx.malformed_call(F.col("error")).alias("malformed")).agg(F.count("*").alias("n"))
+
+
+def q_envelope(spark, d):
+    """Results of calls with an error and a hint where they failed."""
+    hint = F.concat(F.lit("try "), F.col("tool"), F.lit(" again"))
+    rows = table(spark, d, "trace").select("call_id", tr.envelope(F.col("ok"), F.col("output"), F.col("error"), hint).alias("r"))
+    return rows.select("call_id", "r.ok", F.length("r.data").alias("data_chars"), F.length("r.error").alias("error_chars"), "r.suggestion")
+
+
+def q_content_text(spark, d):
+    """Texts of message contents: plain ones, and lists of blocks made of the chat messages."""
+    block = lambda m: F.when(m["role"] == "system", F.to_json(F.struct(F.lit("thinking").alias("type"), m["content"].alias("text")))).otherwise(F.to_json(F.struct(F.lit("text").alias("type"), m["content"].alias("text"))))
+    rows = table(spark, d, "chat").select("rec_id", F.when(F.col("rec_id") % 3 == 0, tx.first_turn(F.col("messages"), "user")).otherwise(F.concat(F.lit("["), F.array_join(F.transform("messages", block), ", "), F.lit("]"))).alias("raw"))
+    return rows.select("rec_id", F.md5(tx.content_text(F.col("raw"))).alias("digest"))
+
+
+def q_figures(spark, d):
+    """Account balances as they are shown."""
+    c = F.round("c_acctbal", 2)
+    currency = F.when(F.col("c_custkey") % 3 == 0, "USD").when(F.col("c_custkey") % 3 == 1, "EUR").otherwise("CHF")
+    rows = table(spark, d, "customer")
+    return rows.select("c_custkey", tx.money(c, currency).alias("shown"), tx.sign_class(c).alias("class"), F.md5(tx.aligned_block({"Name": F.col("c_name"), "Segment": F.col("c_mktsegment"), "Note": F.lit(None)})).alias("block"))
+
+
+def q_manifest(spark, d):
+    """Rows and share of each split of the chat records, and their clause types."""
+    rows = table(spark, d, "chat").select("split", F.col("metadata.clause_type").alias("clause_type"))
+    return files.manifest(rows, "split", "clause_type").select("split", "n", "share", F.array_join(F.transform(F.map_entries("types"), lambda e: F.concat_ws("=", e["key"], e["value"])), ",").alias("types"))
+
+
 QUERIES = {f.__name__: f for f in (
     q_trace_summary, q_tool_latency, q_stream_trace, q_runs, q_trace_repeats, q_overall, q_agent_tool_matrix, q_tool_violations, q_redact_inputs, q_json_payload, q_cache_lookup, q_rules_signal,
-    q_brief_assembly, q_fundamentals_left,
+    q_brief_assembly, q_fundamentals_left, q_filter_calls, q_sequence, q_renumbered, q_newest_runs, q_error_kinds, q_envelope, q_content_text, q_figures, q_manifest,
 )}
 
 _SUMMARY = "count(*) AS calls, count(*) FILTER (WHERE NOT ok) AS failures, round(sum(duration_ms), 6) AS total_ms, round(avg(duration_ms), 6) AS mean_ms, round(max(duration_ms), 6) AS max_ms"
@@ -148,4 +206,26 @@ SQL = {
         SELECT symbol, high, low, score, {_LABEL}, concat_ws(',', CASE WHEN high IS NULL THEN 'no price' END, CASE WHEN score IS NULL THEN 'no sentiment' END) AS gaps
         FROM (SELECT DISTINCT symbol FROM issuers) LEFT JOIN y USING (symbol) LEFT JOIN mood USING (symbol)""",
     "q_fundamentals_left": f"WITH {sq.CLEAN}, b AS (SELECT symbol, count(*) AS bars FROM placed GROUP BY symbol) SELECT symbol, bars, company_name, sector FROM b LEFT JOIN issuers USING (symbol)",
+    "q_filter_calls": "SELECT call_id, run_id, tool FROM trace WHERE agent = 'research' AND NOT ok",
+    "q_sequence": """
+        WITH n AS (SELECT run_id, seq, count(*) AS n, min(timestamp) AS t0 FROM trace GROUP BY ALL), l AS (SELECT *, coalesce(t0 < lag(t0) OVER (PARTITION BY run_id ORDER BY seq), false) AS late FROM n)
+        SELECT run_id, sum(n)::BIGINT AS calls, min(seq) AS first, max(seq) AS last, max(seq) - min(seq) + 1 - count(*) AS missing, sum(n - 1)::BIGINT AS repeated, NOT bool_or(late) AS rising FROM l GROUP BY run_id""",
+    "q_renumbered": """
+        WITH r AS (SELECT min(call_id) AS call_id, run_id, timestamp FROM trace GROUP BY run_id, seq, timestamp, agent, tool, inputs, output, output_truncated, output_full_length, duration_ms, duration_s, ok, error)
+        SELECT call_id, run_id, row_number() OVER (PARTITION BY run_id ORDER BY timestamp, call_id)::INT AS seq FROM r""",
+    "q_newest_runs": "SELECT run_id, epoch_us(min(timestamp)) AS started_us, count(*) AS calls FROM trace GROUP BY run_id ORDER BY min(timestamp) DESC, run_id LIMIT 10",
+    "q_error_kinds": """
+        WITH e AS (SELECT tool, coalesce(error, '') AS e FROM trace WHERE NOT ok)
+        SELECT tool, coalesce(try_cast(regexp_extract(e, '\\b(\\d{3})\\b', 1) AS INT) IN (408, 409, 413, 429, 500, 502, 503, 504), false) OR regexp_extract(e, '^(\\w+)', 1) IN ('RateLimitError', 'APITimeoutError', 'APIConnectionError', 'InternalServerError') AS retryable,
+          regexp_matches(lower(e), 'tool_use_failed|failed to parse tool call|failed_generation|invalid tool call') AS malformed, count(*) AS n FROM e GROUP BY ALL""",
+    "q_envelope": """SELECT call_id, coalesce(ok, false) AS ok, CASE WHEN ok THEN length(output) END AS data_chars, CASE WHEN NOT coalesce(ok, false) THEN length(coalesce(error, 'unknown error')) END AS error_chars,
+        CASE WHEN NOT coalesce(ok, false) THEN 'try ' || tool || ' again' END AS suggestion FROM trace""",
+    "q_content_text": """SELECT rec_id, md5(CASE WHEN rec_id % 3 = 0 THEN coalesce(list_filter(messages, lambda m: m.role = 'user')[1].content, '')
+        ELSE array_to_string(list_transform(list_filter(messages, lambda m: m.role <> 'system'), lambda m: coalesce(m.content, '')), '') END) AS digest FROM chat""",
+    "q_figures": """SELECT c_custkey, CASE c_custkey % 3 WHEN 0 THEN '$' WHEN 1 THEN '€' ELSE '' END || format('{:,.2f}', round(c_acctbal, 2)) AS shown,
+        CASE WHEN round(c_acctbal, 2) > 0 THEN 'pos' WHEN round(c_acctbal, 2) < 0 THEN 'neg' ELSE '' END AS class,
+        md5('Name    : ' || c_name || chr(10) || 'Segment : ' || c_mktsegment || chr(10) || 'Note    : unavailable') AS block FROM customer""",
+    "q_manifest": """
+        WITH k AS (SELECT split, coalesce(metadata.clause_type, 'null') AS k, count(*) AS c FROM chat GROUP BY ALL)
+        SELECT split, sum(c)::BIGINT AS n, round(sum(c) / sum(sum(c)) OVER (), 4) AS share, string_agg(k || '=' || c, ',' ORDER BY k) AS types FROM k GROUP BY split""",
 }

@@ -127,9 +127,20 @@ def q_first_valid(spark, d):
     return e.groupBy("symbol").agg(*[F.min(F.when(F.col(n).isNotNull(), F.col("pos"))).alias(n) for n in names])
 
 
+def q_bars_window(spark, d):
+    """Clean bars of a year and two days up to a day, by symbol."""
+    bars = s.in_window(table(spark, d, "bars"), F.lit("2026-09-24 12:00:00").cast("timestamp"), years=1, buffer_days=2)
+    return s.clean_bars(bars).groupBy("symbol").agg(F.count("*").alias("bars"), F.min("ts").alias("first"), F.max("ts").alias("last"))
+
+
+def q_dropped_bars(spark, d):
+    """What cleaning drops of each symbol's bars."""
+    return s.dropped_bars(table(spark, d, "bars"))
+
+
 QUERIES = {f.__name__: f for f in (
     q_equity_summary, q_keep_last, q_bars_hourly, q_stream_bars, q_brand_vwap_daily, q_sma, q_bollinger, q_volatility, q_ema, q_macd, q_rsi, q_indicators_all,
-    q_momentum, q_vol_snapshot, q_ytd_asof, q_range_252, q_top_moves, q_first_valid,
+    q_momentum, q_vol_snapshot, q_ytd_asof, q_range_252, q_top_moves, q_first_valid, q_bars_window, q_dropped_bars,
 )}
 
 CLEAN = """
@@ -242,4 +253,9 @@ SQL = {
         SELECT symbol, row_number() OVER (PARTITION BY symbol ORDER BY abs(move) DESC, ts)::INT AS rank, ts, move FROM m WHERE move IS NOT NULL
         QUALIFY row_number() OVER (PARTITION BY symbol ORDER BY abs(move) DESC, ts) <= 3""",
     "q_first_valid": f"WITH RECURSIVE {ENRICHED} SELECT symbol, " + ", ".join(f"min(pos) FILTER (WHERE {n} IS NOT NULL) AS {n}" for n in "sma_50 sma_200 rsi_14 macd macd_signal bb_middle volatility_30d".split()) + " FROM enriched GROUP BY symbol",
+    "q_bars_window": f"""WITH {CLEAN} SELECT symbol, count(*) AS bars, min(ts) AS first, max(ts) AS last FROM clean
+        WHERE ts >= TIMESTAMP '2025-09-22 00:00:00' AND ts < TIMESTAMP '2026-09-24 00:00:00' GROUP BY symbol""",
+    "q_dropped_bars": """
+        WITH k AS (SELECT symbol, ts, count(*) AS n, count(*) FILTER (WHERE close > 0 AND symbol IS NOT NULL AND ts IS NOT NULL) AS good FROM bars GROUP BY ALL)
+        SELECT symbol, sum(n)::BIGINT AS rows, (sum(n) - sum(good))::BIGINT AS invalid, (sum(good) - count(*) FILTER (WHERE good > 0))::BIGINT AS repeated, count(*) FILTER (WHERE good > 0) AS kept FROM k GROUP BY symbol""",
 }

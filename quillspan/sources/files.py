@@ -58,7 +58,11 @@ def append_log(rows: DataFrame, path: str, cuts: dict[str, int] | None = None) -
 
 
 def upsert_partitions(rows: DataFrame, path: str, keys: list[str]) -> None:
-    """Replace the partitions of ``rows`` by key, leave all others; a reader sees a partition before or after, never half."""
+    """Replace the partitions of ``rows`` by key, leave all others.
+
+    A failed job leaves all partitions as they were.  The commit itself removes and moves folders one after the other, so who reads
+    meanwhile may find a partition missing, and should read again.
+    """
     rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*keys).parquet(path)
 
 
@@ -76,12 +80,24 @@ def clear_key(spark: SparkSession, path: str, key: str, value: str | None = None
     return sum(bool(fs.delete(status.getPath(), True)) for status in found)
 
 
-def write_splits(rows: DataFrame, path: str, split: str = "split") -> DataFrame:
-    """Write JSON lines by split and return the manifest: rows, share and types of each split."""
+def write_splits(rows: DataFrame, path: str, split: str = "split", kind: str | None = None) -> DataFrame:
+    """Write JSON lines by split and return the manifest, see ``manifest``."""
     rows.write.mode("overwrite").partitionBy(split).json(path)
-    counts = rows.groupBy(split).agg(F.count("*").alias("n"))
-    total = counts.agg(F.sum("n").alias("total"))
-    return counts.crossJoin(F.broadcast(total)).select(split, "n", F.round(F.col("n") / F.col("total"), 4).alias("share"))
+    return manifest(rows, split, kind)
+
+
+def manifest(rows: DataFrame, split: str = "split", kind: str | None = None) -> DataFrame:
+    """(split, n, share) of each split, and where ``kind`` names a column, ``types``: a map from its values to their rows."""
+    counts = rows.groupBy(split, *([F.coalesce(F.col(kind), F.lit("null")).alias("_k")] if kind else [])).agg(F.count("*").alias("c"))
+    types = [F.map_from_entries(F.array_sort(F.collect_list(F.struct("_k", "c")))).alias("types")] if kind else []  # one entry a value
+    by = counts.groupBy(split).agg(F.sum("c").alias("n"), *types)
+    total = by.agg(F.sum("n").alias("total"))
+    return by.crossJoin(F.broadcast(total)).select(split, "n", F.round(F.col("n") / F.col("total"), 4).alias("share"), *(["types"] if kind else []))
+
+
+def write_pages(rows: DataFrame, page: Column, path: str) -> None:
+    """Write one text a row, such as ``evaluation.review_sheet``, as text files."""
+    rows.select(page.alias("value")).write.mode("overwrite").text(path)
 
 
 def export_csv(rows: DataFrame, path: str) -> None:

@@ -96,3 +96,22 @@ def test_windows_are_checked():
     for bad in (0, -1, 1.5, True):
         with pytest.raises(ValueError):
             s.check_window(bad)
+
+
+def test_guards_and_windows(spark):
+    from pyspark.sql import functions as F
+
+    bars = spark.createDataFrame([("a", f"2024-01-0{i} 00:00:00", float(i)) for i in range(1, 8)] + [("a", "2024-01-07 00:00:00", 7.0), ("a", "2024-01-09 00:00:00", -1.0), (None, "2024-01-09 00:00:00", 1.0)], "symbol string, ts string, close double").withColumn("ts", F.col("ts").cast("timestamp_ntz"))
+    for bad in ({"fast": 26, "slow": 12}, {"fast": 12, "slow": 12}, {"signal": 0}, {"period": 2.5}, {"names": ["sma_9"]}):
+        with pytest.raises(ValueError):
+            s.with_indicators(bars, **bad)
+    with pytest.raises(KeyError):
+        s.with_indicators(bars.drop("close"))
+    assert {(r.symbol, r.rows, r.invalid, r.repeated, r.kept) for r in s.dropped_bars(bars).collect()} == {("a", 9, 1, 1, 7), (None, 1, 1, 0, 0)}
+    now = F.lit("2024-01-05 10:00:00").cast("timestamp")
+    assert s.in_window(bars, now, years=1, buffer_days=0).count() == 4
+    with pytest.raises(ValueError):
+        s.required(bars.where("false"), "bars")
+    assert s.required(bars, "bars") is bars
+    only = s.with_indicators(bars, names=["rsi_14"], period=3).orderBy("pos").collect()
+    assert only[0].asDict().keys() == {"symbol", "ts", "close", "pos", "block", "rsi_14"} and [r.rsi_14 for r in only] == [None] * 3 + [100.0] * 4

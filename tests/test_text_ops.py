@@ -1,5 +1,6 @@
 import json
 
+import pytest
 from pyspark.sql import functions as F
 
 from quillspan.functions import text as t
@@ -187,3 +188,114 @@ def test_null_is_a_group_of_similar_texts(spark):
     assert {(r.source, r.doc_id, r.class_id) for r in sim.classes_of(docs, ["source"]).collect()} == {(None, 1, 1), (None, 2, 1), (None, 3, 3), (None, 4, 4), ("s", 5, 5), (None, 6, 6)}
     assert {(r.doc_id, r.accepted) for r in sim.duplicate_guard(docs, ["source"]).collect()} == {(1, True), (2, False), (3, False), (4, True), (5, True), (6, True)}
     assert [(r.source, r.texts, r.pairs, r.near_pairs) for r in sim.similarity_report(docs, ["source"]).collect()] == [(None, 4, 6, 3)]
+
+
+def test_guard_over_a_stream(spark, tmp_path):
+    from quillspan.streaming import live
+
+    base = "the borrower shall deliver the annual accounts to the lender within ninety days"
+    batches = [
+        [(1, "s", base), (2, None, base), (3, "s", base + " of each year"), (4, "s", "other words of another kind altogether"), (5, "s", None)],
+        [(6, "s", base), (7, None, "new words"), (8, "s", "something else was said here"), (9, "s", "something else was said there here"), (10, "s", "...")],
+        [(11, "s", "something else was said here"), (12, "t", base)],
+    ]
+    schema = "doc_id long, source string, text string"
+    for n, rows in enumerate(batches):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").json(f"{tmp_path}/in/{n}")
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", True).json(f"{tmp_path}/in")
+    outcome, query = live.guard_stream(stream, ["source"])
+    got = {r.doc_id: r.accepted for r in outcome.collect()}
+    everything = spark.createDataFrame([r for rows in batches for r in rows], schema)
+    # files may arrive in another order; each text is decided once and the accepted ones hold no near pair
+    assert set(got) == {r[0] for rows in batches for r in rows if r[2] is not None} and got[10] and got[12] and got[2] and got[7] and got[4]
+    taken = everything.where(F.col("doc_id").isin([i for i, ok in got.items() if ok]))
+    assert sim.similar_pairs(taken, ["source"]).count() == 0
+    assert sum(got[i] for i in (1, 3, 6)) == 1 and sum(got[i] for i in (8, 9, 11)) == 1
+
+
+def test_guard_log_and_report(spark):
+    rows = [(1, "s", "alpha beta gamma delta"), (2, "s", "alpha beta gamma delta"), (3, "s", "alpha beta gamma other"), (4, "s", "nothing alike here"), (5, "s", "..."), (6, "t", "alone")]
+    docs = spark.createDataFrame(rows, "doc_id long, source string, text string")
+    log = {r.doc_id: (r.accepted, r.closest_to) for r in sim.guard_log(docs, ["source"]).collect()}
+    assert log == {1: (True, None), 2: (False, 1), 3: (log[3][0], 1), 4: (True, None), 5: (True, None), 6: (True, None)}
+    report = sim.similarity_report(docs, ["source"]).collect()
+    assert [(r.source, r.texts, r.pairs, r.max_cosine) for r in report] == [("s", 4, 6, 1.0)]
+    assert sum(r.n for r in sim.cosine_histogram(docs, ["source"]).collect()) == 6
+    assert [(r.a, r.b) for r in sim.first_offenders(docs, ["source"], threshold=0.3).collect()] == [(1, 3)]
+
+
+def test_blocks_of_a_group(spark, monkeypatch):
+    """A group in several blocks gives what one block gives."""
+    import random
+
+    rng = random.Random(9)
+    rows = [(i, i % 2, " ".join(rng.choices([f"w{k}" for k in range(12)], k=8))) for i in range(120)]
+    docs = spark.createDataFrame(rows, "doc_id long, source int, text string")
+    want = {(r.a, r.b, round(r.cosine, 9)) for r in sim.similar_pairs(docs, ["source"], 0.6).collect()}
+    counts = {(r.source, r.cosine): r.n for r in sim.cosine_counts(docs, ["source"]).collect()}
+    log = {tuple(r) for r in sim.guard_log(docs, ["source"]).collect()}
+    monkeypatch.setattr(sim, "BLOCK", 17)
+    monkeypatch.setattr(sim, "FEW_PRODUCTS", 3)
+    monkeypatch.setattr(sim, "COLUMNS", 5)
+    assert {(r.a, r.b, round(r.cosine, 9)) for r in sim.similar_pairs(docs, ["source"], 0.6).collect()} == want and len(want) > 30
+    assert {(r.source, r.cosine): r.n for r in sim.cosine_counts(docs, ["source"]).collect()} == counts
+    assert {tuple(r) for r in sim.guard_log(docs, ["source"]).collect()} == log
+
+
+def test_exact_quantiles(spark):
+    import numpy as np
+
+    from quillspan.operators.quantiles import exact_quantiles
+
+    rng = np.random.default_rng(4)
+    groups = {"a": rng.normal(size=5000).round(2), "b": np.array([3.0]), None: np.repeat([1.0, 2.0, 1e9], [3, 4, 5]), "d": np.arange(2.0)}
+    rows = [(k, float(x)) for k, xs in groups.items() for x in xs] + [("e", None)]
+    df = spark.createDataFrame(rows, "k string, v double")
+    qs = {"q0": 0.0, "q1": 0.25, "q2": 0.5, "q3": 0.95, "q4": 1.0}
+    got = {r.k: [r[q] for q in qs] for r in exact_quantiles(df, ["k"], "v", qs).collect()}
+    assert set(got) == set(groups)
+    for k, xs in groups.items():
+        assert np.allclose(got[k], np.quantile(xs, list(qs.values())), rtol=1e-12), k
+    one = exact_quantiles(df.where("k = 'a'"), [], "v", qs).first()
+    assert np.allclose(list(one), np.quantile(groups["a"], list(qs.values())))
+
+
+def test_text_functions(spark):
+    from quillspan.functions import text as tx
+    from quillspan.operators import trace as tr
+
+    raw = ['x {"a": "}{", "b": {"c": 1}} y', "{{{{", '{"a": 1', 'say "{" then {"ok": true}', None, "```json\n{\"a\": [1]}\n```", '{bad {"a": 2} }', "{" * 50_000]
+    got = [r[0] for r in spark.createDataFrame([(x,) for x in raw], "x string").select(tx.balanced_json(F.col("x"))).collect()]
+    assert got == ['{"a": "}{", "b": {"c": 1}}', None, None, '{"ok": true}', None, '{"a": [1]}', '{"a": 2}', None]
+    contents = ["plain", None, '[{"type": "text", "text": "a"}, {"type": "thinking", "text": "b"}, "c", {"text": "d"}]', "[not json"]
+    assert [r[0] for r in spark.createDataFrame([(x,) for x in contents], "x string").select(tx.content_text(F.col("x"))).collect()] == ["plain", "", "acd", "[not json"]
+    row = spark.createDataFrame([(1234.5, None, "USD", ["x"])], "a double, b double, c string, l array<string>")
+    assert tuple(row.select(tx.money(F.col("a"), F.col("c")), tx.money(F.col("b"), F.col("c")), tx.sign_class(F.col("a")), tx.sign_class(F.col("b")), tx.as_text(row, "l"), tx.as_text(row, "a")).first()) == ("$1,234.50", "n/a", "pos", "na", '["x"]', "1234.5")
+    assert row.select(tx.outline(F.lit("T"), {"one": tx.bullets(F.col("l")), "none": F.lit(None).cast("string")})).first()[0] == "T\n\nONE\n- x"
+    assert tuple(row.select(tx.retryable(F.lit(429), F.lit(None).cast("string")), tx.retryable(F.lit(400), F.lit("APITimeoutError")), tx.malformed_call(F.lit("Error: Failed to parse tool call")), tx.malformed_call(F.lit(None).cast("string"))).first()) == (True, True, True, False)
+    calls = spark.createDataFrame([(1, "r", "x", True), (2, "r", "y", False), (3, "q", "x", False)], "call_id long, run_id string, agent string, ok boolean")
+    ids = lambda df: [r.call_id for r in df.orderBy("call_id").collect()]
+    assert ids(tr.filter_calls(calls)) == [1, 2, 3] and ids(tr.filter_calls(calls, run="r")) == [1, 2] and ids(tr.filter_calls(calls, agents=["x"], failures_only=True)) == [3] and ids(tr.filter_calls(calls, agents=[])) == []
+
+
+def test_evaluation(spark, tmp_path):
+    from quillspan.operators import evaluation as ev
+    from quillspan.sources import files
+
+    good = '{"clause_type": "indemnity", "parties": ["Acme Ltd"], "obligation": "Acme Ltd shall pay all costs.", "trigger_condition": null, "financial_terms": ["5%"], "risk_flag": "low", "risk_rationale": "Small sums only."}'
+    clause = "Acme Ltd shall pay all costs of 5% within a month."
+    rows = [(1, clause, good, good), (2, clause, good, f"```json\n{good}\n```"), (3, clause, good, "Sure: " + good.replace("Acme Ltd", "Zeta Corp")), (4, clause, good, "no idea"), (5, clause, "{}", good), (6, clause, good, None)]
+    scored = ev.score_outputs(spark.createDataFrame(rows, "id long, clause string, reference string, raw string")).orderBy("id")
+    got = {r.id: r for r in scored.collect()}
+    assert got[1].overall == 1 and got[1].grounded and got[1].f == 1 and not got[1].fence and not got[1].preamble
+    assert got[2].fence and not got[2].preamble and got[2].overall == 1
+    assert got[3].preamble and got[3].parties_f1 == 0 and not got[3].grounded and got[3].parsed
+    assert not got[4].parsed and got[4].overall == 0 and not got[4].grounded and not got[6].parsed and not got[6].preamble
+    assert got[5].parsed and got[5].overall is None and got[5].grounded
+    files.write_pages(scored, ev.review_sheet(scored, "id"), f"{tmp_path}/pages")
+    assert "Suggestion: ungrounded values" in "\n".join(r[0] for r in spark.read.text(f"{tmp_path}/pages").collect())
+    second = spark.createDataFrame([(1, "bad", good, 9.0), (2, good, good, 9.0), (3, good, "bad", 9.0), (4, "bad", good, 1.0), (5, "bad", None, 9.0), (6, "bad", good, None)], "id long, first string, second string, s double")
+    chosen = ev.choose_second(second, "s", F.lit(3.0))
+    assert {r.id: (r.fired, r.final, r.improved) for r in chosen.collect()} == {1: (True, good, True), 2: (True, good, None), 3: (True, good, False), 4: (False, "bad", None), 5: (True, "bad", None), 6: (False, "bad", None)}
+    assert tuple(ev.second_pass_summary(chosen, "id").first()) == (6, 3, 1, 1, 1)
+    assert [r[0] for r in spark.createDataFrame([([],), ([-1.0, -1.0],)], "p array<double>").select(ev.perplexity(F.col("p"))).collect()] == [float("inf"), pytest.approx(2.718281828)]
