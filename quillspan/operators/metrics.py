@@ -13,7 +13,7 @@ from quillspan.functions.text import numbers, numbers_found, overlap_tokens
 COMMON_NAME_WORDS = ["limited", "holdings", "group", "company", "the"]
 
 
-def _common(a, b) -> int:
+def common_length(a, b) -> int:
     """Length of the longest common subsequence: one bit of an integer for each token of ``a``."""
     places: dict = {}
     for i, x in enumerate(a):
@@ -31,7 +31,7 @@ def lcs_length(a: Column, b: Column) -> Column:
 
     @F.pandas_udf(T.IntegerType())
     def run(x: pd.Series, y: pd.Series) -> pd.Series:
-        return pd.Series([_common(list(p), list(q)) for p, q in zip(x, y, strict=True)], dtype="int32")
+        return pd.Series([common_length(list(p), list(q)) for p, q in zip(x, y, strict=True)], dtype="int32")
 
     return run(a, b)
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillspan.operators.clean import match_key, title_key
+from quillspan.skew import salted_lookup
 
 # Titles that a symbol needs before further sources are left out, and the cut of the polarity label.
 MINIMUM, LABEL_CUT = 10, 0.15
@@ -36,7 +37,9 @@ def reconcile(asked: DataFrame, answers: DataFrame, id: str, text: str, default:
     """
     keyed = answers.withColumn("_k", match_key(F.col(text)))
     last = keyed.groupBy("_k").agg(F.max_by(F.struct(*default), F.col(order)).alias("_a"))
-    joined = asked.withColumn("_k", match_key(F.col(text))).join(last, "_k", "left")
+    rows = asked.withColumn("_k", match_key(F.col(text)))
+    counts = rows.where("_k is not null").groupBy("_k").agg(F.count("*").alias("n"))
+    joined = salted_lookup(rows, last.join(counts, "_k"), "_k", how="left")  # texts without letters all have one key
     filled = [F.coalesce(F.col(f"_a.{c}"), d).alias(c) for c, d in default.items()]
     return joined.select(*asked.columns, *filled, F.col("_a").isNotNull().alias("answered"))
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 
 import numpy as np
@@ -11,6 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from quillspan.blocks import Sent, in_passes
 from quillspan.functions.text import grams, terms
 from quillspan.operators.quantiles import exact_quantiles
 from quillspan.shared import written
@@ -19,8 +21,8 @@ from quillspan.shared import written
 NEAR = 0.72
 #: Texts of a block, products of entries up to which a gram is multiplied entry by entry, and dense columns multiplied at a time.
 BLOCK, FEW_PRODUCTS, COLUMNS = 1024, 256, 2048
-#: Bytes of query vectors sent out at a time.
-QUERY_BYTES = 32 << 20
+#: Query vectors of a block, and blocks that are sent out in one pass over the rows.
+BLOCK_QUERIES, PASS_BLOCKS = 20_000, 16
 
 
 def matched(left: DataFrame, right: DataFrame, by: list[str], on: list[str], how: str = "inner") -> DataFrame:
@@ -311,53 +313,60 @@ def guard_log(docs: DataFrame, by: list[str], threshold: float = NEAR, id: str =
     return matched(decided, first.withColumnRenamed("id", id), by, [id], "left").select(*by, id, "accepted", F.coalesce("x.similarity", F.lit(0.0)).alias("similarity"), F.col("x.closest_to").alias("closest_to"))
 
 
+def store_vectors(rows: DataFrame, path: str, reset: bool = True, id: str = "vec_id", vector: str = "embedding") -> DataFrame:
+    """Write (id, vector) with each vector brought to length 1, anew or behind what is there, and return the table.
+
+    Rows whose vector is NULL, empty or zero are left out.
+    """
+    length = F.sqrt(F.aggregate(F.col("v"), F.lit(0.0), lambda a, x: a + x * x))
+    unit = rows.select(id, F.col(vector).cast("array<double>").alias("v")).where(F.col("v").isNotNull()).withColumn("n", length).where("n > 0")
+    unit.select(id, F.transform("v", lambda x: x / F.col("n")).alias(vector)).write.mode("overwrite" if reset else "append").parquet(path)
+    return rows.sparkSession.read.parquet(path)
+
+
 def nearest(rows: DataFrame, queries: DataFrame, k: int = 3, id: str = "vec_id", vector: str = "embedding") -> DataFrame:
     """(query_id, id, distance, rank): the ``k`` rows nearest to each query by cosine, exactly, the query itself left out.
 
-    Queries go out in blocks of QUERY_BYTES; each task keeps the best ``k`` of its rows for every query, and those are
-    merged.  Ties are decided by id.  Rows whose vector is NULL, empty or zero are left out.
+    Queries go out in blocks of about BLOCK_QUERIES, at most PASS_BLOCKS of them in one pass over the rows; each task keeps the best ``k`` of its
+    rows for every query, and those are merged.  Ties are decided by id.  Rows whose vector is NULL, empty or zero are left out.
     """
     spark = rows.sparkSession
     read = rows.where(F.col(vector).isNotNull()).select(F.col(id).alias("id"), F.col(vector).cast("array<double>").alias("v"))
-    blocks, held, size = [], [], 0
-    for r in queries.where(F.col(vector).isNotNull()).select(id, F.col(vector).cast("array<double>")).toLocalIterator():
-        held.append(r)
-        size += 8 * len(r[1])
-        if size >= QUERY_BYTES:
-            blocks.append(held)
-            held, size = [], 0
-    if held:
-        blocks.append(held)
-    out = None
-    for block in blocks:
-        m = np.array([r[1] for r in block], dtype=float)
+    asked = queries.where(F.col(vector).isNotNull() & (F.size(vector) > 0)).select(F.col(id).alias("id"), F.col(vector).cast("array<double>").alias("v"))
+    blocks = max(1, -(-asked.count() // BLOCK_QUERIES))
+
+    def pack(pdf: pd.DataFrame) -> pd.DataFrame:
+        m = np.array(pdf["v"].tolist(), dtype=float)
         length = np.linalg.norm(m, axis=1, keepdims=True)
-        shared = spark.sparkContext.broadcast((np.array([r[0] for r in block]), np.divide(m, length, out=np.zeros_like(m), where=length > 0)))
+        return pd.DataFrame({"block": pdf["block"].iloc[:1], "data": [pickle.dumps((pdf["id"].to_numpy(), np.divide(m, length, out=np.zeros_like(m), where=length > 0)))]})
+
+    packed = written(asked.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(blocks))).groupBy("block").applyInPandas(pack, "block long, data binary"), "queries")
 
-        def best(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
-            names, q = shared.value
-            top: pd.DataFrame | None = None
+    def search(sent: Sent) -> DataFrame:
+        def best(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            top: list[pd.DataFrame | None] = [None] * len(sent)
             for pdf in batches:
                 x = np.array(pdf["v"].tolist(), dtype=float).reshape(len(pdf), -1)
                 long = np.linalg.norm(x, axis=1)
                 x, ids = x[long > 0] / long[long > 0, None], pdf["id"].to_numpy()[long > 0]
                 if not len(ids):
                     continue
-                distance = 1 - q @ x.T
-                distance[names[:, None] == ids[None, :]] = np.inf
-                n = min(len(ids), k + 8)
-                near = np.argpartition(distance, n - 1, axis=1)[:, :n]
-                # rows as near as the furthest kept stay, so that ties can be decided by id
-                edge = np.take_along_axis(distance, near, 1).max(1)
-                a, b = np.nonzero((distance <= edge[:, None]) & np.isfinite(distance))
-                here = pd.DataFrame({"query_id": names[a], "id": ids[b], "distance": distance[a, b]})
-                top = here if top is None else pd.concat([top, here])
-                top = top.sort_values(["distance", "id"]).groupby("query_id").head(k)
-            if top is not None:
-                yield top
-
-        found = read.mapInPandas(best, "query_id long, id long, distance double")
-        out = found if out is None else out.unionByName(found)
+                for block, (names, q) in enumerate(sent):
+                    distance = 1 - q @ x.T
+                    distance[names[:, None] == ids[None, :]] = np.inf
+                    n = min(len(ids), k + 8)
+                    near = np.argpartition(distance, n - 1, axis=1)[:, :n]
+                    # rows as near as the furthest kept stay, so that ties can be decided by id
+                    edge = np.take_along_axis(distance, near, 1).max(1)
+                    a, b = np.nonzero((distance <= edge[:, None]) & np.isfinite(distance))
+                    here = pd.DataFrame({"query_id": names[a], "id": ids[b], "distance": distance[a, b]})
+                    both = here if top[block] is None else pd.concat([top[block], here])
+                    top[block] = both.sort_values(["distance", "id"]).groupby("query_id").head(k)
+            yield from (x for x in top if x is not None)
+
+        return read.mapInPandas(best, "query_id long, id long, distance double")
+
+    out = in_passes(packed, PASS_BLOCKS, pickle.loads, search, "nearest")
     if out is None:
         return spark.createDataFrame([], "query_id long, id long, distance double, rank int")
     order = Window.partitionBy("query_id").orderBy(F.round("distance", 9), "id")

@@ -13,13 +13,22 @@ def tool_summary(trace: DataFrame, by: list[str]) -> DataFrame:
     )
 
 
-def runs(trace: DataFrame) -> DataFrame:
-    """(run_id, calls, started, failures, order): the order of tools by seq as text; one row a run.
+#: Numbers of a run's calls that are put in order together.
+PATH_CALLS = 4096
 
-    The calls of one run are the unit of the log and are ordered together.
-    """
+
+def run_paths(trace: DataFrame) -> DataFrame:
+    """(run_id, part, tool_path): the tools of each run in order of seq as text, PATH_CALLS numbers a part, so that no task holds a whole run."""
     path = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seq", "call_id", "tool"))), lambda x: x["tool"]), ">")
-    return trace.groupBy("run_id").agg(F.count("*").alias("calls"), F.min("timestamp").alias("started"), F.count_if(~F.col("ok")).alias("failures"), path.alias("tool_path"))
+    return trace.groupBy("run_id", F.floor(F.coalesce("seq", F.lit(0)) / F.lit(PATH_CALLS)).alias("part")).agg(path.alias("tool_path"))
+
+
+def runs(trace: DataFrame) -> DataFrame:
+    """(run_id, calls, started, failures, tools, path): one row a run; ``path`` is a digest of the order of its tools, from ``run_paths``."""
+    sums = trace.groupBy("run_id").agg(F.count("*").alias("calls"), F.min("timestamp").alias("started"), F.count_if(~F.col("ok")).alias("failures"), F.array_sort(F.collect_set("tool")).alias("tools"))
+    parts = run_paths(trace).select("run_id", "part", F.md5("tool_path").alias("digest"))
+    paths = parts.groupBy("run_id").agg(F.array_sort(F.collect_list(F.struct("part", "digest"))).alias("p")).select(F.col("run_id").alias("_r"), F.md5(F.array_join(F.transform("p", lambda x: x["digest"]), ",")).alias("path"))
+    return sums.join(paths, F.col("run_id").eqNullSafe(F.col("_r"))).drop("_r")
 
 
 def without_repeats(trace: DataFrame) -> DataFrame:

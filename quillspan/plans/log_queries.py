@@ -35,7 +35,7 @@ def q_stream_trace(spark, d):
 
 def q_runs(spark, d):
     """Runs with their start, failures and path of tools."""
-    return tr.runs(table(spark, d, "trace")).select("run_id", "calls", F.unix_micros("started").alias("started_us"), "failures", F.md5("tool_path").alias("path"))
+    return tr.runs(table(spark, d, "trace")).select("run_id", "calls", F.unix_micros("started").alias("started_us"), "failures", F.array_join("tools", ",").alias("tools"), "path")
 
 
 def q_trace_repeats(spark, d):
@@ -178,7 +178,11 @@ SQL = {
     "q_trace_summary": f"SELECT run_id, tool, {_SUMMARY} FROM trace GROUP BY ALL",
     "q_tool_latency": f"SELECT tool, {_SUMMARY} FROM trace GROUP BY ALL",
     "q_stream_trace": "SELECT tool, count(*) AS calls, count(*) FILTER (WHERE NOT ok) AS failures, round(avg(duration_ms), 6) AS mean_ms FROM trace GROUP BY ALL",
-    "q_runs": "SELECT run_id, count(*) AS calls, epoch_us(min(timestamp)) AS started_us, count(*) FILTER (WHERE NOT ok) AS failures, md5(string_agg(tool, '>' ORDER BY seq, call_id)) AS path FROM trace GROUP BY run_id",
+    "q_runs": """
+        WITH p AS (SELECT run_id, coalesce(seq, 0) // 4096 AS part, md5(string_agg(tool, '>' ORDER BY seq, call_id)) AS digest FROM trace GROUP BY ALL),
+        d AS (SELECT run_id, md5(string_agg(digest, ',' ORDER BY part)) AS path FROM p GROUP BY run_id)
+        SELECT t.run_id, count(*) AS calls, epoch_us(min(timestamp)) AS started_us, count(*) FILTER (WHERE NOT ok) AS failures, string_agg(DISTINCT tool, ',' ORDER BY tool) AS tools, any_value(path) AS path
+        FROM trace t JOIN d ON t.run_id IS NOT DISTINCT FROM d.run_id GROUP BY t.run_id""",
     "q_trace_repeats": """SELECT min(call_id) AS call_id, run_id, seq, tool FROM trace
         GROUP BY run_id, seq, timestamp, agent, tool, inputs, output, output_truncated, output_full_length, duration_ms, duration_s, ok, error""",
     "q_overall": "SELECT count(*) AS calls, count(*) FILTER (WHERE NOT ok) AS failures, round(sum(duration_ms) / 1000, 3) AS seconds, max(duration_ms) AS slowest_ms, count(DISTINCT run_id) AS runs, count(DISTINCT agent) AS agents FROM trace",
