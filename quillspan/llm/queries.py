@@ -6,20 +6,31 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillspan.llm.encoding import encode_texts
-from quillspan.llm.forms import same_reading_pairs
+from quillspan.llm.forms import reading_classes, same_reading_pairs
 from quillspan.llm.layouts import collapse_layouts
 from quillspan.llm.leaks import find_leaks
 from quillspan.llm.overlap import find_overlaps
 from quillspan.llm.sampling import Draw, draw_by_shares
 from quillspan.llm.truncation import score_truncation, truncation_rates
+from quillspan.operators.quantiles import exact_quantiles
+from quillspan.shared import written
 from quillspan.sources.tables import table
 
 
-def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pairs of headlines, and of search queries, that read the same in different characters."""
+def _texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     headlines = table(spark, sf_dir, "headlines").select(F.lit("headline").alias("field"), F.col("item_id").alias("id"), F.col("headline").alias("text"))
     searches = table(spark, sf_dir, "trace").select(F.lit("query").alias("field"), F.col("call_id").alias("id"), F.try_element_at("inputs", F.lit("query")).alias("text"))
-    return same_reading_pairs(headlines.unionByName(searches))
+    return headlines.unionByName(searches)
+
+
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of headlines, and of search queries, that read the same in different characters."""
+    return same_reading_pairs(_texts(spark, sf_dir))
+
+
+def p2_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The classes of headlines, and of search queries, that read the same in more than one spelling."""
+    return reading_classes(_texts(spark, sf_dir))
 
 
 def _clauses(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -43,6 +54,12 @@ def p3_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counts
 
 
+def p3_equal(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Those pairs of a train record and a validation or test record whose clauses agree in all words."""
+    pairs = find_overlaps(_clauses(spark, sf_dir), train=F.col("split") == "train").where("agreement = 1.0")
+    return pairs.select(F.least("train_id", "other_id").alias("a_id"), F.greatest("train_id", "other_id").alias("b_id"))
+
+
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each headline that is a copy of another one in some layout, with the headline that is kept."""
     rows = table(spark, sf_dir, "headlines").select(F.col("item_id").alias("id"), F.col("headline").alias("text"))
@@ -93,6 +110,16 @@ def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_texts(table(spark, sf_dir, "documents"))
 
 
+def p6_lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token lengths of the documents of each language: percentiles, and the share that common limits hold."""
+    rows = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("lang", F.lit("none")).alias("lang"))
+    sized = encode_texts(table(spark, sf_dir, "documents")).select("doc_id", F.size("ids").alias("tokens"))
+    counts = written(sized.join(rows, "doc_id").groupBy("lang", "tokens").agg(F.count("*").alias("n")), "token-lengths")
+    held = [F.round(F.sum(F.when(F.col("tokens") <= cap, F.col("n")).otherwise(0)) / F.sum("n"), 4).alias(f"within_{cap}") for cap in (128, 256, 512, 1024)]
+    sums = counts.groupBy("lang").agg(F.sum("n").alias("documents"), F.max("tokens").alias("longest"), *held)
+    return sums.join(exact_quantiles(counts, ["lang"], "tokens", {"p50": 0.5, "p95": 0.95, "p99": 0.99}, n="n"), "lang")
+
+
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The documents that contain a passage of a test item, and the items."""
     return find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"))
@@ -108,7 +135,9 @@ def p8_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return truncation_rates(score_truncation(table(spark, sf_dir, "documents")))
 
 
-QUERIES = {"p2_found": p2_found, "p3_found": p3_found, "p3_report": p3_report, "p4_found": p4_found, "p4_copies": p4_copies, "p5_found": p5_found, "p5_sample": p5_sample, "p5_report": p5_report, "p5_kept": p5_kept, "p6_ids": p6_ids, "p7_found": p7_found, "p8_found": p8_found, "p8_rates": p8_rates}
+QUERIES = {f.__name__: f for f in (
+    p2_found, p2_classes, p3_found, p3_report, p3_equal, p4_found, p4_copies, p5_found, p5_sample, p5_report, p5_kept, p6_ids, p6_lengths, p7_found, p8_found, p8_rates,
+)}
 # pool rows by axis and category, and the size of the sample
 _POOL = r"""
         WITH pool AS (
@@ -131,4 +160,11 @@ _POOL = r"""
 SQL: dict[str, str] = {
     "p5_found": _POOL + " SELECT axis, category FROM quotas WHERE available < quota",
     "p5_kept": _POOL + " SELECT axis, category, quota, available, available >= quota AS reachable, true AS floor_kept, true AS size_kept FROM quotas",
+    # the words of both clauses are equal: the same steps as plain_words
+    "p3_equal": r"""
+        WITH c AS (SELECT rec_id AS id, split = 'train' AS train, lower(list_filter(messages, lambda m: m.role = 'user')[1].content) AS t FROM chat WHERE split IS NOT NULL),
+        f AS (SELECT id, train, CASE WHEN contains(t, '```') OR contains(t, '~~~') THEN regexp_replace(t, '(?m)^[ \t]*(```|~~~)\w*[ \t\r]*$|```\w*', ' ', 'g') ELSE t END AS t FROM c),
+        n AS (SELECT id, train, regexp_replace(t, '^\s*(?:(?:clause|section|article|§|no\.?)\s*)?\(?(?:\d+(?:\.\d+)*|[ivx]+|[a-z])[.):]+\)?\s+|^\s*(?:clause|section|article|§)\s*\d+(?:\.\d+)*\s+', ' ') AS t FROM f),
+        w AS (SELECT DISTINCT id, train, trim(regexp_replace(t, '[^\p{L}\p{N}\p{M}]+', ' ', 'g')) AS t FROM n)
+        SELECT least(a.id, b.id) AS a_id, greatest(a.id, b.id) AS b_id FROM w a JOIN w b ON a.t = b.t AND a.train AND NOT b.train WHERE a.t <> ''""",
 }
