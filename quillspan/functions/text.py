@@ -171,6 +171,11 @@ def balanced_json(text: Column) -> Column:
     return run(text)
 
 
+def pruned_json(raw: Column, schema: str) -> Column:
+    """An object with only the keys that ``schema`` declares, NULLs left out; NULL where it is no object."""
+    return F.to_json(F.from_json(F.when(F.json_object_keys(raw).isNotNull(), raw), schema))
+
+
 def money(value: Column, currency: Column) -> Column:
     """An amount with thousands separators, two places and the sign of its currency; n/a for NULL."""
     signs = F.create_map(*[F.lit(x) for pair in CURRENCY_SIGNS.items() for x in pair])

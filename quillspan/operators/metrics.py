@@ -55,6 +55,15 @@ def set_f1(predicted: Column, expected: Column) -> Column:
     return F.when((F.size(p) == 0) & (F.size(e) == 0), 1.0).otherwise(F.round(F.coalesce(score, F.lit(0.0)), 4))
 
 
+def set_relation(a: Column, b: Column) -> Column:
+    """struct(common, only_a, only_b, disjoint, covered) of two string arrays as sets; ``covered`` if all of b are in a.  NULL is empty."""
+    x, y = (F.array_distinct(F.coalesce(c, F.array().cast("array<string>"))) for c in (a, b))
+    return F.struct(
+        F.array_sort(F.array_intersect(x, y)).alias("common"), F.array_sort(F.array_except(x, y)).alias("only_a"), F.array_sort(F.array_except(y, x)).alias("only_b"),
+        (~F.arrays_overlap(x, y)).alias("disjoint"), (F.size(F.array_except(y, x)) == 0).alias("covered"),
+    )
+
+
 def ungrounded_parties(parties: Column, text: Column) -> Column:
     """Names of which neither the whole nor any telling word of four letters stands in the text."""
     lower = F.lower(F.coalesce(text, F.lit("")))

@@ -33,6 +33,11 @@ def finite(value: Column, places: int | None = None) -> Column:
     return x if places is None else F.round(x, places)
 
 
+def present(df: DataFrame, names: list[str]) -> DataFrame:
+    """Those columns of ``names`` that ``df`` has, in that order."""
+    return df.select(*[F.col(f"`{c}`") for c in names if c in df.columns])
+
+
 def keep_last(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     """One row per ``keys``: the one that is last by ``order``.
 

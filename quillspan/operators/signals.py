@@ -134,3 +134,14 @@ def price_to_earnings(close: Column, trailing: Column, eps: Column) -> Column:
     computed = F.when(eps > 0, close / eps)
     source = F.when(trailing.isNotNull(), "trailing").when(computed.isNotNull(), "computed").otherwise("unavailable")
     return F.struct(F.coalesce(trailing, computed).alias("value"), source.alias("source"))
+
+
+def last_rows(df: DataFrame, n: int = YEAR_ROWS, key: str = "symbol") -> DataFrame:
+    """The last ``n`` rows of each series by its positions, as a chart shows them."""
+    end = df.groupBy(key).agg(F.max("pos").alias("_end"))
+    return df.join(end, key).where(F.col("pos") > F.col("_end") - n).drop("_end")
+
+
+def trend_regime(fast: Column, slow: Column) -> Column:
+    """up, down or flat by the order of a fast and a slow average; NULL in warm-up."""
+    return F.when(fast > slow, "up").when(fast < slow, "down").when(fast == slow, "flat")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from quillspan.functions import text as tx
-from quillspan.operators import clean, news, trace as tr
+from quillspan.operators import clean, metrics, news, trace as tr
 from quillspan.operators import signals as g
 from quillspan.plans import series_queries as sq
 from quillspan.sources import files
@@ -157,6 +157,20 @@ def q_figures(spark, d):
     return rows.select("c_custkey", tx.money(c, currency).alias("shown"), tx.sign_class(c).alias("class"), F.md5(tx.aligned_block({"Name": F.col("c_name"), "Segment": F.col("c_mktsegment"), "Note": F.lit(None)})).alias("block"))
 
 
+def q_pruned_json(spark, d):
+    """Answers with only two of their keys."""
+    rows = table(spark, d, "chat").select("rec_id", tx.pruned_json(tx.first_turn(F.col("messages"), "assistant"), "clause_type string, risk_flag string").alias("pruned"))
+    return rows.select("rec_id", F.get_json_object("pruned", "$.clause_type").alias("clause_type"), F.get_json_object("pruned", "$.risk_flag").alias("risk_flag"), F.array_join(F.json_object_keys("pruned"), ",").alias("keys"))
+
+
+def q_tool_sets(spark, d):
+    """Tools that each agent used against those it may use, as sets."""
+    used = table(spark, d, "trace").groupBy("agent").agg(F.collect_set("tool").alias("used"))
+    lists = F.create_map(*[x for a, tools in ALLOWED.items() for x in (F.lit(a), F.array(*map(F.lit, tools)))])
+    rows = used.select("agent", metrics.set_relation(F.try_element_at(lists, F.col("agent")), F.col("used")).alias("r"))
+    return rows.select("agent", F.array_join("r.common", ",").alias("common"), F.array_join("r.only_a", ",").alias("unused"), F.array_join("r.only_b", ",").alias("not_allowed"), "r.disjoint", "r.covered")
+
+
 def q_manifest(spark, d):
     """Rows and share of each split of the chat records, and their clause types."""
     rows = table(spark, d, "chat").select("split", F.col("metadata.clause_type").alias("clause_type"))
@@ -165,7 +179,7 @@ def q_manifest(spark, d):
 
 QUERIES = {f.__name__: f for f in (
     q_trace_summary, q_tool_latency, q_stream_trace, q_runs, q_trace_repeats, q_overall, q_agent_tool_matrix, q_tool_violations, q_redact_inputs, q_json_payload, q_cache_lookup, q_rules_signal,
-    q_brief_assembly, q_fundamentals_left, q_filter_calls, q_sequence, q_renumbered, q_newest_runs, q_error_kinds, q_envelope, q_content_text, q_figures, q_manifest,
+    q_brief_assembly, q_fundamentals_left, q_filter_calls, q_sequence, q_renumbered, q_newest_runs, q_error_kinds, q_envelope, q_content_text, q_figures, q_pruned_json, q_tool_sets, q_manifest,
 )}
 
 _SUMMARY = "count(*) AS calls, count(*) FILTER (WHERE NOT ok) AS failures, round(sum(duration_ms), 6) AS total_ms, round(avg(duration_ms), 6) AS mean_ms, round(max(duration_ms), 6) AS max_ms"
@@ -232,4 +246,11 @@ SQL = {
     "q_manifest": """
         WITH k AS (SELECT split, coalesce(metadata.clause_type, 'null') AS k, count(*) AS c FROM chat GROUP BY ALL)
         SELECT split, sum(c)::BIGINT AS n, round(sum(c) / sum(sum(c)) OVER (), 4) AS share, string_agg(k || '=' || c, ',' ORDER BY k) AS types FROM k GROUP BY split""",
+    "q_pruned_json": """WITH a AS (SELECT rec_id, list_filter(messages, lambda m: m.role = 'assistant')[1].content AS a FROM chat)
+        SELECT rec_id, a ->> '$.clause_type' AS clause_type, a ->> '$.risk_flag' AS risk_flag, array_to_string(list_filter(['clause_type', 'risk_flag'], lambda k: (a ->> ('$.' || k)) IS NOT NULL), ',') AS keys FROM a""",
+    "q_tool_sets": """
+        WITH a(agent, tool) AS (VALUES """ + ", ".join(f"('{a}', '{t}')" for a, tools in ALLOWED.items() for t in tools) + """),
+        s AS (SELECT u.agent, list_sort(coalesce((SELECT list(tool) FROM a WHERE a.agent = u.agent), [])) AS may, list_sort(list(DISTINCT u.tool)) AS used FROM trace u GROUP BY u.agent)
+        SELECT agent, array_to_string(list_filter(may, lambda x: list_contains(used, x)), ',') AS common, array_to_string(list_filter(may, lambda x: NOT list_contains(used, x)), ',') AS unused,
+          array_to_string(list_filter(used, lambda x: NOT list_contains(may, x)), ',') AS not_allowed, NOT list_has_any(may, used) AS disjoint, list_has_all(may, used) AS covered FROM s""",
 }

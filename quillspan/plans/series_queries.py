@@ -138,9 +138,21 @@ def q_dropped_bars(spark, d):
     return s.dropped_bars(table(spark, d, "bars"))
 
 
+def q_chart_window(spark, d):
+    """The last 252 bars of each symbol with their bands."""
+    rows = g.last_rows(_enriched(spark, d, "bb_upper", "bb_lower"))
+    return rows.select("symbol", "ts", "close", *_six(None, "bb_upper", "bb_lower", places=8))
+
+
+def q_trend_regime(spark, d):
+    """The order of the averages at the last bar of each symbol."""
+    last = g.latest(_enriched(spark, d, "sma_50", "sma_200"))
+    return last.select("symbol", g.trend_regime(F.col("sma_50"), F.col("sma_200")).alias("regime"))
+
+
 QUERIES = {f.__name__: f for f in (
     q_equity_summary, q_keep_last, q_bars_hourly, q_stream_bars, q_brand_vwap_daily, q_sma, q_bollinger, q_volatility, q_ema, q_macd, q_rsi, q_indicators_all,
-    q_momentum, q_vol_snapshot, q_ytd_asof, q_range_252, q_top_moves, q_first_valid, q_bars_window, q_dropped_bars,
+    q_momentum, q_vol_snapshot, q_ytd_asof, q_range_252, q_top_moves, q_first_valid, q_bars_window, q_dropped_bars, q_chart_window, q_trend_regime,
 )}
 
 CLEAN = """
@@ -258,4 +270,8 @@ SQL = {
     "q_dropped_bars": """
         WITH k AS (SELECT symbol, ts, count(*) AS n, count(*) FILTER (WHERE close > 0 AND symbol IS NOT NULL AND ts IS NOT NULL) AS good FROM bars GROUP BY ALL)
         SELECT symbol, sum(n)::BIGINT AS rows, (sum(n) - sum(good))::BIGINT AS invalid, (sum(good) - count(*) FILTER (WHERE good > 0))::BIGINT AS repeated, count(*) FILTER (WHERE good > 0) AS kept FROM k GROUP BY symbol""",
+    "q_chart_window": f"""WITH RECURSIVE {ENRICHED}, e AS (SELECT *, max(pos) OVER (PARTITION BY symbol) AS top FROM enriched)
+        SELECT symbol, ts, close, {_columns('bb_upper bb_lower', 8)} FROM e WHERE pos > top - 252""",
+    "q_trend_regime": f"""WITH RECURSIVE {ENRICHED} SELECT symbol, CASE WHEN sma_50 > sma_200 THEN 'up' WHEN sma_50 < sma_200 THEN 'down' WHEN sma_50 = sma_200 THEN 'flat' END AS regime
+        FROM enriched QUALIFY row_number() OVER (PARTITION BY symbol ORDER BY pos DESC) = 1""",
 }

@@ -14,7 +14,7 @@ import shutil
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -60,6 +60,12 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def observed(df: DataFrame, name: str, **figures: Column) -> tuple[DataFrame, Observation]:
+    """``df`` and an observation that has ``figures`` (aggregates) of its rows once an action has run over it, without a pass of its own."""
+    seen = Observation(name)
+    return df.observe(seen, *[c.alias(k) for k, c in figures.items()]), seen
+
+
 def spread(df: DataFrame) -> DataFrame:
     """``df`` over at least as many tasks as the cluster runs at once, for work that is heavy on each row.
 

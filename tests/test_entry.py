@@ -41,6 +41,28 @@ def test_entry(spark):
     assert entry.entry(spark).count() > 0
 
 
+def test_chosen():
+    assert list(catalogue.chosen(["q_runs"])) == ["q_runs"]
+    with pytest.raises(KeyError):
+        catalogue.chosen(["q_runs", "q_none"])
+
+
+def test_observed(spark):
+    from pyspark.sql import functions as F
+
+    from quillspan.shared import observed
+
+    df, seen = observed(spark.range(7), "seven", n=F.count("*"), top=F.max("id"))
+    assert df.count() == 7 and seen.get == {"n": 7, "top": 6}
+
+
+def test_entry_without_llm():
+    """Without the optional subpackage the core's queries are all there."""
+    code = "import sys; sys.modules['quillspan.llm'] = None\nimport __spark_entry__ as e; q = e.queries(); print(len(q), all(not n.startswith('p') or n == 'p1_found' for n in q), set(e.oracle_sql()) <= set(q))"
+    out = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, check=True).stdout.split()
+    assert int(out[0]) == len(catalogue.QUERIES) and out[1:] == ["True", "True"]
+
+
 def test_core_without_llm():
     code = "import sys; sys.modules['quillspan.llm'] = None\nfrom quillspan.plans import catalogue; import quillspan.streaming.live, quillspan.sources.files; print(len(catalogue.QUERIES))"
     assert int(subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, check=True).stdout) > 50
