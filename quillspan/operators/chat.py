@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quillspan.skew import ordered_positions
+
 
 def trim_to_budget(turns: DataFrame, budget: int, key: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "content") -> DataFrame:
     """The turns of each conversation that fit: the first one always, and the newest until ``budget`` characters are full.
@@ -51,8 +53,8 @@ def stratified_split(df: DataFrame, stratum: str, id: str = "rec_id", seed: int
 
 def batches(df: DataFrame, by: list[str], order: list[str], size: int = 8) -> DataFrame:
     """``df`` with ``batch``, from 0: consecutive rows of each group in order, ``size`` together."""
-    rank = F.row_number().over(Window.partitionBy(*by).orderBy(*order))
-    return df.withColumn("batch", F.floor((rank - 1) / F.lit(size)).cast("int"))
+    placed = ordered_positions(df, by, order, "_position")
+    return placed.withColumn("batch", F.floor((F.col("_position") - 1) / F.lit(size)).cast("int")).drop("_position")
 
 
 def seed_grid(axes: dict[str, list[str]], spark) -> DataFrame:
@@ -115,5 +117,5 @@ def draw_cells(axes: dict[str, DataFrame], cycled: str, n: int, seed: int = 7, e
 
 def in_turn(df: DataFrame, keys: list[str], order: list[str], cycle: dict[str, int]) -> DataFrame:
     """``df`` with ``position`` from 0 in each group by ``order``, and the position modulo each length of ``cycle``."""
-    out = df.withColumn("position", F.row_number().over(Window.partitionBy(*keys).orderBy(*order)) - 1)
+    out = ordered_positions(df, keys, order).withColumn("position", F.col("position") - 1)
     return out.withColumns({name: F.pmod("position", F.lit(length)).cast("int") for name, length in cycle.items()})

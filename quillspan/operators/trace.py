@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quillspan.skew import ordered_positions
+
 
 def tool_summary(trace: DataFrame, by: list[str]) -> DataFrame:
     """Calls, failures, total, mean and longest milliseconds of each group; a NULL ``ok`` counts as no failure."""
@@ -115,20 +117,25 @@ def filter_calls(trace: DataFrame, run: str | None = None, agents: list[str] | N
 
 def with_sequence(trace: DataFrame) -> DataFrame:
     """``trace`` with ``seq`` numbered anew in each run, from 1 in order of time and call_id."""
-    return trace.withColumn("seq", F.row_number().over(Window.partitionBy("run_id").orderBy("timestamp", "call_id")))
+    placed = ordered_positions(trace, ["run_id"], ["timestamp", "call_id"], "_position")
+    return placed.withColumn("seq", F.col("_position").cast("int")).drop("_position")
 
 
 def sequence_report(trace: DataFrame) -> DataFrame:
     """(run_id, calls, first, last, missing, repeated, rising): whether the numbers of each run's calls are whole, and rise with time.
 
-    Aggregates by number first, so a run of any length is spread; ``rising`` compares each number's earliest time with the one before.
+    Calls are counted by number first and numbers looked at PATH_CALLS at a time, so a run of any length is spread; ``rising`` compares
+    each number's earliest time with that of the number before.
     """
-    numbers = trace.groupBy("run_id", "seq").agg(F.count("*").alias("n"), F.min("timestamp").alias("at"))
-    before = F.lag("at").over(Window.partitionBy("run_id").orderBy("seq"))
-    out = numbers.withColumn("late", F.coalesce(F.col("at") < before, F.lit(False))).groupBy("run_id").agg(
-        F.sum("n").alias("calls"), F.min("seq").alias("first"), F.max("seq").alias("last"), (F.max("seq") - F.min("seq") + 1 - F.count("*")).alias("missing"), F.sum(F.col("n") - 1).alias("repeated"), (~F.bool_or("late")).alias("rising")
+    numbers = trace.groupBy("run_id", "seq").agg(F.count("*").alias("n"), F.min("timestamp").alias("at")).withColumn("part", F.floor(F.col("seq") / F.lit(PATH_CALLS)))
+    before = F.lag("at").over(Window.partitionBy("run_id", "part").orderBy("seq"))
+    parts = numbers.withColumn("late", F.coalesce(F.col("at") < before, F.lit(False))).groupBy("run_id", "part").agg(
+        F.sum("n").alias("calls"), F.count("*").alias("numbers"), F.min("seq").alias("first"), F.max("seq").alias("last"), F.bool_or("late").alias("late"), F.min_by("at", "seq").alias("begins"), F.max_by("at", "seq").alias("ends")
+    )
+    edge = F.coalesce(F.col("begins") < F.lag("ends").over(Window.partitionBy("run_id").orderBy("part")), F.lit(False))
+    return parts.withColumn("late", F.col("late") | edge).groupBy("run_id").agg(
+        F.sum("calls").alias("calls"), F.min("first").alias("first"), F.max("last").alias("last"), (F.max("last") - F.min("first") + 1 - F.sum("numbers")).alias("missing"), (F.sum("calls") - F.sum("numbers")).alias("repeated"), (~F.bool_or("late")).alias("rising")
     )
-    return out
 
 
 def newest_runs(trace: DataFrame, n: int = 10) -> DataFrame:

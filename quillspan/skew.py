@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from quillspan.shared import written
+
 #: A key with more rows than this is split over several tasks.
 HOT_ROWS = 100_000
 
@@ -72,3 +74,23 @@ def salted_pairs(left: DataFrame, right: DataFrame, key: str, *, hot_rows: int |
         each = F.explode(F.sequence(F.lit(0), F.coalesce(other, F.lit(1)) - 1))
         salted.append(mine.withColumn(f"_at{own}", part).withColumn(f"_at{other}", each).drop("_spread", "_hash", "_left", "_right"))
     return salted[0].join(salted[1], [key, "_at_left", "_at_right"]).drop("_at_left", "_at_right")
+
+
+def ordered_positions(df: DataFrame, by: list[str], order: list[str], name: str = "position") -> DataFrame:
+    """``df`` with ``name``: 1, 2, … in each group of ``by`` in ``order``; NULL is a group, and comes first in order.
+
+    Rows are cut into ranges of group and order and counted by range, so that no task orders a whole group; a group's counts,
+    one for each range, are summed up.  The ranges are written, so that a task that runs again finds the same ones.  Rows that tie
+    in ``order`` are numbered in any order.
+    """
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = written(df.repartitionByRange(parts, *by, *order).withColumn("_range", F.spark_partition_id()), "ranges")
+    keys = {c: f"_key_{c}" for c in by}
+    sizes = ranged.groupBy(*by, "_range").agg(F.count("*").alias("_n")).withColumnsRenamed(keys)
+    upto = Window.partitionBy(*keys.values()).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    before = sizes.select(*keys.values(), F.col("_range").alias("_key_range"), F.coalesce(F.sum("_n").over(upto), F.lit(0)).alias("_before"))
+    rule = F.col("_range") == F.col("_key_range")
+    for c, k in keys.items():
+        rule = rule & F.col(c).eqNullSafe(F.col(k))
+    inside = F.row_number().over(Window.partitionBy(*by, "_range").orderBy(*order))
+    return ranged.join(before, rule).withColumn(name, (F.col("_before") + inside).cast("long")).select(*[F.col(f"`{c}`") for c in df.columns if c != name], name)

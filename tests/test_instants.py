@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quillspan.operators.instants import extend_dictionary, normalise_instants, parse_instant
-from quillspan.skew import salted_lookup, salted_pairs
+from quillspan.skew import ordered_positions, salted_lookup, salted_pairs
 
 
 def us(*parts, **zone):
@@ -137,3 +137,16 @@ def test_salted_pairs(spark):
         got = [(r.key, r.a, r.b) for r in salted_pairs(left, right, "key", hot_rows=hot_rows).collect()]
         assert len(got) == len(want) and set(got) == want
     assert salted_pairs(left.limit(0), right, "key").count() == 0
+
+
+def test_ordered_positions(spark):
+    import random
+
+    rows = [(random.Random(i).choice(["hot", "hot", "a", None]), (i * 37) % 500, i) for i in range(500)]
+    df = spark.createDataFrame(rows, "k string, o long, position long")
+    got = ordered_positions(df, ["k"], ["o"], "p").collect()
+    want = {}
+    for k, o, _ in sorted(rows, key=lambda r: (r[0] or "", r[1])):
+        want.setdefault(k, []).append(o)
+    assert len(got) == 500 and all(want[r.k][r.p - 1] == r.o for r in got) and got[0].asDict().keys() == {"k", "o", "position", "p"}
+    assert ordered_positions(df.limit(0), ["k"], ["o"], "p").count() == 0
