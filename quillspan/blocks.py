@@ -1,16 +1,27 @@
-"""Blocks of an index, sent to the executors a few at a time."""
+"""Blocks of an index, sent to the executors a few at a time, and the parts of a batch that are held against them."""
 
 from __future__ import annotations
 
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from typing import Any
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillspan.shared import written
 
+def slices(batch: pa.RecordBatch, text: str, chars: int, rows: int) -> Iterator[pa.RecordBatch]:
+    """A batch in parts of about ``chars`` characters of the column ``text``, and ``rows`` rows at most."""
+    sizes = pc.fill_null(pc.utf8_length(batch.column(text)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    part = np.cumsum(sizes) // chars + np.arange(batch.num_rows) // rows
+    edges = [*np.flatnonzero(np.diff(part, prepend=-1)).tolist(), batch.num_rows]
+    for at, end in zip(edges, edges[1:], strict=False):
+        yield batch.slice(at, end - at)
+
 
 #: The block that this process has unpacked last, for the tasks that it runs one after the other.
 _LAST: dict[tuple[str, int], Any] = {}
