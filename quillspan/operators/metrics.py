@@ -7,25 +7,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from quillspan.functions.sequences import common_length
 from quillspan.functions.text import numbers, numbers_found, overlap_tokens
 
 # Words of a company name that don't tell one from another.
 COMMON_NAME_WORDS = ["limited", "holdings", "group", "company", "the"]
 
 
-def common_length(a, b) -> int:
-    """Length of the longest common subsequence: one bit of an integer for each token of ``a``."""
-    places: dict = {}
-    for i, x in enumerate(a):
-        places[x] = places.get(x, 0) | (1 << i)
-    full = (1 << len(a)) - 1
-    row = full
-    for y in b:
-        hit = row & places.get(y, 0)
-        row = ((row + hit) | (row - hit)) & full
-    return len(a) - bin(row).count("1")
-
-
 def lcs_length(a: Column, b: Column) -> Column:
     """Length of the longest common subsequence of two token arrays (Arrow batches, bit-parallel)."""
 
