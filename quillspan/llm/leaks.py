@@ -14,16 +14,21 @@ import re
 import unicodedata
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from typing import TYPE_CHECKING
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
-from quillspan.blocks import Sent, in_passes
+from quillspan.blocks import Sent, in_passes, slices
 from quillspan.shared import spread, written
 
+if TYPE_CHECKING:
+    import pandas as pd
+
 #: Words in a row of an item that count as a leak, words of slack that altered edges may cost, and share of edits.
 PASSAGE_WORDS, EDGE_SLACK, EDIT_SHARE = 25, 2, 0.16
 #: Random walks, samples of each, places in a sample, and steps of a walk that places are drawn from.
@@ -393,6 +398,8 @@ def index_blocks(items: DataFrame, *, item_id: str = "item_id", text: str = "tex
     kind = numbered.schema["item"].dataType
 
     def split(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        import pandas as pd
+
         for pdf in batches:
             rows = [(n, i, at, " ".join(s)) for n, i, text in zip(pdf["n"], pdf["item"], pdf["text"], strict=True) for at, s in enumerate(sentences_of(text))]
             yield pd.DataFrame(rows, columns=["n", "item", "at", "words"])
@@ -404,6 +411,8 @@ def index_blocks(items: DataFrame, *, item_id: str = "item_id", text: str = "tex
     whole = each.join(often, "words", "left").groupBy("n").agg(F.first("item").alias("item"), F.array_sort(F.collect_list(F.struct("at", "words", F.coalesce("often", F.lit(False)).alias("often")))).alias("s"))
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        import pandas as pd
+
         for pdf in batches:
             rows = [(i, " ".join(p), len(p)) for i, s in zip(pdf["item"], pdf["s"], strict=True) for p in own_pieces([x["words"].split() for x in s], [x["often"] for x in s])]
             yield pd.DataFrame(rows, columns=["item", "piece", "size"])
@@ -412,6 +421,8 @@ def index_blocks(items: DataFrame, *, item_id: str = "item_id", text: str = "tex
     blocks = max(1, -(-int(parts.agg(F.sum("size")).first()[0] or 0) // BLOCK_WORDS))
 
     def build(pdf: pd.DataFrame) -> pd.DataFrame:
+        import pandas as pd
+
         pdf = pdf.sort_values(["item", "piece"])
         return pd.DataFrame({"block": pdf["block"].iloc[:1], "words": [int(pdf["size"].sum())], "data": [pickle.dumps(build_index([(i, p.split()) for i, p in zip(pdf["item"].tolist(), pdf["piece"], strict=True)]))]})
 
@@ -432,18 +443,19 @@ def find_leaks(docs: DataFrame, items: DataFrame, *, doc_id: str = "doc_id", ite
     blocks = index_blocks(items, item_id=item_id, text=text)
     schema = T.StructType([T.StructField(doc_id, docs.schema[doc_id].dataType), T.StructField(item_id, items.schema[item_id].dataType)])
     read = spread(docs.select(F.col(doc_id).alias("id"), F.col(text).alias("text")).where("text <> ''"))
+    kind = to_arrow_type(items.schema[item_id].dataType)
 
     def search(sent: Sent) -> DataFrame:
-        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for pdf in batches:
-                chunk = pdf["text"].str.len().cumsum() // BATCH_CHARS + np.arange(len(pdf)) // BATCH_TEXTS
-                for _, part in pdf.groupby(chunk.to_numpy(), sort=False):
-                    split, ids = [words_of(x) for x in part["text"]], part["id"].to_numpy()
+        # Arrow batches throughout: the tasks of this pass need no pandas, whose import would be a good part of their time
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for part in slices(batch, "text", BATCH_CHARS, BATCH_TEXTS):
+                    split = [words_of(x) for x in part.column("text").to_pylist()]
                     for index in sent:
                         number, item = leaks_of(split, index)
-                        yield pd.DataFrame({doc_id: ids[number], item_id: [index.ids[i] for i in item]})
+                        yield pa.record_batch([part.column("id").take(pa.array(number)), pa.array([index.ids[i] for i in item], kind)], names=[doc_id, item_id])
 
-        return read.mapInPandas(run, schema)
+        return read.mapInArrow(run, schema)
 
     out = in_passes(blocks, PASS_BLOCKS, pickle.loads, search, "leaks")
     return spark.createDataFrame([], schema) if out is None else out.distinct()
