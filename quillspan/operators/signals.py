@@ -88,12 +88,17 @@ def volatility_snapshot(df: DataFrame, key: str = "symbol", x: str = "volatility
     return out.withColumn("band", band)
 
 
-def summarise(enriched: DataFrame, dimension: DataFrame | None = None, key: str = "symbol") -> DataFrame:
-    """One summary row per series: last values, year range, year-to-date return, momentum; ``dimension`` is left-joined."""
-    enriched = written(enriched, "enriched")
+def summarise(enriched: DataFrame, dimension: DataFrame | None = None, key: str = "symbol", closes: DataFrame | None = None) -> DataFrame:
+    """One summary row per series: last values, year range, year-to-date return, momentum; ``dimension`` is left-joined.
+
+    ``closes`` are the same rows with positions but without indicators (``series.with_positions``), where the caller has them: the ranges
+    are read from there, and the indicators only once.
+    """
+    if closes is None:
+        closes = enriched = written(enriched, "enriched")
     last = momentum(latest(enriched, key))
-    r = range_of_year(enriched, key).select(key, F.col("high").alias("year_high"), F.col("low").alias("year_low"))
-    ytd = year_to_date(enriched, key).select(key, "ytd_pct")
+    r = range_of_year(closes, key).select(key, F.col("high").alias("year_high"), F.col("low").alias("year_low"))
+    ytd = year_to_date(closes, key).select(key, "ytd_pct")
     joined = last.join(r, key).join(ytd, key, "left")
     if dimension is not None:
         joined = joined.join(dimension, key, "left")

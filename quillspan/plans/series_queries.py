@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from quillspan.operators import series as s
 from quillspan.operators import signals as g
+from quillspan.shared import written
 from quillspan.sources.tables import table
 from quillspan.streaming import live
 
@@ -92,7 +93,7 @@ def q_momentum(spark, d):
 
 def q_equity_summary(spark, d):
     """One summary row for each symbol, with its issuer."""
-    return g.summarise(_enriched(spark, d), table(spark, d, "issuers").select("symbol", "company_name", "sector", "currency"))
+    return g.summarise(_enriched(spark, d), table(spark, d, "issuers").select("symbol", "company_name", "sector", "currency"), closes=written(_placed(spark, d), "placed"))
 
 
 def q_vol_snapshot(spark, d):
