@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import pickle
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -21,6 +22,12 @@ from quillspan.shared import written
 NEAR = 0.72
 #: Texts of a block, products of entries up to which a gram is multiplied entry by entry, and dense columns multiplied at a time.
 BLOCK, FEW_PRODUCTS, COLUMNS = 1024, 256, 2048
+#: Counts of a pair of grams up to which they are multiplied entry by entry in packed blocks, and pairs of blocks of a task.
+FEW_ENTRIES, TASK_CELLS = 2048, 16
+#: Blocks of one side that a task holds at most, packed.
+PART_BLOCKS = 256
+#: Texts of a group that the guard decides in a round.
+FRONT = 2048
 #: Query vectors of a block, and blocks that are sent out in one pass over the rows.
 BLOCK_QUERIES, PASS_BLOCKS = 20_000, 16
 
@@ -142,22 +149,204 @@ def _cells(left: DataFrame, right: DataFrame | None, by: list[str], work, schema
     return rows.repartition(tasks, *by, "_i", "_j").groupBy(*by, "_i", "_j").applyInPandas(run, ", ".join([*[f"`{c}` {dict(rows.dtypes)[c]}" for c in by], schema]))
 
 
-def _representatives(docs: DataFrame, by: list[str], id: str, text: str) -> DataFrame:
-    """Vectors of one text of each class, in blocks, with the number ``m`` of its copies; written."""
-    sized = classes_of(docs, by, id, text).groupBy(*by, F.col("class_id").alias(id)).agg(F.count("*").cast("double").alias("m"))
-    kept = matched(docs.select(*by, id, text), sized.select(*by, id), by, [id], "left_semi")
-    vecs = matched(vectors(kept, by, id, text).dropDuplicates([*by, "id"]), sized.withColumnRenamed(id, "id"), by, ["id"])
-    return written(_blocked(written(vecs, "vectors"), by), "blocks")
+@dataclass
+class Block:
+    """Texts of a group as counts of grams, by gram: entry k of gram g, edges[g] <= k < edges[g + 1], is its count in a text (row)."""
+
+    ids: np.ndarray  # of each text (the smallest of its copies)
+    copies: np.ndarray
+    grams: np.ndarray  # 64-bit hashes, ascending
+    edges: np.ndarray
+    rows: np.ndarray
+    counts: np.ndarray
+    members: tuple[np.ndarray, np.ndarray] | None = None  # all ids, copies too, and their texts; where asked for
+
+    @classmethod
+    def of(cls, ids: np.ndarray, copies: np.ndarray, gram: np.ndarray, row: np.ndarray, count: np.ndarray) -> Block:
+        """From entries in any order; those of one gram and row are added up."""
+        order = np.lexsort((row, gram))
+        gram, row, count = gram[order], row[order], count[order]
+        fresh = np.ones(len(gram), bool)
+        fresh[1:] = (gram[1:] != gram[:-1]) | (row[1:] != row[:-1])
+        at = np.flatnonzero(fresh)
+        gram, row, count = gram[at], row[at], np.add.reduceat(count, at) if len(at) else count
+        first = np.ones(len(gram), bool)
+        first[1:] = gram[1:] != gram[:-1]
+        begins = np.flatnonzero(first)
+        return cls(ids, copies, gram[begins], np.append(begins, len(gram)), row.astype(np.int64), count.astype(np.int64))
+
+    def dump(self) -> bytes:
+        kind = lambda x: x.astype(np.min_scalar_type(int(x.max(initial=0))))
+        plain = pickle.dumps((self.ids, self.copies, self.grams, kind(np.diff(self.edges)), kind(self.rows), kind(self.counts), self.members))
+        return len(plain).to_bytes(8, "little") + pa.Codec("zstd", 3).compress(plain, asbytes=True)
+
+    @classmethod
+    def load(cls, data: bytes) -> Block:
+        ids, copies, grams, many, rows, counts, members = pickle.loads(pa.Codec("zstd").decompress(memoryview(data)[8:], int.from_bytes(data[:8], "little"), asbytes=True))
+        return cls(ids, copies, grams, np.concatenate([[0], np.cumsum(many, dtype=np.int64)]), rows.astype(np.int64), counts.astype(np.int64), members)
+
+    def __len__(self) -> int:
+        return len(self.ids)
+
+    @property
+    def lengths(self) -> np.ndarray:
+        """Squares of the lengths of the vectors, in whole numbers."""
+        return np.bincount(self.rows, self.counts * self.counts, len(self.ids))
+
+    def take(self, rows: np.ndarray) -> Block:
+        """The texts ``rows``, in that order."""
+        place = np.full(len(self.ids), -1)
+        place[rows] = np.arange(len(rows))
+        new = place[self.rows]
+        keep = new >= 0
+        gram = np.repeat(self.grams, np.diff(self.edges))[keep]
+        return Block.of(self.ids[rows], self.copies[rows], gram, new[keep], self.counts[keep])
+
+    @staticmethod
+    def joined(blocks: list[Block]) -> Block:
+        starts = np.cumsum([0, *map(len, blocks)])
+        gram = np.concatenate([np.repeat(b.grams, np.diff(b.edges)) for b in blocks])
+        row = np.concatenate([b.rows + n for b, n in zip(blocks, starts, strict=False)])
+        return Block.of(np.concatenate([b.ids for b in blocks]), np.concatenate([b.copies for b in blocks]), gram, row, np.concatenate([b.counts for b in blocks]))
+
+    def cosines(self, other: Block) -> np.ndarray:
+        """Cosines of all texts with all of ``other``: products of counts, which are exact, over the lengths."""
+        shared, mine, its = np.intersect1d(self.grams, other.grams, assume_unique=True, return_indices=True)
+        lengths = self.lengths, other.lengths
+        shape = len(self), len(other)
+        many = [(b.edges[1:] - b.edges[:-1])[at] for b, at in ((self, mine), (other, its))]
+        few = many[0] * many[1] <= FEW_ENTRIES
+
+        def entries(b: Block, at: np.ndarray, n: np.ndarray) -> np.ndarray:
+            return np.arange(n.sum()) + np.repeat(b.edges[at] - (np.cumsum(n) - n), n)
+
+        # grams that few texts of both have: each entry with each
+        n = many[1][few]
+        one = entries(self, mine[few], many[0][few])
+        each = np.repeat(n, many[0][few])
+        two = np.arange(each.sum()) + np.repeat(np.repeat(other.edges[its[few]], many[0][few]) - (np.cumsum(each) - each), each)
+        at = np.repeat(self.rows[one] * shape[1], each) + other.rows[two]
+        weights = np.repeat(self.counts[one], each) * other.counts[two]
+        out = np.bincount(at, weights, shape[0] * shape[1]).reshape(shape)
+        # the others as dense columns; sums of whole numbers below 2 ** 24 are exact in single precision
+        kind = np.float32 if max(x.max(initial=0) for x in lengths) < 2**24 else np.float64
+        dense = np.flatnonzero(~few)
+        for begin in range(0, len(dense), COLUMNS):
+            part = dense[begin : begin + COLUMNS]
+            sides = []
+            for b, where, m in ((self, mine, many[0]), (other, its, many[1])):
+                side = np.zeros((len(b), len(part)), kind)
+                k = entries(b, where[part], m[part])
+                side[b.rows[k], np.repeat(np.arange(len(part)), m[part])] = b.counts[k]
+                sides.append(side)
+            out += sides[0] @ sides[1].T
+        out /= np.sqrt(lengths[0])[:, None]
+        out /= np.sqrt(lengths[1])[None, :]
+        return out
+
+
+def _micro(cosine: np.ndarray) -> np.ndarray:
+    """Cosines in millionths, rounded half up."""
+    return np.floor(cosine * 1e6 + 0.5).astype(np.int64)
+
+
+def _packed(docs: DataFrame, by: list[str], id: str, text: str, members: bool = False) -> DataFrame:
+    """(by…, block, blocks, data): one text of each class of equal ones, in blocks of about BLOCK by the text; written.  ``members``: with
+    the ids of all copies.
 
+    Texts are shuffled once and their vectors never: a block leaves the task that made it packed, some 600 bytes a text.
+    """
+    rows = docs.where(F.col(text).isNotNull()).select(*by, F.col(id).alias("id"), F.col(text).alias("_t"), F.sha2(text, 256).alias("_h"))
+    sizes = written(rows.groupBy(*by).agg(F.ceil(F.approx_count_distinct("_h", 0.02) / F.lit(BLOCK)).cast("int").alias("blocks")), "group-sizes")
+    placed = matched(rows, sizes, by, []).withColumn("block", F.pmod(F.xxhash64("_h"), F.col("blocks")).cast("int"))
+    classes = placed.repartition(_tasks(docs), *by, "block").groupBy(*by, "block", "_h").agg(F.min("id").alias("id"), F.count("*").alias("m"), F.first("blocks").alias("blocks"), F.first("_t").alias("_t"), *([F.collect_list("id").alias("all")] if members else []))
+    more = ["all"] if members else []
+    tokens = classes.select(*by, "block", "blocks", "id", "m", *more, terms(F.col("_t")).alias("_t")).where(F.size("_t") > 0)
+    hashed = tokens.select(*by, "block", "blocks", "id", "m", *more, F.transform(grams(F.col("_t")), lambda g: F.xxhash64(g)).alias("grams"))
+    kinds = dict(hashed.dtypes)
+
+    def pack(table: pa.Table) -> pa.Table:
+        lists = table.column("grams").combine_chunks()
+        gram = lists.flatten().to_numpy(zero_copy_only=False)
+        row = np.repeat(np.arange(len(lists)), np.diff(lists.offsets.to_numpy()))
+        block = Block.of(table.column("id").to_numpy(), table.column("m").to_numpy(), gram, row, np.ones(len(gram), np.int64))
+        if members:
+            every = table.column("all").combine_chunks()
+            block.members = every.flatten().to_numpy(zero_copy_only=False), np.repeat(np.arange(len(every)), np.diff(every.offsets.to_numpy()))
+        return table.select([*by, "block", "blocks"]).slice(0, 1).append_column("data", pa.array([block.dump()], pa.binary()))
+
+    return written(hashed.groupBy(*by, "block").applyInArrow(pack, ", ".join([*[f"`{c}` {kinds[c]}" for c in by], "block int, blocks int, data binary"])), "blocks")
+
+
+def _tasks(df: DataFrame) -> int:
+    spark = df.sparkSession
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism)
+
+
+def _over_cells(blocks: DataFrame, others: DataFrame | None, by: list[str], start: Callable, schema: str, coarse: bool = False) -> DataFrame:
+    """What is said of all pairs of blocks of each group; those of one table with itself (``others`` None) are taken once.
+
+    Tasks read their blocks from where they are written, each some of one side and some of the other, so no block is ever shuffled, however many it
+    meets.  A task calls ``start()`` for each group it comes to, which gives (meet, end): meet(block, other, whether they are the same)
+    gives columns or None, end() what is left to say.  ``coarse``: no more tasks than keep the cores busy.
+    """
+    kinds = dict(blocks.dtypes)
+    alone = others is None
+    right = (blocks if alone else others).select(*[F.col(c).alias(f"_{c}") for c in by], F.col("block").alias("_j"), F.col("data").alias("_b"))
+    rule = F.col("_i") <= F.col("_j") if alone else F.lit(True)
+    for c in by:
+        rule = rule & F.col(c).eqNullSafe(F.col(f"_{c}"))
+    few = int(np.ceil(np.sqrt(4 * blocks.sparkSession.sparkContext.defaultParallelism)))
+    sizes = (blocks if alone else blocks.select(*by).unionByName(others.select(*by))).groupBy(*by).count()
+    cells, every = sizes.agg(F.sum(F.col("count") * F.col("count") / 2), F.sum("count")).first()
+    parts = max(few, -(-int(every or 0) // PART_BLOCKS), 0 if coarse else int(np.ceil(np.sqrt((cells or 0) / TASK_CELLS))))
+    left = blocks.select(*by, F.col("block").alias("_i"), F.col("data").alias("_a")).coalesce(parts).sortWithinPartitions(*by)
+    pairs = left.join(right.coalesce(parts).hint("shuffle_replicate_nl"), rule).select(*by, "_i", "_j", "_a", "_b")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group, known, mine, own, meet, end = None, None, None, None, None, None
+
+        def said(columns: dict | None) -> Iterator[pa.RecordBatch]:
+            n = len(next(iter(columns.values()))) if columns else 0
+            if n:
+                at = pa.array(np.zeros(n, np.int32))
+                yield pa.record_batch([*[x.take(at) for x in own], *[pa.array(x) for x in columns.values()]], names=[*by, *columns])
 
-def _products(a: pd.DataFrame, b: pd.DataFrame, alone: bool) -> np.ndarray:
+        for batch in batches:
+            for k in range(batch.num_rows):
+                here = tuple(batch.column(c)[k].as_py() for c in range(len(by)))
+                i, j = batch.column(len(by))[k].as_py(), batch.column(len(by) + 1)[k].as_py()
+                if group != here:
+                    if end:
+                        yield from said(end())
+                    group, own, known = here, [batch.column(c).slice(k, 1) for c in range(len(by))], None
+                    meet, end = start()
+                if known != i:
+                    known, mine = i, Block.load(batch.column(len(by) + 2)[k].as_buffer())
+                same = alone and i == j
+                yield from said(meet(mine, mine if same else Block.load(batch.column(len(by) + 3)[k].as_buffer()), same))
+        if end:
+            yield from said(end())
+
+    return pairs.mapInArrow(run, ", ".join([*[f"`{c}` {kinds[c]}" for c in by], schema]))
+
+
+def _products(a: Block, b: Block, alone: bool) -> np.ndarray:
     """Cosines of two blocks; NaN below the diagonal where both are the same, so that each pair counts once."""
-    out = cosines((a["grams"].tolist(), a["weights"].tolist()), (b["grams"].tolist(), b["weights"].tolist()))
+    out = a.cosines(b)
     if alone:
         out[np.tril_indices(len(out))] = np.nan
     return out
 
 
+def _near(a: Block, b: Block, alone: bool, threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(a, b, cosine) of the near pairs of two blocks, a < b."""
+    values = _products(a, b, alone)
+    i, j = np.nonzero(values >= threshold - 1e-9)
+    x, y = a.ids[i], b.ids[j]
+    return np.minimum(x, y), np.maximum(x, y), values[i, j]
+
+
 def similar_pairs(docs: DataFrame, by: list[str], threshold: float = NEAR, id: str = "doc_id", text: str = "text") -> DataFrame:
     """(by…, a, b, cosine) of all pairs a < b of a group whose cosine reaches ``threshold``, exactly.
 
@@ -166,14 +355,11 @@ def similar_pairs(docs: DataFrame, by: list[str], threshold: float = NEAR, id: s
     of a group are multiplied instead, and only near pairs leave a task.
     """
 
-    def near(a: pd.DataFrame, b: pd.DataFrame, alone: bool) -> pd.DataFrame:
-        values = _products(a, b, alone)
-        i, j = np.nonzero(values >= threshold - 1e-9)
-        x, y = a["id"].to_numpy()[i], b["id"].to_numpy()[j]
-        return pd.DataFrame({"a": np.minimum(x, y), "b": np.maximum(x, y), "cosine": values[i, j]})
+    def start() -> tuple:
+        return lambda a, b, alone: dict(zip(("a", "b", "cosine"), _near(a, b, alone, threshold), strict=True)), lambda: None
 
     kind = dict(docs.dtypes)[id]
-    return _cells(_representatives(docs, by, id, text).drop("m"), None, by, near, f"a {kind}, b {kind}, cosine double")
+    return _over_cells(_packed(docs, by, id, text), None, by, start, f"a {kind}, b {kind}, cosine double")
 
 
 def near_ids(known: DataFrame, new: DataFrame, by: list[str], threshold: float = NEAR) -> DataFrame:
@@ -191,23 +377,56 @@ def near_ids(known: DataFrame, new: DataFrame, by: list[str], threshold: float =
     return _cells(*sides, by, hit, f"id {dict(new.dtypes)['id']}").distinct()
 
 
+def _counted(docs: DataFrame, by: list[str], id: str, text: str, say: Callable, schema: str) -> DataFrame:
+    """What ``say`` makes of the counts of pairs by cosine in millionths (0 to a million) that a task has come to, copies included."""
+
+    def start() -> tuple:
+        total = np.zeros(1_000_001, np.int64)
+
+        def meet(a: Block, b: Block, alone: bool) -> None:
+            values = a.cosines(b)
+            if alone:
+                here = np.triu_indices(len(a), 1)
+                values, n = values[here], (a.copies[here[0]] * a.copies[here[1]]).astype(float)
+                total[1_000_000] += (a.copies * (a.copies - 1) // 2).sum()
+            else:
+                values, n = values.ravel(), np.outer(a.copies, b.copies).ravel().astype(float)
+            micro = np.minimum(_micro(values), 1_000_000)
+            np.add(total, np.bincount(micro, None if n.size and n.max() == 1 else n, len(total)).astype(np.int64), out=total)
+
+        return meet, lambda: say(total)
+
+    return _over_cells(_packed(docs, by, id, text), None, by, start, schema, coarse=True)
+
+
+#: Ranges of cosines whose counts go from task to task in one piece.
+PIECES = 16
+
+
 def cosine_counts(docs: DataFrame, by: list[str], id: str = "doc_id", text: str = "text") -> DataFrame:
     """(by…, cosine, n): how many pairs of texts of each group, copies included, have each cosine, to six places.
 
     At most a million and one rows a group, however many pairs it has.
     """
-    vecs = _representatives(docs, by, id, text)
+    def say(total: np.ndarray) -> dict:
+        pieces = np.array_split(total, PIECES)
+        some = [k for k, x in enumerate(pieces) if x.any()]
+        return {"piece": np.array(some, np.int32), "data": [pa.Codec("zstd", 3).compress(pieces[k].tobytes(), asbytes=True) for k in some]}
+
+    found = _counted(docs, by, id, text, say, "piece int, data binary")
+    sizes = [len(x) for x in np.array_split(np.arange(1_000_001), PIECES)]
 
-    def count(a: pd.DataFrame, b: pd.DataFrame, alone: bool) -> pd.DataFrame:
-        values = _products(a, b, alone)
-        here = ~np.isnan(values)
-        micro, n = np.round(values[here] * 1e6).astype(np.int64), np.outer(a["m"], b["m"])[here]
-        known, spot = np.unique(micro, return_inverse=True)
-        return pd.DataFrame({"micro": known, "n": np.bincount(spot, n, len(known))})
+    def add(table: pa.Table) -> pa.Table:
+        piece = table.column("piece")[0].as_py()
+        total = np.zeros(sizes[piece], np.int64)
+        for data in table.column("data"):
+            total += np.frombuffer(pa.Codec("zstd").decompress(data.as_buffer(), 8 * len(total)), np.int64)
+        some = np.flatnonzero(total)
+        own = table.select(by).take(pa.array(np.zeros(len(some), np.int32)))
+        return own.append_column("cosine", pa.array((some + sum(sizes[:piece])) / 1_000_000)).append_column("n", pa.array(total[some]))
 
-    between = _cells(vecs, None, by, count, "micro long, n double")
-    within = vecs.where("m > 1").select(*by, F.lit(1_000_000).cast("long").alias("micro"), (F.col("m") * (F.col("m") - 1) / 2).alias("n"))
-    return between.unionByName(within).groupBy(*by, (F.col("micro") / 1_000_000).alias("cosine")).agg(F.sum("n").cast("long").alias("n"))
+    kinds = dict(found.dtypes)
+    return found.groupBy(*by, "piece").applyInArrow(add, ", ".join([*[f"`{c}` {kinds[c]}" for c in by], "cosine double, n long"]))
 
 
 def classes_of(docs: DataFrame, by: list[str], id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -233,13 +452,49 @@ def similarity_report(docs: DataFrame, by: list[str], threshold: float = NEAR, i
 
 def cosine_histogram(docs: DataFrame, by: list[str], bins: int = 20, id: str = "doc_id", text: str = "text") -> DataFrame:
     """(by…, bin, n): pairs of each group by cosine in ``bins`` equal bins of 0..1, the last one closed; bins without a pair are left out."""
-    number = F.least(F.floor(F.col("cosine") * bins), F.lit(bins - 1)).cast("int")
-    return cosine_counts(docs, by, id, text).groupBy(*by, number.alias("bin")).agg(F.sum("n").alias("n"))
+
+    def say(total: np.ndarray) -> dict:
+        some = np.flatnonzero(total)
+        n = np.zeros(bins, np.int64)
+        np.add.at(n, np.minimum((some / 1_000_000 * bins).astype(np.int64), bins - 1), total[some])
+        return {"bin": np.flatnonzero(n).astype(np.int32), "n": n[n > 0]}
+
+    return _counted(docs, by, id, text, say, "bin int, n long").groupBy(*by, "bin").agg(F.sum("n").alias("n"))
 
 
 def first_offenders(docs: DataFrame, by: list[str], k: int = 10, worst: bool = False, threshold: float = NEAR, id: str = "doc_id", text: str = "text") -> DataFrame:
     """(by…, rank, a, b, cosine): the first ``k`` near pairs of each group by id, or the ``k`` with the largest cosine."""
-    pairs = similar_pairs(docs, by, threshold, id, text)
+
+    def start() -> tuple:
+        best: list = []  # the first k pairs so far: a, b, cosine
+
+        def meet(a: Block, b: Block, alone: bool) -> None:
+            if not worst and best and len(best[0]) == k:
+                # a pair whose smaller id is behind those of k pairs isn't one of the first k
+                last = best[0][-1]
+                x, y = np.flatnonzero(a.ids <= last), np.flatnonzero(b.ids <= last)
+                cells = [(a.take(x), b, False)] * bool(len(x)) + [(a, b.take(y), False)] * (bool(len(y)) and not alone)
+            else:
+                cells = [(a, b, alone)]
+            for one, two, same in cells:
+                x, y, cosine = _near(one, two, same, threshold)
+                keep = x != y
+                x, y, cosine = (np.concatenate([old, new[keep]]) for old, new in zip(best or (x[:0], y[:0], cosine[:0]), (x, y, cosine), strict=True))
+                if worst and len(x) > 4 * k:
+                    micro = _micro(cosine)
+                    most = np.flatnonzero(micro >= np.partition(micro, len(micro) - k)[len(micro) - k])
+                    x, y, cosine = x[most], y[most], cosine[most]
+                order = np.lexsort((y, x, -_micro(cosine))) if worst else np.lexsort((y, x))
+                x, y, cosine = x[order], y[order], cosine[order]
+                # a pair may be met from both sides
+                fresh = np.ones(len(x), bool)
+                fresh[1:] = (x[1:] != x[:-1]) | (y[1:] != y[:-1])
+                best[:] = [z[fresh][:k] for z in (x, y, cosine)]
+
+        return meet, lambda: dict(zip(("a", "b", "cosine"), best, strict=True)) if best else None
+
+    kind = dict(docs.dtypes)[id]
+    pairs = _over_cells(_packed(docs, by, id, text), None, by, start, f"a {kind}, b {kind}, cosine double")
     order = ([F.desc(F.round("cosine", 6))] if worst else []) + [F.col("a"), F.col("b")]
     rank = F.row_number().over(Window.partitionBy(*by).orderBy(*order))
     return pairs.withColumn("rank", rank).where(F.col("rank") <= k).select(*by, "rank", "a", "b", "cosine")
@@ -248,67 +503,144 @@ def first_offenders(docs: DataFrame, by: list[str], k: int = 10, worst: bool = F
 def duplicate_guard(docs: DataFrame, by: list[str], threshold: float = NEAR, id: str = "doc_id", text: str = "text") -> DataFrame:
     """(by…, id, accepted): in order of id, a text is rejected if an accepted one before it is a near duplicate.
 
-    The outcome is that of taking the texts one by one.  Round by round, a class whose near ones before it are all decided is
-    decided itself; only classes with links take part, and each round is written to the shared folder.  Copies
+    The outcome is that of taking the texts one by one.  Copies
     of a text follow it and are rejected; texts without a gram are accepted, copies among them too, and NULL texts are left out.
     """
-    members = written(classes_of(docs, by, id, text), "guard-classes")
-    links = written(similar_pairs(docs, by, threshold, id, text).select(*by, "a", "b"), "guard-links")
-    gramless = docs.where(F.col(text).isNotNull() & (F.size(terms(F.col(text))) == 0)).select(*by, id)
-    decided = _in_order(links, by)
-    out = matched(matched(members, decided.withColumnRenamed("c", "class_id"), by, ["class_id"], "left"), gramless.withColumn("bare", F.lit(True)), by, [id], "left")
-    own = (F.col(id) == F.col("class_id")) & F.coalesce("ok", F.lit(True))
-    return out.select(*by, id, F.coalesce(F.col("bare"), own).alias("accepted"))
+    return _guarded(docs, by, threshold, id, text)[0]
 
 
-def _in_order(links: DataFrame, by: list[str]) -> DataFrame:
-    """(by…, c, ok) of all ends of links (by…, a, b), a < b: ok if no a of a link to it is ok.
-
-    A round decides every end whose a are all decided, and drops the links that are settled; those that are left shrink with each
-    round, so the rounds together cost little more than the first ones.
+def _guarded(docs: DataFrame, by: list[str], threshold: float, id: str, text: str, members: bool = False) -> tuple[DataFrame, DataFrame, list[DataFrame]]:
+    """The outcome of the guard, the packed blocks, and the packed accepted texts of each round."""
+    classes = written(classes_of(docs, by, id, text), "guard-classes")
+    gramless = docs.where(F.col(text).isNotNull() & (F.size(terms(F.col(text))) == 0)).select(*by, id)
+    blocks = _packed(docs, by, id, text, members)
+    taken = _in_order(blocks, by, threshold, dict(docs.dtypes)[id])
+    ok = None
+    for part in taken:
+        here = part.select(*by, F.explode("ids").alias("class_id"))
+        ok = here if ok is None else ok.unionByName(here)
+    out = matched(matched(classes, ok.withColumn("ok", F.lit(True)), by, ["class_id"], "left"), gramless.withColumn("bare", F.lit(True)), by, [id], "left")
+    own = (F.col(id) == F.col("class_id")) & F.coalesce("ok", F.lit(False))
+    return out.select(*by, id, F.coalesce(F.col("bare"), own).alias("accepted")), blocks, taken
+
+
+def _in_order(blocks: DataFrame, by: list[str], threshold: float, kind: str) -> list[DataFrame]:
+    """(by…, ids, block, data) of the accepted texts of each round, a row for each group.
+
+    Each round takes the first texts of each group that are left, about FRONT of them, in order of id; a task decides those of a
+    group one after the other.  All texts behind them are then held against those that were accepted, and rejected ones are left out of
+    all further rounds.  So no table of near pairs is needed, and texts are multiplied with accepted ones only.  What is left is a bit a text.
     """
-    ends = written(links.select(*by, F.col("a").alias("c")).union(links.select(*by, F.col("b").alias("c"))).distinct(), "guard-ends")
-    # ends that no link leads to are taken
-    taken = matched(ends, links.select(*by, F.col("b").alias("c")).distinct(), by, ["c"], "left_anti").withColumn("ok", F.lit(True))
-    done, open_, new = [], links, written(taken, "guard")
+    kinds = dict(blocks.dtypes)
+    keys = ", ".join(f"`{c}` {kinds[c]}" for c in by)
+    schema = ", ".join(filter(None, [keys, f"block int, left binary, edge {kind}"]))
+    width = len(by)
+
+    def edge(ids: np.ndarray, quota: int):
+        """The largest id that a round may take of a block: None if all."""
+        return np.sort(ids)[quota - 1] if len(ids) > quota else None
+
+    def quota(blocks: int) -> int:
+        return -(-2 * FRONT // blocks) + 8
+
+    def state(own: list[pa.Array], block: int, blocks: int, packed: Block, left: np.ndarray) -> pa.RecordBatch:
+        ids = packed.ids[left]
+        last = edge(ids, quota(blocks))
+        value = pa.array([last], pa.string() if ids.dtype == object else pa.from_numpy_dtype(ids.dtype))
+        names = [*by, "block", "left", "edge"]
+        return pa.record_batch([*own, pa.array([block], pa.int32()), pa.array([np.packbits(left).tobytes()], pa.binary()), value], names=names)
+
+    def begin(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(batch.num_rows):
+                packed = Block.load(batch.column("data")[k].as_buffer())
+                yield state([batch.column(c).slice(k, 1) for c in range(width)], batch.column("block")[k].as_py(), batch.column("blocks")[k].as_py(), packed, np.ones(len(packed), bool))
+
+    def front(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(batch.num_rows):
+                packed = Block.load(batch.column("data")[k].as_buffer())
+                left = np.unpackbits(np.frombuffer(batch.column("left")[k].as_buffer(), np.uint8), count=len(packed)).astype(bool)
+                last = batch.column("last")[k].as_py()
+                rows = np.flatnonzero(left & (packed.ids <= last) if last is not None else left)
+                if len(rows):
+                    yield pa.record_batch([*[batch.column(c).slice(k, 1) for c in range(width)], pa.array([packed.take(rows).dump()], pa.binary())], names=[*by, "data"])
+
+    def decide(table: pa.Table) -> pa.Table:
+        texts = Block.joined([Block.load(x.as_buffer()) for x in table.column("data")])
+        texts = texts.take(np.argsort(texts.ids, kind="stable"))
+        near = np.concatenate([texts.take(np.arange(at, min(at + BLOCK, len(texts)))).cosines(texts) >= threshold - 1e-9 for at in range(0, len(texts), BLOCK)])
+        rejected, chosen = np.zeros(len(texts), bool), []
+        for k in range(len(texts)):
+            if not rejected[k]:
+                chosen.append(k)
+                rejected |= near[k]
+        accepted = texts.take(np.array(chosen))
+        out = table.select(by).slice(0, 1).append_column("ids", pa.array([accepted.ids])).append_column("block", pa.array([0], pa.int32()))
+        return out.append_column("data", pa.array([accepted.dump()], pa.binary()))
+
+    def behind(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(batch.num_rows):
+                packed = Block.load(batch.column("data")[k].as_buffer())
+                left = np.unpackbits(np.frombuffer(batch.column("left")[k].as_buffer(), np.uint8), count=len(packed)).astype(bool)
+                last = batch.column("last")[k].as_py()
+                left &= packed.ids > last
+                if left.any():
+                    rows = np.flatnonzero(left)
+                    accepted = Block.load(batch.column("_data")[k].as_buffer())
+                    left[rows] = accepted.cosines(packed.take(rows)).max(0, initial=0) < threshold - 1e-9
+                if left.any():
+                    yield state([batch.column(c).slice(k, 1) for c in range(width)], batch.column("block")[k].as_py(), batch.column("blocks")[k].as_py(), packed, left)
+
+    open_ = written(blocks.mapInArrow(begin, schema), "guard-left")
+    taken: list[DataFrame] = []
     while True:
-        done.append(new)
-        told = written(matched(open_, new.withColumnsRenamed({"c": "a"}), by, ["a"], "left"), "guard-links")
-        hit = told.where("ok").select(*by, F.col("b").alias("c")).distinct()
-        # links that a rejected end leads from say nothing; all links to an end that was hit are settled
-        left = matched(told.where("ok is null").drop("ok"), hit.withColumnRenamed("c", "b"), by, ["b"], "left_anti")
-        waiting = left.select(*by, F.col("b").alias("c")).distinct()
-        free = matched(matched(told.where("not ok").select(*by, F.col("b").alias("c")).distinct(), hit, by, ["c"], "left_anti"), waiting, by, ["c"], "left_anti")
-        new = written(hit.withColumn("ok", F.lit(False)).unionByName(free.withColumn("ok", F.lit(True))), "guard")
-        if not new.limit(1).count():
-            break
-        open_ = written(left, "guard-links")
-    out = done[0]
-    for part in done[1:]:
-        out = out.unionByName(part)
-    return out
+        told = written(open_.groupBy(*by).agg(F.min("edge").alias("last")), "guard-edges")
+        named = matched(open_.drop("edge"), told, by, [])
+        here = matched(blocks, F.broadcast(named), by, ["block"])
+        sent = here.mapInArrow(front, ", ".join(filter(None, [keys, "data binary"])))
+        new = written(sent.groupBy(*by).applyInArrow(decide, ", ".join(filter(None, [keys, f"ids array<{kind}>, block int, data binary"]))), "guard-taken")
+        taken.append(new)
+        rest = matched(new, told.where("last is not null"), by, [], "left_semi")
+        chosen = rest.select(*[F.col(c).alias(f"_{c}") for c in by], F.col("data").alias("_data"))
+        rule = F.lit(True)
+        for c in by:
+            rule = rule & F.col(c).eqNullSafe(F.col(f"_{c}"))
+        pairs = here.where("last is not null").join(chosen.hint("shuffle_replicate_nl"), rule).drop(*[f"_{c}" for c in by])
+        open_ = written(pairs.select(*by, "block", "blocks", "data", "left", "last", "_data").mapInArrow(behind, schema), "guard-left")
+        if not open_.limit(1).count():
+            return taken
 
 
 def guard_log(docs: DataFrame, by: list[str], threshold: float = NEAR, id: str = "doc_id", text: str = "text") -> DataFrame:
     """(by…, id, accepted, similarity, closest_to): the outcome of ``duplicate_guard``, and of each text the accepted one before it that
     is nearest (of equal ones the first), with their cosine to six places; 0 and NULL where there is none with a common gram."""
-    decided = written(duplicate_guard(docs, by, threshold, id, text), "guard-decided")
-    vecs = written(_blocked(written(matched(vectors(docs, by, id, text), decided.withColumnRenamed(id, "id"), by, ["id"]), "vectors"), by), "blocks")
-
-    def best(a: pd.DataFrame, b: pd.DataFrame, alone: bool) -> pd.DataFrame:
-        if not len(a) or not len(b):
-            return pd.DataFrame({"id": [], "similarity": [], "closest_to": []})
-        order = np.argsort(a["id"].to_numpy(), kind="stable")
-        a = a.iloc[order]
-        values = np.round(cosines((a["grams"].tolist(), a["weights"].tolist()), (b["grams"].tolist(), b["weights"].tolist())), 6)
-        values[a["id"].to_numpy()[:, None] >= b["id"].to_numpy()[None, :]] = 0
-        top = values.argmax(0)
-        score = values[top, np.arange(len(b))]
-        some = score > 0
-        return pd.DataFrame({"id": b["id"].to_numpy()[some], "similarity": score[some], "closest_to": a["id"].to_numpy()[top[some]]})
-
+    outcome, blocks, taken = _guarded(docs, by, threshold, id, text, True)
+    decided = written(outcome, "guard-decided")
     kind = dict(docs.dtypes)[id]
-    found = _cells(vecs.where("accepted").drop("accepted"), vecs.drop("accepted"), by, best, f"id {kind}, similarity double, closest_to {kind}")
+    accepted = None
+    for n, part in enumerate(taken):
+        here = part.select(*by, F.lit(n).alias("block"), "data")
+        accepted = here if accepted is None else accepted.unionByName(here)
+
+    def start() -> tuple:
+        def meet(a: Block, b: Block, alone: bool) -> dict:
+            # a: texts, b: accepted ones in order of id; the best of the first n of these, for each n, and the first of them that has it
+            values = _micro(b.cosines(a))
+            best = np.maximum.accumulate(values, 0)
+            at = np.zeros(values.shape, np.int32)
+            at[1:] = np.where(best[1:] > best[:-1], np.arange(1, len(b), dtype=np.int32)[:, None], 0)
+            np.maximum.accumulate(at, 0, out=at)
+            ids, text = a.members
+            n = np.searchsorted(b.ids, ids) - 1  # the last accepted one before each
+            score = np.where(n >= 0, best[n, text], 0)
+            some = score > 0
+            return {"id": ids[some], "similarity": score[some] / 1e6, "closest_to": b.ids[at[n, text][some]]}
+
+        return meet, lambda: None
+
+    found = _over_cells(blocks, accepted, by, start, f"id {kind}, similarity double, closest_to {kind}")
     first = found.groupBy(*by, "id").agg(F.max_by(F.struct("similarity", "closest_to"), F.struct("similarity", -F.col("closest_to"))).alias("x"))
     return matched(decided, first.withColumnRenamed("id", id), by, [id], "left").select(*by, id, "accepted", F.coalesce("x.similarity", F.lit(0.0)).alias("similarity"), F.col("x.closest_to").alias("closest_to"))
 
