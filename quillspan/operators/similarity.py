@@ -28,6 +28,8 @@ FEW_ENTRIES, TASK_CELLS = 2048, 16
 PART_BLOCKS = 256
 #: Texts of a group that the guard decides in a round.
 FRONT = 2048
+#: Texts of a group, about so many by id, that are held against all others before all pairs are.
+FIRST = 64
 #: Query vectors of a block, and blocks that are sent out in one pass over the rows.
 BLOCK_QUERIES, PASS_BLOCKS = 20_000, 16
 
@@ -227,7 +229,7 @@ class Block:
         two = np.arange(each.sum()) + np.repeat(np.repeat(other.edges[its[few]], many[0][few]) - (np.cumsum(each) - each), each)
         at = np.repeat(self.rows[one] * shape[1], each) + other.rows[two]
         weights = np.repeat(self.counts[one], each) * other.counts[two]
-        out = np.bincount(at, weights, shape[0] * shape[1]).reshape(shape)
+        out = np.bincount(at, weights, shape[0] * shape[1]).reshape(shape).astype(float, copy=False)  # without entries they are whole numbers
         # the others as dense columns; sums of whole numbers below 2 ** 24 are exact in single precision
         kind = np.float32 if max(x.max(initial=0) for x in lengths) < 2**24 else np.float64
         dense = np.flatnonzero(~few)
@@ -489,7 +491,11 @@ def cosine_histogram(docs: DataFrame, by: list[str], bins: int = 20, id: str = "
 
 
 def first_offenders(docs: DataFrame, by: list[str], k: int = 10, worst: bool = False, threshold: float = NEAR, id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(by…, rank, a, b, cosine): the first ``k`` near pairs of each group by id, or the ``k`` with the largest cosine."""
+    """(by…, rank, a, b, cosine): the first ``k`` near pairs of each group by id, or the ``k`` with the largest cosine.
+
+    The first pairs begin with the first texts: these are held against all texts of their group, and where that gives ``k`` pairs or more no other can
+    come before them.  Only groups in which it gives fewer, and all where the worst pairs are asked for, have all pairs multiplied.
+    """
 
     def start() -> tuple:
         best: list = []  # the first k pairs so far: a, b, cosine
@@ -520,10 +526,58 @@ def first_offenders(docs: DataFrame, by: list[str], k: int = 10, worst: bool = F
         return meet, lambda: dict(zip(("a", "b", "cosine"), best, strict=True)) if best else None
 
     kind = dict(docs.dtypes)[id]
-    pairs = _over_cells(_packed(docs, by, id, text), None, by, start, f"a {kind}, b {kind}, cosine double")
+    schema = f"a {kind}, b {kind}, cosine double"
     order = ([F.desc(F.round("cosine", 6))] if worst else []) + [F.col("a"), F.col("b")]
     rank = F.row_number().over(Window.partitionBy(*by).orderBy(*order))
-    return pairs.withColumn("rank", rank).where(F.col("rank") <= k).select(*by, "rank", "a", "b", "cosine")
+
+    def ranked(pairs: DataFrame) -> DataFrame:
+        return pairs.withColumn("rank", rank).where(F.col("rank") <= k).select(*by, "rank", "a", "b", "cosine")
+
+    blocks = _packed(docs, by, id, text)
+    if worst:
+        return ranked(_over_cells(blocks, None, by, start, schema))
+    fronts, whole = _fronts(blocks, by, kind)
+    # two tasks may meet a pair of first texts from either side
+    met = _over_cells(blocks, fronts, by, start, schema, coarse=True).dropDuplicates([*by, "a", "b"])
+    early = written(ranked(met), "first-pairs")
+    done = early.groupBy(*by).count().where(F.col("count") >= k).select(*by).unionByName(whole)
+    rest = written(matched(blocks, done, by, [], "left_anti"), "blocks")
+    if not rest.limit(1).count():
+        return early
+    return matched(early, done, by, [], "left_semi").unionByName(ranked(_over_cells(rest, None, by, start, schema)))
+
+
+def _fronts(blocks: DataFrame, by: list[str], kind: str) -> tuple[DataFrame, DataFrame]:
+    """(by…, block, data): the first texts by id of each group, about FIRST of them, packed; and the groups (by…) that have no other texts."""
+    kinds = dict(blocks.dtypes)
+    keys = ", ".join(f"`{c}` {kinds[c]}" for c in by)
+    width = len(by)
+
+    def edge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(batch.num_rows):
+                ids = np.sort(Block.load(batch.column("data")[k].as_buffer()).ids)
+                quota = -(-2 * FIRST // batch.column("blocks")[k].as_py()) + 8
+                value = pa.array(ids[quota - 1 : quota] if len(ids) > quota else [None], pa.string() if ids.dtype == object else pa.from_numpy_dtype(ids.dtype))
+                yield pa.record_batch([*[batch.column(c).slice(k, 1) for c in range(width)], value], names=[*by, "edge"])
+
+    def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(batch.num_rows):
+                packed, last = Block.load(batch.column("data")[k].as_buffer()), batch.column("last")[k].as_py()
+                rows = np.arange(len(packed)) if last is None else np.flatnonzero(packed.ids <= last)
+                if len(rows):
+                    yield pa.record_batch([*[batch.column(c).slice(k, 1) for c in range(width)], pa.array([packed.take(rows).dump()], pa.binary())], names=[*by, "data"])
+
+    def join(table: pa.Table) -> pa.Table:
+        front = Block.joined([Block.load(x.as_buffer()) for x in table.column("data")])
+        return table.select(by).slice(0, 1).append_column("block", pa.array([0], pa.int32())).append_column("data", pa.array([front.dump()], pa.binary()))
+
+    edges = blocks.mapInArrow(edge, ", ".join(filter(None, [keys, f"edge {kind}"])))
+    told = written(edges.groupBy(*by).agg(F.min("edge").alias("last")), "first-edges")
+    cut = matched(blocks, told, by, []).select(*by, "data", "last").mapInArrow(first, ", ".join(filter(None, [keys, "data binary"])))
+    fronts = cut.groupBy(*by).applyInArrow(join, ", ".join(filter(None, [keys, "block int, data binary"])))
+    return written(fronts, "fronts"), told.where("last is null").select(*by)
 
 
 def duplicate_guard(docs: DataFrame, by: list[str], threshold: float = NEAR, id: str = "doc_id", text: str = "text") -> DataFrame:
