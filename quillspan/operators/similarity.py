@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quillspan.blocks import Sent, in_passes
-from quillspan.functions.text import grams, terms
+from quillspan.functions.text import TERM, grams, terms
 from quillspan.operators.quantiles import exact_quantiles
 from quillspan.shared import written
 
@@ -213,8 +213,16 @@ class Block:
 
     def cosines(self, other: Block) -> np.ndarray:
         """Cosines of all texts with all of ``other``: products of counts, which are exact, over the lengths."""
-        shared, mine, its = np.intersect1d(self.grams, other.grams, assume_unique=True, return_indices=True)
-        lengths = self.lengths, other.lengths
+        out = self.products(other).astype(float)
+        out /= np.sqrt(self.lengths)[:, None]
+        out /= np.sqrt(other.lengths)[None, :]
+        return out
+
+    def products(self, other: Block) -> np.ndarray:
+        """Products of the counts of all texts with those of all of ``other``: whole numbers, in single precision where that holds them."""
+        spot = np.minimum(np.searchsorted(self.grams, other.grams), max(len(self.grams) - 1, 0))
+        its = np.flatnonzero(self.grams[spot] == other.grams) if len(self.grams) else spot[:0]
+        mine = spot[its]
         shape = len(self), len(other)
         many = [(b.edges[1:] - b.edges[:-1])[at] for b, at in ((self, mine), (other, its))]
         few = many[0] * many[1] <= FEW_ENTRIES
@@ -229,9 +237,10 @@ class Block:
         two = np.arange(each.sum()) + np.repeat(np.repeat(other.edges[its[few]], many[0][few]) - (np.cumsum(each) - each), each)
         at = np.repeat(self.rows[one] * shape[1], each) + other.rows[two]
         weights = np.repeat(self.counts[one], each) * other.counts[two]
-        out = np.bincount(at, weights, shape[0] * shape[1]).reshape(shape).astype(float, copy=False)  # without entries they are whole numbers
-        # the others as dense columns; sums of whole numbers below 2 ** 24 are exact in single precision
-        kind = np.float32 if max(x.max(initial=0) for x in lengths) < 2**24 else np.float64
+        # sums of whole numbers below 2 ** 24 are exact in single precision
+        kind = np.float32 if max(x.lengths.max(initial=0) for x in (self, other)) < 2**24 else np.float64
+        out = np.bincount(at, weights, shape[0] * shape[1]).astype(kind).reshape(shape)
+        # the others as dense columns
         dense = np.flatnonzero(~few)
         for begin in range(0, len(dense), COLUMNS):
             part = dense[begin : begin + COLUMNS]
@@ -242,8 +251,26 @@ class Block:
                 side[b.rows[k], np.repeat(np.arange(len(part)), m[part])] = b.counts[k]
                 sides.append(side)
             out += sides[0] @ sides[1].T
-        out /= np.sqrt(lengths[0])[:, None]
-        out /= np.sqrt(lengths[1])[None, :]
+        return out
+
+    def bins(self, other: Block, bins: int) -> np.ndarray:
+        """The bin of each cosine, to six places, of ``bins`` equal ones of 0..1, the last one closed.
+
+        Cosines are worked out in single precision; those near the edge of a bin are worked out anew as ``cosines`` does.
+        """
+        product = self.products(other)
+        lengths = np.sqrt(self.lengths), np.sqrt(other.lengths)
+        at = product.astype(np.float32)
+        at *= (bins / lengths[0]).astype(np.float32)[:, None]
+        at *= (1 / lengths[1]).astype(np.float32)[None, :]
+        at += np.float32(bins * 0.5e-6)  # cosines are rounded to millionths, half up
+        off = np.rint(at)
+        np.maximum(off, 1, out=off)  # 0 is no edge
+        np.subtract(at, off, out=off)
+        np.abs(off, out=off)
+        out = np.minimum(at.astype(np.int32), bins - 1)
+        i, j = np.nonzero(off < bins * 2e-6)
+        out[i, j] = np.minimum(_micro(product[i, j].astype(float) / lengths[0][i] / lengths[1][j]) * bins // 1_000_000, bins - 1)
         return out
 
 
@@ -252,6 +279,16 @@ def _micro(cosine: np.ndarray) -> np.ndarray:
     return np.floor(cosine * 1e6 + 0.5).astype(np.int64)
 
 
+def _paired(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each pair of hashes, in that order."""
+    x = a.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    x ^= x >> np.uint64(29)
+    x = (x + b.view(np.uint64)) * np.uint64(0xBF58476D1CE4E5B9)
+    x ^= x >> np.uint64(32)
+    x *= np.uint64(0x94D049BB133111EB)
+    return (x ^ (x >> np.uint64(29))).view(np.int64)
+
+
 def _packed(docs: DataFrame, by: list[str], id: str, text: str, members: bool = False) -> DataFrame:
     """(by…, block, blocks, data): one text of each class of equal ones, in blocks of about BLOCK by the text; written.  ``members``: with
     the ids of all copies.
@@ -261,23 +298,27 @@ def _packed(docs: DataFrame, by: list[str], id: str, text: str, members: bool =
     rows = docs.where(F.col(text).isNotNull()).select(*by, F.col(id).alias("id"), F.col(text).alias("_t"), F.sha2(text, 256).alias("_h"))
     sizes = written(rows.groupBy(*by).agg(F.ceil(F.approx_count_distinct("_h", 0.02) / F.lit(BLOCK)).cast("int").alias("blocks")), "group-sizes")
     placed = matched(rows, sizes, by, []).withColumn("block", F.pmod(F.xxhash64("_h"), F.col("blocks")).cast("int"))
+    placed = placed.where(F.lower("_t").rlike(TERM))  # a test of the tokens would work them out twice
     classes = placed.repartition(_tasks(docs), *by, "block").groupBy(*by, "block", "_h").agg(F.min("id").alias("id"), F.count("*").alias("m"), F.first("blocks").alias("blocks"), F.first("_t").alias("_t"), *([F.collect_list("id").alias("all")] if members else []))
     more = ["all"] if members else []
-    tokens = classes.select(*by, "block", "blocks", "id", "m", *more, terms(F.col("_t")).alias("_t")).where(F.size("_t") > 0)
-    hashed = tokens.select(*by, "block", "blocks", "id", "m", *more, F.transform(grams(F.col("_t")), lambda g: F.xxhash64(g)).alias("grams"))
-    kinds = dict(hashed.dtypes)
+    tokens = classes.select(*by, "block", "blocks", "id", "m", *more, F.transform(terms(F.col("_t")), lambda t: F.xxhash64(t)).alias("tokens"))
+    kinds = dict(tokens.dtypes)
 
     def pack(table: pa.Table) -> pa.Table:
-        lists = table.column("grams").combine_chunks()
-        gram = lists.flatten().to_numpy(zero_copy_only=False)
+        lists = table.column("tokens").combine_chunks()
+        token = lists.flatten().to_numpy(zero_copy_only=False)
         row = np.repeat(np.arange(len(lists)), np.diff(lists.offsets.to_numpy()))
+        # a pair of neighbours is told by the hashes of both
+        pair = np.flatnonzero(row[1:] == row[:-1])
+        gram = np.concatenate([token, _paired(token[pair], token[pair + 1])])
+        row = np.concatenate([row, row[pair]])
         block = Block.of(table.column("id").to_numpy(), table.column("m").to_numpy(), gram, row, np.ones(len(gram), np.int64))
         if members:
             every = table.column("all").combine_chunks()
             block.members = every.flatten().to_numpy(zero_copy_only=False), np.repeat(np.arange(len(every)), np.diff(every.offsets.to_numpy()))
         return table.select([*by, "block", "blocks"]).slice(0, 1).append_column("data", pa.array([block.dump()], pa.binary()))
 
-    return written(hashed.groupBy(*by, "block").applyInArrow(pack, ", ".join([*[f"`{c}` {kinds[c]}" for c in by], "block int, blocks int, data binary"])), "blocks")
+    return written(tokens.groupBy(*by, "block").applyInArrow(pack, ", ".join([*[f"`{c}` {kinds[c]}" for c in by], "block int, blocks int, data binary"])), "blocks")
 
 
 def _tasks(df: DataFrame) -> int:
@@ -481,13 +522,28 @@ def similarity_report(docs: DataFrame, by: list[str], threshold: float = NEAR, i
 def cosine_histogram(docs: DataFrame, by: list[str], bins: int = 20, id: str = "doc_id", text: str = "text") -> DataFrame:
     """(by…, bin, n): pairs of each group by cosine in ``bins`` equal bins of 0..1, the last one closed; bins without a pair are left out."""
 
-    def say(total: np.ndarray) -> dict:
-        some = np.flatnonzero(total)
-        n = np.zeros(bins, np.int64)
-        np.add.at(n, np.minimum((some / 1_000_000 * bins).astype(np.int64), bins - 1), total[some])
-        return {"bin": np.flatnonzero(n).astype(np.int32), "n": n[n > 0]}
+    def start() -> tuple:
+        total = np.zeros(bins, np.int64)
 
-    return _counted(docs, by, id, text, say, "bin int, n long").groupBy(*by, "bin").agg(F.sum("n").alias("n"))
+        def meet(a: Block, b: Block, alone: bool) -> None:
+            here = a.bins(b, bins)
+            if alone:
+                total[bins - 1] += (a.copies * (a.copies - 1) // 2).sum()
+                here[np.tril_indices(len(a))] = bins  # each pair counts once
+            n = np.bincount(here.ravel(), minlength=bins + 1)[:bins]
+            # pairs with copies count more than once: rows that have some, and of the other rows those columns
+            x, y = np.flatnonzero(a.copies > 1), np.flatnonzero(b.copies > 1)
+            rest = np.flatnonzero(a.copies == 1)
+            for i, j in ((x, np.arange(len(b))), (rest, y)):
+                if len(i) and len(j):
+                    more = np.outer(a.copies[i], b.copies[j]) - 1
+                    n = n + np.bincount(here[np.ix_(i, j)].ravel(), more.ravel().astype(float), bins + 1)[:bins].astype(np.int64)
+            np.add(total, n, out=total)
+
+        return meet, lambda: {"bin": np.flatnonzero(total).astype(np.int32), "n": total[total > 0]}
+
+    found = _over_cells(_packed(docs, by, id, text), None, by, start, "bin int, n long", coarse=True)
+    return found.groupBy(*by, "bin").agg(F.sum("n").alias("n"))
 
 
 def first_offenders(docs: DataFrame, by: list[str], k: int = 10, worst: bool = False, threshold: float = NEAR, id: str = "doc_id", text: str = "text") -> DataFrame:
