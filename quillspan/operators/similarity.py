@@ -321,6 +321,21 @@ def _packed(docs: DataFrame, by: list[str], id: str, text: str, members: bool =
     return written(tokens.groupBy(*by, "block").applyInArrow(pack, ", ".join([*[f"`{c}` {kinds[c]}" for c in by], "block int, blocks int, data binary"])), "blocks")
 
 
+#: Bytes that an Arrow batch of packed blocks has at most, and the setting.
+BATCH_BYTES, BATCH_SETTING = 4 << 20, "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def _written(df: DataFrame, name: str) -> DataFrame:
+    """``written``, with small Arrow batches: a row has blocks of half a MB, and batches are held by the JVM and by Python."""
+    conf = df.sparkSession.conf
+    before = conf.get(BATCH_SETTING, None)
+    conf.set(BATCH_SETTING, str(BATCH_BYTES))
+    try:
+        return written(df, name)
+    finally:
+        conf.unset(BATCH_SETTING) if before is None else conf.set(BATCH_SETTING, before)
+
+
 def _tasks(df: DataFrame) -> int:
     spark = df.sparkSession
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism)
@@ -542,7 +557,7 @@ def cosine_histogram(docs: DataFrame, by: list[str], bins: int = 20, id: str = "
 
         return meet, lambda: {"bin": np.flatnonzero(total).astype(np.int32), "n": total[total > 0]}
 
-    found = _over_cells(_packed(docs, by, id, text), None, by, start, "bin int, n long", coarse=True)
+    found = _written(_over_cells(_packed(docs, by, id, text), None, by, start, "bin int, n long", coarse=True), "bins")
     return found.groupBy(*by, "bin").agg(F.sum("n").alias("n"))
 
 
@@ -595,7 +610,7 @@ def first_offenders(docs: DataFrame, by: list[str], k: int = 10, worst: bool = F
     fronts, whole = _fronts(blocks, by, kind)
     # two tasks may meet a pair of first texts from either side
     met = _over_cells(blocks, fronts, by, start, schema, coarse=True).dropDuplicates([*by, "a", "b"])
-    early = written(ranked(met), "first-pairs")
+    early = _written(ranked(met), "first-pairs")
     done = early.groupBy(*by).count().where(F.col("count") >= k).select(*by).unionByName(whole)
     rest = written(matched(blocks, done, by, [], "left_anti"), "blocks")
     if not rest.limit(1).count():
@@ -630,10 +645,10 @@ def _fronts(blocks: DataFrame, by: list[str], kind: str) -> tuple[DataFrame, Dat
         return table.select(by).slice(0, 1).append_column("block", pa.array([0], pa.int32())).append_column("data", pa.array([front.dump()], pa.binary()))
 
     edges = blocks.mapInArrow(edge, ", ".join(filter(None, [keys, f"edge {kind}"])))
-    told = written(edges.groupBy(*by).agg(F.min("edge").alias("last")), "first-edges")
+    told = _written(edges.groupBy(*by).agg(F.min("edge").alias("last")), "first-edges")
     cut = matched(blocks, told, by, []).select(*by, "data", "last").mapInArrow(first, ", ".join(filter(None, [keys, "data binary"])))
     fronts = cut.groupBy(*by).applyInArrow(join, ", ".join(filter(None, [keys, "block int, data binary"])))
-    return written(fronts, "fronts"), told.where("last is null").select(*by)
+    return _written(fronts, "fronts"), told.where("last is null").select(*by)
 
 
 def duplicate_guard(docs: DataFrame, by: list[str], threshold: float = NEAR, id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -645,19 +660,30 @@ def duplicate_guard(docs: DataFrame, by: list[str], threshold: float = NEAR, id:
     return _guarded(docs, by, threshold, id, text)[0]
 
 
-def _guarded(docs: DataFrame, by: list[str], threshold: float, id: str, text: str, members: bool = False) -> tuple[DataFrame, DataFrame, list[DataFrame]]:
+def _guarded(docs: DataFrame, by: list[str], threshold: float, id: str, text: str) -> tuple[DataFrame, DataFrame, list[DataFrame]]:
     """The outcome of the guard, the packed blocks, and the packed accepted texts of each round."""
-    classes = written(classes_of(docs, by, id, text), "guard-classes")
-    gramless = docs.where(F.col(text).isNotNull() & (F.size(terms(F.col(text))) == 0)).select(*by, id)
-    blocks = _packed(docs, by, id, text, members)
-    taken = _in_order(blocks, by, threshold, dict(docs.dtypes)[id])
+    kinds = dict(docs.dtypes)
+    gramless = docs.where(F.col(text).isNotNull() & ~F.lower(text).rlike(TERM)).select(*by, id, F.lit(True).alias("accepted"))
+    blocks = _packed(docs, by, id, text, True)
+    taken = _in_order(blocks, by, threshold, kinds[id])
     ok = None
     for part in taken:
         here = part.select(*by, F.explode("ids").alias("class_id"))
         ok = here if ok is None else ok.unionByName(here)
-    out = matched(matched(classes, ok.withColumn("ok", F.lit(True)), by, ["class_id"], "left"), gramless.withColumn("bare", F.lit(True)), by, [id], "left")
-    own = (F.col(id) == F.col("class_id")) & F.coalesce("ok", F.lit(False))
-    return out.select(*by, id, F.coalesce(F.col("bare"), own).alias("accepted")), blocks, taken
+
+    def named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(batch.num_rows):
+                packed = Block.load(batch.column("data")[k].as_buffer())
+                ids, text = packed.members
+                at = pa.array(np.zeros(len(ids), np.int32))
+                yield pa.record_batch([*[batch.column(c).slice(k, 1).take(at) for c in range(len(by))], pa.array(ids), pa.array(packed.ids[text])], names=[*by, id, "class_id"])
+
+    # the ids of all copies come from the blocks, so that neither texts nor their hashes are shuffled anew
+    keys = [f"`{c}` {kinds[c]}" for c in by]
+    every = _written(blocks.select(*by, "data").mapInArrow(named, ", ".join([*keys, f"`{id}` {kinds[id]}, class_id {kinds[id]}"])), "guard-ids")
+    out = matched(every, ok.withColumn("ok", F.lit(True)), by, ["class_id"], "left")
+    return out.select(*by, id, ((F.col(id) == F.col("class_id")) & F.coalesce("ok", F.lit(False))).alias("accepted")).unionByName(gramless), blocks, taken
 
 
 def _in_order(blocks: DataFrame, by: list[str], threshold: float, kind: str) -> list[DataFrame]:
@@ -724,19 +750,20 @@ def _in_order(blocks: DataFrame, by: list[str], threshold: float, kind: str) ->
                 left &= packed.ids > last
                 if left.any():
                     rows = np.flatnonzero(left)
-                    accepted = Block.load(batch.column("_data")[k].as_buffer())
-                    left[rows] = accepted.cosines(packed.take(rows)).max(0, initial=0) < threshold - 1e-9
+                    accepted, rest = Block.load(batch.column("_data")[k].as_buffer()), packed.take(rows)
+                    parts = [accepted] if len(accepted) <= BLOCK else [accepted.take(np.arange(at, min(at + BLOCK, len(accepted)))) for at in range(0, len(accepted), BLOCK)]
+                    left[rows] = np.max([part.cosines(rest).max(0, initial=0) for part in parts], axis=0) < threshold - 1e-9
                 if left.any():
                     yield state([batch.column(c).slice(k, 1) for c in range(width)], batch.column("block")[k].as_py(), batch.column("blocks")[k].as_py(), packed, left)
 
-    open_ = written(blocks.mapInArrow(begin, schema), "guard-left")
+    open_ = _written(blocks.mapInArrow(begin, schema), "guard-left")
     taken: list[DataFrame] = []
     while True:
         told = written(open_.groupBy(*by).agg(F.min("edge").alias("last")), "guard-edges")
         named = matched(open_.drop("edge"), told, by, [])
         here = matched(blocks, F.broadcast(named), by, ["block"])
         sent = here.mapInArrow(front, ", ".join(filter(None, [keys, "data binary"])))
-        new = written(sent.groupBy(*by).applyInArrow(decide, ", ".join(filter(None, [keys, f"ids array<{kind}>, block int, data binary"]))), "guard-taken")
+        new = _written(sent.groupBy(*by).applyInArrow(decide, ", ".join(filter(None, [keys, f"ids array<{kind}>, block int, data binary"]))), "guard-taken")
         taken.append(new)
         rest = matched(new, told.where("last is not null"), by, [], "left_semi")
         chosen = rest.select(*[F.col(c).alias(f"_{c}") for c in by], F.col("data").alias("_data"))
@@ -744,7 +771,7 @@ def _in_order(blocks: DataFrame, by: list[str], threshold: float, kind: str) ->
         for c in by:
             rule = rule & F.col(c).eqNullSafe(F.col(f"_{c}"))
         pairs = here.where("last is not null").join(chosen.hint("shuffle_replicate_nl"), rule).drop(*[f"_{c}" for c in by])
-        open_ = written(pairs.select(*by, "block", "blocks", "data", "left", "last", "_data").mapInArrow(behind, schema), "guard-left")
+        open_ = _written(pairs.select(*by, "block", "blocks", "data", "left", "last", "_data").mapInArrow(behind, schema), "guard-left")
         if not open_.limit(1).count():
             return taken
 
@@ -752,7 +779,7 @@ def _in_order(blocks: DataFrame, by: list[str], threshold: float, kind: str) ->
 def guard_log(docs: DataFrame, by: list[str], threshold: float = NEAR, id: str = "doc_id", text: str = "text") -> DataFrame:
     """(by…, id, accepted, similarity, closest_to): the outcome of ``duplicate_guard``, and of each text the accepted one before it that
     is nearest (of equal ones the first), with their cosine to six places; 0 and NULL where there is none with a common gram."""
-    outcome, blocks, taken = _guarded(docs, by, threshold, id, text, True)
+    outcome, blocks, taken = _guarded(docs, by, threshold, id, text)
     decided = written(outcome, "guard-decided")
     kind = dict(docs.dtypes)[id]
     accepted = None
